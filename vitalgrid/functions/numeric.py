@@ -58,8 +58,8 @@ def number_text(value: Column) -> Column:
     # which stripping the trailing zeros covers
     fractional = F.regexp_replace(
         F.replace(F.call_function("format_number", value, digits), F.lit(","), F.lit("")),
-        r"\.?0+$",
-        "",
+        r"\.0+$|(\.\d*?)0+$",
+        "$1",
     )
     small = F.abs(value) < 0.0001
     large = F.abs(value) >= 1000000

@@ -79,12 +79,16 @@ def _described(entries: Column) -> Column:
     """
     labels = F.expr(text_array([cb.ATTRIBUTE_LABEL[f] for f in FEATURES]))
     values = profile_array()
-    text = F.transform(
+    valued = F.transform(
         entries,
+        lambda e: F.struct(e["idx"].alias("idx"), e["v"].alias("v"), F.get(values, e["idx"]).alias("value")),
+    )
+    text = F.transform(
+        valued,
         lambda e: F.concat(
             F.get(labels, e["idx"]),
             F.lit(" ("),
-            meaning_at(e["idx"], F.get(values, e["idx"])),
+            meaning_at(e["idx"], e["value"]),
             F.lit(", SHAP "),
             signed_text(e["v"], 3),
             F.lit(")"),

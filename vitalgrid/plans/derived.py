@@ -34,12 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rid``, 21 features and the target for every order; reads one column."""
-    return survey_from(table(spark, sf_dir, "orders"))
+def survey(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rid``, 21 features and the target for every order; reads one column, or ``keep`` too."""
+    return survey_from(table(spark, sf_dir, "orders"), keep)
 
 
-def survey_from(orders: DataFrame) -> DataFrame:
+def survey_from(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     columns = {}
     for name, (multiplier, percent) in _BINARY.items():
         columns[name] = f"CASE WHEN {_spread(multiplier)} % 100 < {percent} THEN 1D ELSE 0D END"
@@ -51,21 +51,21 @@ def survey_from(orders: DataFrame) -> DataFrame:
     columns["BMI"] = f"14D + {_spread(_BMI)} % 73 * 0.5D"
     columns["_noise"] = f"{_spread(_NOISE)} % 4"
     base = settled(
-        orders.select(F.col("o_orderkey").alias("rid")),
+        orders.select(F.col("o_orderkey").alias("rid"), *keep),
         {name: F.expr(columns[name]) for name in [*FEATURES, "_noise"]},
     )
     points = (
         "2 * HighBP + HighChol + IF(BMI >= 30, 2, 0) + IF(Age >= 9, 1, 0) + IF(GenHlth >= 4, 2, 0) + _noise"
     )
     label = f"CASE WHEN {points} >= 9 THEN 2D WHEN {points} = 8 AND rid % 5 = 0 THEN 1D ELSE 0D END"
-    return settled(base, {TARGET: F.expr(label)}).select("rid", *FEATURES, TARGET)
+    return settled(base, {TARGET: F.expr(label)}).select("rid", *keep, *FEATURES, TARGET)
 
 
 def _spread(multiplier: int) -> str:
     return f"(((rid + 1) * {multiplier}) % {_MODULUS})"
 
 
-def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_survey(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The survey as spoiled text: blanks, words, wrong codes, wrong labels."""
     spoiled = {c: f"CAST({c} AS STRING)" for c in [*FEATURES, TARGET]}
     spoiled["BMI"] = (
@@ -78,7 +78,7 @@ def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN rid % 53 = 0 THEN NULL WHEN rid % 991 = 0 THEN '3.0' WHEN rid % 983 = 0 THEN '1.5' "
         f"ELSE CAST({TARGET} AS STRING) END"
     )
-    return settled(survey(spark, sf_dir), {c: F.expr(text) for c, text in spoiled.items()})
+    return settled(survey(spark, sf_dir, keep), {c: F.expr(text) for c, text in spoiled.items()})
 
 
 def _leaf(cover: float, *weights: float) -> Node:

@@ -1,8 +1,9 @@
-"""Session settings and the one way this library cuts lineage."""
+"""Session settings, shared scratch folders and the one way this library cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +23,38 @@ def local_session(cores: str | int = 8, memory: str = "8g", app: str = "vitalgri
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session (tests) may get a folder of its own; on a cluster a missing
-    setting is an error, because a machine-local folder dies with its machine.
+    Only a local session (tests) gets a folder of its own when none is named; on
+    a cluster a missing setting is an error, because a machine-local folder dies
+    with its machine.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new path for one written table inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/table-{uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written copy."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(folder)
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as a Parquet table later steps can prune columns of."""
+    path = run_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
