@@ -16,6 +16,7 @@ from vitalgrid.codebook import FEATURES
 from vitalgrid.operators.metrics import cell_counts, macro_f1
 from vitalgrid.operators.ordering import BUCKET, hash_bucket, numbered
 from vitalgrid.operators.split import hash_sample, row_digest
+from vitalgrid.session import written
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -69,7 +70,10 @@ def permutation_importance(
 
     ``sample_size`` rows of ``df`` take part; ``None`` takes all of them.
     """
-    rows = df if sample_size is None else hash_sample(df, sample_size, "rid", seed)
+    rows = df
+    if sample_size is not None:
+        # the sample is read five times below; its selection should run once
+        rows = written(hash_sample(df.select("rid", label, *FEATURES), sample_size, "rid", seed))
     whole = score(rows).agg(*cell_counts(F.col(label), F.col("predicted_class"))).select(
         macro_f1().alias("baseline")
     )

@@ -43,7 +43,7 @@ def _permutation(rows: str) -> str:
         FROM (SELECT k.c, count(*) FILTER (WHERE x.actual = k.c AND x.cls = k.c) AS t, count(*) FILTER (WHERE x.actual = k.c) AS a,
               count(*) FILTER (WHERE x.cls = k.c) AS p FROM {x} x CROSS JOIN (VALUES (0), (1), (2)) AS k(c) GROUP BY k.c) y)"""
     return f"""
-chosen AS ({rows}),
+chosen AS (SELECT rid, Diabetes_012, HighBP, HighChol, BMI, GenHlth, Age FROM ({rows}) rows_in),
 base AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:base:', rid)), rid) AS place FROM chosen),
 donors AS (SELECT c.*, r.rep, row_number() OVER (PARTITION BY r.rep ORDER BY md5(concat('42:', r.rep, ':', rid)), rid) AS place
     FROM chosen c CROSS JOIN (VALUES (0), (1), (2)) AS r(rep)),
@@ -99,7 +99,7 @@ met AS (SELECT v.rid, s.cls, CASE s.cls WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 EN
 shares AS (SELECT rid, fa AS feature, val * (oa - za) * CASE WHEN fb IS NULL THEN 1e0 ELSE (ob + zb) / 2e0 END AS phi FROM met
     UNION ALL SELECT rid, fb, val * (ob - zb) * (oa + za) / 2e0 FROM met WHERE fb IS NOT NULL),
 totals AS (SELECT rid, feature, sum(phi) AS phi FROM shares GROUP BY 1, 2)
-SELECT s.rid, s.cls AS predicted_class, f.feature, round(coalesce(t.phi, 0e0), 9) AS shap_value
+SELECT s.rid, s.cls AS predicted_class, f.feature, round(coalesce(t.phi, 0e0), 11) AS shap_value
 FROM scored s CROSS JOIN features f LEFT JOIN totals t ON t.rid = s.rid AND t.feature = f.feature
 """
 

@@ -21,7 +21,7 @@ from vitalgrid.operators import (
     summary,
 )
 from vitalgrid.plans.derived import contributed, demo_forest, demo_score, scored, survey, survey_from, table
-from vitalgrid.session import run_folder
+from vitalgrid.session import run_folder, written
 from vitalgrid.sources.artifacts import ranked_importance
 from vitalgrid.sources.dimensions import attribute_definitions
 from vitalgrid.streaming import arriving, write_scored
@@ -129,7 +129,7 @@ def importance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shap_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     explained = shapley.with_shap(scored(spark, sf_dir), demo_forest())
     return contributions.to_long(explained, ["rid", "predicted_class"]).select(
-        "rid", "predicted_class", "feature", F.round("shap_value", 9).alias("shap_value")
+        "rid", "predicted_class", "feature", F.round("shap_value", 11).alias("shap_value")
     )
 
 
@@ -298,7 +298,7 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the training part, report on the held-out part."""
-    rows = split.stratified_split(survey(spark, sf_dir))
+    rows = written(split.stratified_split(survey(spark, sf_dir)))
     model = forest.train(rows.filter("NOT is_test"), trees=20, depth=6)
     held_out = forest.score_with_model(rows.filter("is_test"), model)
     return metrics.classification_report(metrics.confusion_row(held_out, TARGET))
@@ -306,7 +306,7 @@ def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders arriving as a stream of files: derive, clean, score, append."""
-    stream = arriving(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema)
+    stream = arriving(spark, sf_dir, table(spark, sf_dir, "orders").schema, "orders.parquet")
     out = run_folder(spark)
     write_scored(survey_from(stream), demo_score, out, run_folder(spark)).awaitTermination()
     return spark.read.parquet(out).select("rid", TARGET, "predicted_class", "high_risk_probability")

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.plans import model_oracles, model_queries, survey_oracles, survey_queries
+from vitalgrid.plans import (
+    graph_oracles,
+    graph_queries,
+    model_oracles,
+    model_queries,
+    survey_oracles,
+    survey_queries,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**survey_queries.QUERIES, **model_queries.QUERIES}
+    return {**survey_queries.QUERIES, **model_queries.QUERIES, **graph_queries.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**survey_oracles.ORACLES, **model_oracles.ORACLES}
+    return {**survey_oracles.ORACLES, **model_oracles.ORACLES, **graph_oracles.ORACLES}

@@ -15,9 +15,16 @@ from pyspark.sql.types import StructType
 from vitalgrid.operators.clean import training_clean
 
 
-def arriving(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def arriving(
+    spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """Parquet files of a folder, by name pattern, as a stream."""
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", files)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
+    )
 
 
 def clean_and_score(df: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
