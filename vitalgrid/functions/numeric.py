@@ -11,17 +11,16 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _LARGEST = 1.7976931348623157e308
 
 
-def finite(value: Column) -> Column:
-    """NaN and the infinities become NULL."""
-    return F.when(F.abs(value) <= F.lit(_LARGEST), value)
+def finite(name: str) -> str:
+    """SQL of a numeric column as DOUBLE; NaN and the infinities become NULL."""
+    number = f"CAST(`{name}` AS DOUBLE)"
+    return f"CASE WHEN abs({number}) <= {_LARGEST!r}D THEN {number} END"
 
 
-def to_number(name: str) -> Column:
-    """Text column to DOUBLE; anything that is not a finite number is NULL."""
+def to_number(name: str) -> str:
+    """SQL of a text column as DOUBLE; anything that is not a finite number is NULL."""
     number = f"try_cast(`{name}` AS DOUBLE)"
-    return F.expr(
-        f"CASE WHEN `{name}` RLIKE r'{NUMBER_PATTERN}' AND abs({number}) <= {_LARGEST!r}D THEN {number} END"
-    )
+    return f"CASE WHEN `{name}` RLIKE r'{NUMBER_PATTERN}' AND abs({number}) <= {_LARGEST!r}D THEN {number} END"
 
 
 def is_whole(value: Column) -> Column:

@@ -13,17 +13,18 @@ file would be refused as a whole, the offending rows land in quarantine and
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.codebook import BINARY_FEATURES, FEATURES, FIELDS, LIMITS, MISSING_TOKENS, TARGET
+from vitalgrid.functions.decode import sql_text
 from vitalgrid.functions.numeric import finite, to_number
 from vitalgrid.functions.settle import settled
 from vitalgrid.sources.survey import project, require_columns
 
-CLASSES = (0, 1, 2)
+# the target truncated to an integer
+_LABEL = f"CAST({TARGET} AS INT)"
 
 
 @dataclass(frozen=True)
@@ -59,19 +60,20 @@ def _is_text(df: DataFrame, name: str) -> bool:
 def coerced(df: DataFrame, names: list[str]) -> DataFrame:
     """Numbers from text or numeric columns; bad text, NaN and infinities become NULL."""
     return settled(
-        df, {n: to_number(n) if _is_text(df, n) else finite(F.col(n).cast("double")) for n in names}
+        df, {n: to_number(n) if _is_text(df, n) else finite(n) for n in names}
     )
 
 
-def any_null(names: list[str]) -> Column:
-    return F.expr(" OR ".join(f"`{n}` IS NULL" for n in names))
+def any_null(names: list[str]) -> str:
+    return "(" + " OR ".join(f"`{n}` IS NULL" for n in names) + ")"
 
 
-def _tagged(df: DataFrame, dropped: Column, rules: dict[str, Column]) -> DataFrame:
-    named = F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
-    found = F.array_compact(named) if rules else F.array().cast("array<string>")
-    nothing = F.array().cast("array<string>")
-    return settled(df, {"dropped": dropped, "violations": F.when(dropped, nothing).otherwise(found)})
+def _tagged(df: DataFrame, dropped: str, rules: dict[str, str]) -> DataFrame:
+    """Add ``dropped`` and the names of broken rules; rules are SQL conditions."""
+    nothing = "CAST(array() AS ARRAY<STRING>)"
+    named = ", ".join(f"CASE WHEN {broken} THEN '{name}' END" for name, broken in rules.items())
+    found = f"array_compact(array({named}))" if rules else nothing
+    return settled(df, {"dropped": dropped, "violations": f"CASE WHEN {dropped} THEN {nothing} ELSE {found} END"})
 
 
 def strict_load(df: DataFrame) -> Cleaned:
@@ -89,39 +91,27 @@ def strict_load(df: DataFrame) -> Cleaned:
     if not text:
         return _truncated(numbers, names, label_rule=True)
     # keep the raw text beside the number to tell "missing" from "not a number"
-    marks = raw.withColumns({f"_raw_{n}": F.col(n) for n in text})
-    both = coerced(marks, names).withColumns(
-        {
-            f"_bad_{n}": F.col(f"_raw_{n}").isNotNull()
-            & ~F.col(f"_raw_{n}").isin(MISSING_TOKENS)
-            & F.col(n).isNull()
-            for n in text
-        }
-    )
-    missing = reduce(
-        lambda a, b: a | b,
-        [F.col(n).isNull() & ~F.col(f"_bad_{n}") if n in text else F.col(n).isNull() for n in names],
-    )
-    rules = {f"{n}:not a number": F.col(f"_bad_{n}") for n in text}
-    label = F.col(TARGET).cast("int")
-    rules[f"{TARGET}:label"] = label.isNotNull() & ~label.isin(*CLASSES)
-    tagged = _tagged(both, missing, rules)
+    tokens = ", ".join(sql_text(token) for token in MISSING_TOKENS)
+    marks = raw.select("*", *[F.col(n).alias(f"_raw_{n}") for n in text])
+    bad = {n: f"(`{n}` IS NULL AND _raw_{n} IS NOT NULL AND _raw_{n} NOT IN ({tokens}))" for n in text}
+    both = settled(coerced(marks, names), {f"_bad_{n}": bad[n] for n in text})
+    missing = " OR ".join(f"(`{n}` IS NULL AND NOT _bad_{n})" if n in text else f"`{n}` IS NULL" for n in names)
+    rules = {f"{n}:not a number": f"_bad_{n}" for n in text}
+    rules[f"{TARGET}:label"] = f"{_LABEL} IS NOT NULL AND {_LABEL} NOT IN (0, 1, 2)"
+    tagged = _tagged(both, f"({missing})", rules)
     return Cleaned(
-        tagged.withColumn(TARGET, F.col(TARGET).cast("int")).drop(
-            *[f"_raw_{n}" for n in text], *[f"_bad_{n}" for n in text]
-        )
+        tagged.withColumn(TARGET, F.expr(_LABEL)).drop(*[f"_raw_{n}" for n in text], *[f"_bad_{n}" for n in text])
     )
 
 
 def _truncated(numbers: DataFrame, names: list[str], label_rule: bool) -> Cleaned:
-    label = F.col(TARGET).cast("int")
-    wrong = ~label.isin(*CLASSES)
+    wrong = f"{_LABEL} NOT IN (0, 1, 2)"
     incomplete = any_null(names)
     if label_rule:
         tagged = _tagged(numbers, incomplete, {f"{TARGET}:label": wrong})
     else:
-        tagged = _tagged(numbers, incomplete | wrong, {})
-    return Cleaned(tagged.withColumn(TARGET, label))
+        tagged = _tagged(numbers, f"({incomplete} OR {wrong})", {})
+    return Cleaned(tagged.withColumn(TARGET, F.expr(_LABEL)))
 
 
 def training_clean(df: DataFrame) -> Cleaned:
@@ -131,24 +121,23 @@ def training_clean(df: DataFrame) -> Cleaned:
     return _truncated(coerced(project(df), names), names, label_rule=False)
 
 
-def import_rules() -> dict[str, Column]:
+def import_rules() -> dict[str, str]:
     """Domain rules in field order: 14 binary, 7 lower and 7 upper limits."""
-    rules: dict[str, Column] = {}
+    rules: dict[str, str] = {}
     for name, *_ in FIELDS:
         low, high = LIMITS[name]
         if name in BINARY_FEATURES:
-            rules[f"{name}:binary"] = F.expr(f"{name} NOT IN (0D, 1D)")
+            rules[f"{name}:binary"] = f"{name} NOT IN (0D, 1D)"
         if low is not None:
-            rules[f"{name}:below"] = F.expr(f"{name} < {low}D")
+            rules[f"{name}:below"] = f"{name} < {low}D"
         if high is not None:
-            rules[f"{name}:above"] = F.expr(f"{name} > {high}D")
+            rules[f"{name}:above"] = f"{name} > {high}D"
     return rules
 
 
-def label_rule() -> Column:
+def label_rule() -> str:
     """Broken when the target is given but is not exactly one of the classes."""
-    target = F.col(TARGET)
-    return target.isNotNull() & ~target.isin(*[float(c) for c in CLASSES])
+    return f"{TARGET} IS NOT NULL AND {TARGET} NOT IN (0D, 1D, 2D)"
 
 
 def import_clean(df: DataFrame, max_rows: int | None = None) -> Cleaned:
@@ -181,16 +170,12 @@ def require_rows(cleaned: Cleaned) -> Cleaned:
     return cleaned
 
 
-def rule_counts(cleaned: Cleaned, rules: dict[str, Column]) -> DataFrame:
+def rule_counts(cleaned: Cleaned, rules: dict[str, str]) -> DataFrame:
     """Broken rows per rule in one aggregate over the complete rows."""
     complete = cleaned.tagged.filter(~F.col("dropped"))
-    names = list(rules)
-    counts = complete.agg(*[F.count_if(rules[n]).alias(n) for n in names])
-    return counts.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("n_rows")) for n in names])
-        ).alias("r")
-    ).select("r.*")
+    counts = complete.agg(*[F.expr(f"count_if({broken})").alias(f"_{i}") for i, broken in enumerate(rules.values())])
+    rows = ", ".join(f"named_struct('rule', '{name}', 'n_rows', _{i})" for i, name in enumerate(rules))
+    return counts.selectExpr(f"inline(array({rows}))")
 
 
 def single_profiles(df: DataFrame) -> DataFrame:
@@ -204,7 +189,7 @@ def single_profiles(df: DataFrame) -> DataFrame:
     numbers = coerced(df.select("source_name", *names), names)
     grouped = numbers.groupBy("source_name").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(any_null(names)).alias("n_incomplete"),
+        F.expr(f"count_if({any_null(names)})").alias("n_incomplete"),
         *[F.any_value(n).alias(n) for n in names],
     )
     problem = (

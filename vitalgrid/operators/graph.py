@@ -25,8 +25,8 @@ from vitalgrid.functions.risk import (
     shape_coefficient,
 )
 from vitalgrid.operators.contributions import to_long, undecodable
+from vitalgrid.sources.dimensions import attribute_definitions
 from vitalgrid.operators.lookups import (
-    with_definitions,
     with_evaluation,
     with_importance,
     with_meaning,
@@ -109,22 +109,31 @@ def graph_ready(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(good).drop("missing_shap", "undecodable"), judged.filter(~good)
 
 
+def _with_node_parts(long: DataFrame) -> DataFrame:
+    """Everything about a feature's nodes that does not depend on the respondent.
+
+    Computed on the 21 definition rows, which are broadcast.
+    """
+    definitions = attribute_definitions(long.sparkSession).withColumns(
+        {
+            "part": slug(F.col("feature")),
+            "lower_label": F.lower("label"),
+            "domain_id": F.concat(F.lit("domain-"), F.col("domain")),
+        }
+    )
+    return long.join(F.broadcast(definitions), "feature")
+
+
 def feature_rows(df: DataFrame, importance: DataFrame | None = None) -> DataFrame:
     """One decoded row per respondent and feature, with node ids."""
-    long = with_value_text(with_meaning(with_definitions(to_long(df, [KEY]))))
+    long = with_value_text(with_meaning(_with_node_parts(to_long(df, [KEY]))))
     if importance is None:
         long = long.withColumns(
             {n: F.lit(None).cast(DETAIL_FIELDS[n]) for n in ("importance_rank", "importance_mean", "importance_std")}
         )
     else:
         long = with_importance(long, importance)
-    return long.withColumns(
-        {
-            "part": slug(F.col("feature")),
-            "domain_id": F.concat(F.lit("domain-"), F.col("domain")),
-            "direction": direction(F.col("shap_value")),
-        }
-    )
+    return long.withColumn("direction", direction(F.col("shap_value")))
 
 
 # The four nodes of a feature (slot, id prefix, type, groups).
@@ -166,7 +175,7 @@ def _feature_nodes(long: DataFrame) -> DataFrame:
     laid = long.select("*", _templates(FEATURE_NODES, ["slot", "prefix", "type", "groups"])).withColumn(
         "id", F.concat("prefix", "part")
     )
-    name = F.lower(c("label"))
+    name = c("lower_label")
     label = _slot_case(
         {
             "observation": F.concat(c("label"), F.lit(": "), c("value_text")),
@@ -334,8 +343,8 @@ def edges(df: DataFrame) -> DataFrame:
     per_respondent = df.select(KEY, "probabilities", _templates(RESPONDENT_EDGES, names)).select(
         *_edge_columns(share, F.lit(None).cast("double"))
     )
-    long = with_definitions(to_long(df, [KEY])).select(
-        KEY, "idx", "shap_value", "domain", slug(c("feature")).alias("part"), direction(c("shap_value")).alias("sign"),
+    long = _with_node_parts(to_long(df, [KEY])).select(
+        KEY, "idx", "shap_value", "domain", "part", direction(c("shap_value")).alias("sign")
     )
     by_sign = c("slot") == 6
     laid = long.select("*", _templates(FEATURE_EDGES, ["slot", "from", "to", "fixed", "words", "set"])).select(
@@ -369,11 +378,10 @@ def visible_nodes(node_table: DataFrame, view: str) -> DataFrame:
     return node_table.filter(_in_view(F.lit(view)))
 
 
-def _visible_by_view(node_table: DataFrame) -> DataFrame:
-    """Per respondent, the ids visible in each view (at most 98 ids in each)."""
-    return node_table.groupBy(KEY).agg(
-        *[F.collect_set(F.when(_in_view(F.lit(v)), F.col("id"))).alias(v) for v in VIEWS]
-    )
+def _view_bits() -> Column:
+    """One bit per view the node is visible in."""
+    bits = [F.when(_in_view(F.lit(v)), 1 << i).otherwise(0) for i, v in enumerate(VIEWS)]
+    return sum(bits[1:], bits[0])
 
 
 def visible_edges(node_table: DataFrame, edge_table: DataFrame, view: str) -> DataFrame:
@@ -389,22 +397,27 @@ def visible_edges(node_table: DataFrame, edge_table: DataFrame, view: str) -> Da
 
 def view_sizes(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Visible nodes and edges of every respondent in every view."""
-    seen = _visible_by_view(node_table)
-    joined = edge_table.select(KEY, "source", "target").join(seen, KEY)
-    shown = joined.groupBy(KEY).agg(
-        *[F.any_value(F.size(v)).cast("bigint").alias(f"{v}_nodes") for v in VIEWS],
-        *[
-            F.count_if(F.array_contains(v, F.col("source")) & F.array_contains(v, F.col("target"))).alias(f"{v}_edges")
-            for v in VIEWS
-        ],
+    marked = node_table.select(KEY, "id", _view_bits().alias("bits"))
+
+    def per_view(bits: Column) -> list[Column]:
+        return [F.count_if(F.getbit(bits, F.lit(i)) == 1) for i in range(len(VIEWS))]
+
+    seen = marked.groupBy(KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("id", "bits"))).alias("_bits"),
+        F.array(*per_view(F.col("bits"))).alias("_nodes"),
+    )
+    ends = F.try_element_at("_bits", F.col("source")).bitwiseAND(F.try_element_at("_bits", F.col("target")))
+    shown = (
+        edge_table.select(KEY, "source", "target")
+        .join(seen, KEY)
+        .select(KEY, "_nodes", ends.alias("_shared"))
+        .groupBy(KEY)
+        .agg(F.any_value("_nodes").alias("_nodes"), F.array(*per_view(F.col("_shared"))).alias("_edges"))
     )
-    rows = F.array(
-        *[
-            F.struct(F.lit(v).alias("view"), F.col(f"{v}_nodes").alias("n_nodes"), F.col(f"{v}_edges").alias("n_edges"))
-            for v in VIEWS
-        ]
+    rows = ", ".join(
+        f"named_struct('view', '{v}', 'n_nodes', _nodes[{i}], 'n_edges', _edges[{i}])" for i, v in enumerate(VIEWS)
     )
-    return shown.select(KEY, F.explode(rows).alias("v")).select(KEY, "v.*")
+    return shown.selectExpr(KEY, f"inline(array({rows}))")
 
 
 def _ends(edge_table: DataFrame) -> DataFrame:

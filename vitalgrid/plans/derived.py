@@ -7,7 +7,7 @@ for the cleaning policies. Both grow with ``orders``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES, TARGET
@@ -64,13 +64,13 @@ def survey_from(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     columns["_noise"] = f"{_spread(_NOISE)} % 4"
     base = settled(
         orders.select(F.col("o_orderkey").alias("rid"), *keep),
-        {name: F.expr(columns[name]) for name in [*FEATURES, "_noise"]},
+        {name: columns[name] for name in [*FEATURES, "_noise"]},
     )
     points = (
         "2 * HighBP + HighChol + IF(BMI >= 30, 2, 0) + IF(Age >= 9, 1, 0) + IF(GenHlth >= 4, 2, 0) + _noise"
     )
     label = f"CASE WHEN {points} >= 9 THEN 2D WHEN {points} = 8 AND rid % 5 = 0 THEN 1D ELSE 0D END"
-    return settled(base, {TARGET: F.expr(label)}).select("rid", *keep, *FEATURES, TARGET)
+    return settled(base, {TARGET: label}).select("rid", *keep, *FEATURES, TARGET)
 
 
 def _spread(multiplier: int) -> str:
@@ -90,7 +90,7 @@ def raw_survey(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) ->
         f"CASE WHEN rid % 53 = 0 THEN NULL WHEN rid % 991 = 0 THEN '3.0' WHEN rid % 983 = 0 THEN '1.5' "
         f"ELSE CAST({TARGET} AS STRING) END"
     )
-    return settled(survey(spark, sf_dir, keep), {c: F.expr(text) for c, text in spoiled.items()})
+    return settled(survey(spark, sf_dir, keep), spoiled)
 
 
 def _leaf(cover: float, *weights: float) -> Node:
@@ -143,10 +143,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo_score(survey(spark, sf_dir)).withColumn(NUMBER, F.col("rid") + 1)
 
 
-def made_shap() -> Column:
+def made_shap() -> str:
     """Contributions with ties and zeros, computed from the row id alone."""
     values = [f"CAST((rid + 1) * {31 + 17 * i} % 401 - 200 AS DOUBLE) / 1024" for i in range(len(FEATURES))]
-    return F.expr(f"array({', '.join(values)})")
+    return f"array({', '.join(values)})"
 
 
 def contributed(spark: SparkSession, sf_dir: str) -> DataFrame:
