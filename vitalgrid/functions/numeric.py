@@ -33,7 +33,12 @@ def whole_code(value: Column) -> Column:
 
 
 def fixed_text(value: Column, decimals: int) -> Column:
-    """Decimal text with half-even rounding of the exact value, no separators."""
+    """Decimal text with half-even rounding, no separators.
+
+    Exact ties such as 0.0625 go to the even digit. A value like 0.0005, whose
+    shortest decimal form ends right after the kept digits in a 5 that its binary
+    form only approximates, can differ by one in the last digit.
+    """
     return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
 
 

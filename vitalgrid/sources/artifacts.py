@@ -34,16 +34,12 @@ def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics document as one row; a missing or corrupt file gives no row."""
-    corrupt = "_corrupt string"
 
     def read():
-        df = (
-            spark.read.schema(f"{METRICS_SCHEMA}, {corrupt}")
-            .option("multiLine", True)
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .json(path)
-        )
-        return df.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+        whole = spark.read.option("wholetext", True).text(path)
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        parsed = whole.select(F.from_json("value", f"{METRICS_SCHEMA}, _corrupt string", options).alias("m"))
+        return parsed.select("m.*").filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
     return _or_empty(spark, read, METRICS_SCHEMA)
 
