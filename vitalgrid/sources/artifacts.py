@@ -36,7 +36,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics document as one row; a missing or corrupt file gives no row."""
 
     def read():
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
         parsed = whole.select(F.from_json("value", f"{METRICS_SCHEMA}, _corrupt string", options).alias("m"))
         return parsed.select("m.*").filter(F.col("_corrupt").isNull()).drop("_corrupt")
