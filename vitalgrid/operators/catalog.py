@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.sources import dimensions as dim
 
 # Node label -> unique key property.
@@ -138,7 +139,7 @@ def detach_delete(
     kept_nodes = nodes.filter(~F.coalesce(doomed, F.lit(False)))
     kept_edges = edges
     for end in ("source", "target"):
-        kept_edges = kept_edges.join(gone.withColumnRenamed("_gone", end), [*group, end], "left_anti")
+        kept_edges = kept_edges.join(by_shuffle(gone.withColumnRenamed("_gone", end)), [*group, end], "left_anti")
     return kept_nodes, kept_edges.select(*edges.columns)
 
 

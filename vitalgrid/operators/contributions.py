@@ -16,6 +16,7 @@ from vitalgrid import codebook as cb
 from vitalgrid.codebook import FEATURES
 from vitalgrid.functions.decode import meaning_at, text_array
 from vitalgrid.functions.numeric import number_text
+from vitalgrid.operators.ordering import by_shuffle
 
 
 def profile_array() -> Column:
@@ -59,7 +60,7 @@ def missing_contributions(respondents: DataFrame, long: DataFrame, key: str) ->
     complete = reduce(lambda a, b: a & b, [F.col(f"_{f}").isNotNull() for f in FEATURES])
     return (
         respondents.select(key)
-        .join(have, key, "left")
+        .join(by_shuffle(have), key, "left")
         .filter(F.coalesce(~complete, F.lit(True)))
         .select(key, F.explode(absent).alias("feature"))
     )
@@ -97,26 +98,38 @@ def opposing(shap: Column, k: int = 2) -> Column:
     return F.slice(F.filter(ranked(shap, lambda v, i: [v, -i]), lambda e: e["v"] < 0), 1, k)
 
 
-def attribute_list() -> Column:
-    """``array<struct<key,label,kind,domain,value,state,shap_value>>`` in feature order."""
+def attribute_entries(constants: dict[str, dict[str, str]], raw: bool = False) -> Column:
+    """One struct per feature, in feature order, decoded inside the row.
 
-    def constant(of: dict[str, str]) -> Column:
-        return F.expr(text_array([of[f] for f in FEATURES]))
+    ``constants`` names texts that depend on the feature alone; they come from
+    constant arrays by position. ``raw`` adds the position and the number itself.
+    A lambda over the profile array keeps the generated code small, where 21
+    unrolled structs would grow past what the JVM compiles.
+    """
 
-    labels, kinds = constant(cb.ATTRIBUTE_LABEL), constant(cb.ATTRIBUTE_KIND)
-    domains = constant({f: cb.DOMAIN_LABEL[cb.DOMAIN_OF[f]] for f in FEATURES})
-    keys = constant({f: f for f in FEATURES})
-    return F.transform(
-        profile_array(),
-        lambda value, i: F.struct(
-            F.get(keys, i).alias("key"),
-            F.get(labels, i).alias("label"),
-            F.get(kinds, i).alias("kind"),
-            F.get(domains, i).alias("domain"),
+    def entry(value: Column, i: Column) -> Column:
+        fixed = [F.get(F.expr(text_array([of[f] for f in FEATURES])), i).alias(name) for name, of in constants.items()]
+        own = [i.cast("int").alias("idx"), value.alias("raw_value")] if raw else []
+        return F.struct(
+            *own,
+            *fixed,
             number_text(value).alias("value"),
             meaning_at(i, value).alias("state"),
             F.get("shap", i).alias("shap_value"),
-        ),
+        )
+
+    return F.transform(profile_array(), entry)
+
+
+def attribute_list() -> Column:
+    """``array<struct<key,label,kind,domain,value,state,shap_value>>`` in feature order."""
+    return attribute_entries(
+        {
+            "key": {f: f for f in FEATURES},
+            "label": cb.ATTRIBUTE_LABEL,
+            "kind": cb.ATTRIBUTE_KIND,
+            "domain": {f: cb.DOMAIN_LABEL[cb.DOMAIN_OF[f]] for f in FEATURES},
+        }
     )
 
 

@@ -2,8 +2,8 @@
 
 Each respondent contributes 98 nodes and 135 edges. Both tables come from two
 projections of the scored rows - one per respondent, one per respondent and
-feature - so building them shuffles nothing; only the definition tables are
-broadcast. Keys are ``(patient_number, id)``.
+feature - so building them shuffles nothing; only global importance and the
+model's evaluation are broadcast. Keys are ``(patient_number, id)``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import codebook as cb
 from vitalgrid.codebook import FEATURES
-from vitalgrid.functions.decode import slug, slug_of
+from vitalgrid.functions.decode import slug_of
 from vitalgrid.functions.numeric import percent_text, signed_text
 from vitalgrid.functions.risk import (
     class_label,
@@ -24,14 +24,9 @@ from vitalgrid.functions.risk import (
     risk_colour,
     shape_coefficient,
 )
-from vitalgrid.operators.contributions import to_long, undecodable
-from vitalgrid.sources.dimensions import attribute_definitions
-from vitalgrid.operators.lookups import (
-    with_evaluation,
-    with_importance,
-    with_meaning,
-    with_value_text,
-)
+from vitalgrid.operators.contributions import attribute_entries, undecodable
+from vitalgrid.operators.lookups import with_evaluation, with_importance
+from vitalgrid.operators.ordering import by_shuffle
 
 KEY = "patient_number"
 
@@ -109,28 +104,28 @@ def graph_ready(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(good).drop("missing_shap", "undecodable"), judged.filter(~good)
 
 
-def _with_node_parts(long: DataFrame) -> DataFrame:
-    """Everything about a feature's nodes that does not depend on the respondent.
+def feature_rows(df: DataFrame, importance: DataFrame | None = None) -> DataFrame:
+    """One decoded row per respondent and feature, with the parts of its node ids.
 
-    Computed on the 21 definition rows, which are broadcast.
+    Everything that depends on the feature alone is a constant looked up by
+    position, so no table is joined unless there is a global importance.
     """
-    definitions = attribute_definitions(long.sparkSession).withColumns(
+    entries = attribute_entries(
         {
-            "part": slug(F.col("feature")),
-            "lower_label": F.lower("label"),
-            "domain_id": F.concat(F.lit("domain-"), F.col("domain")),
-        }
+            "feature": {f: f for f in FEATURES},
+            "part": {f: slug_of(f) for f in FEATURES},
+            "label": cb.ATTRIBUTE_LABEL,
+            "lower_label": {f: label.lower() for f, label in cb.ATTRIBUTE_LABEL.items()},
+            "kind": cb.ATTRIBUTE_KIND,
+            "domain_id": {f: f"domain-{domain}" for f, domain in cb.DOMAIN_OF.items()},
+            "domain_label": {f: cb.DOMAIN_LABEL[domain] for f, domain in cb.DOMAIN_OF.items()},
+        },
+        raw=True,
     )
-    return long.join(F.broadcast(definitions), "feature")
-
-
-def feature_rows(df: DataFrame, importance: DataFrame | None = None) -> DataFrame:
-    """One decoded row per respondent and feature, with node ids."""
-    long = with_value_text(with_meaning(_with_node_parts(to_long(df, [KEY]))))
+    long = df.select(KEY, F.inline(entries)).withColumnsRenamed({"value": "value_text", "raw_value": "value"})
     if importance is None:
-        long = long.withColumns(
-            {n: F.lit(None).cast(DETAIL_FIELDS[n]) for n in ("importance_rank", "importance_mean", "importance_std")}
-        )
+        missing = {n: F.lit(None).cast(DETAIL_FIELDS[n]) for n in ("importance_rank", "importance_mean", "importance_std")}
+        long = long.withColumns(missing)
     else:
         long = with_importance(long, importance)
     return long.withColumn("direction", direction(F.col("shap_value")))
@@ -343,9 +338,11 @@ def edges(df: DataFrame) -> DataFrame:
     per_respondent = df.select(KEY, "probabilities", _templates(RESPONDENT_EDGES, names)).select(
         *_edge_columns(share, F.lit(None).cast("double"))
     )
-    long = _with_node_parts(to_long(df, [KEY])).select(
-        KEY, "idx", "shap_value", "domain", "part", direction(c("shap_value")).alias("sign")
+    features = ", ".join(
+        f"named_struct('idx', {i}, 'part', '{slug_of(f)}', 'domain', '{cb.DOMAIN_OF[f]}', 'shap_value', get(shap, {i}))"
+        for i, f in enumerate(FEATURES)
     )
+    long = df.selectExpr(KEY, f"inline(array({features}))").withColumn("sign", direction(c("shap_value")))
     by_sign = c("slot") == 6
     laid = long.select("*", _templates(FEATURE_EDGES, ["slot", "from", "to", "fixed", "words", "set"])).select(
         KEY,
@@ -392,7 +389,7 @@ def visible_edges(node_table: DataFrame, edge_table: DataFrame, view: str) -> Da
     """
     seen = visible_nodes(node_table, view).groupBy(KEY).agg(F.collect_set("id").alias("_seen"))
     both = F.array_contains("_seen", F.col("source")) & F.array_contains("_seen", F.col("target"))
-    return edge_table.join(seen, KEY).filter(both).drop("_seen")
+    return edge_table.join(by_shuffle(seen), KEY).filter(both).drop("_seen")
 
 
 def view_sizes(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
@@ -409,7 +406,7 @@ def view_sizes(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     ends = F.try_element_at("_bits", F.col("source")).bitwiseAND(F.try_element_at("_bits", F.col("target")))
     shown = (
         edge_table.select(KEY, "source", "target")
-        .join(seen, KEY)
+        .join(by_shuffle(seen), KEY)
         .select(KEY, "_nodes", ends.alias("_shared"))
         .groupBy(KEY)
         .agg(F.any_value("_nodes").alias("_nodes"), F.array(*per_view(F.col("_shared"))).alias("_edges"))
@@ -434,15 +431,19 @@ def connections(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     labels = node_table.groupBy(KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("id", F.col("label").alias("l")))).alias("_labels")
     )
-    seen = _ends(edge_table.select(KEY, "edge_number", "source", "target", F.col("label").alias("edge_label")))
-    return seen.join(labels, KEY).select(
-        KEY,
-        "node",
-        "edge_number",
-        "direction",
-        "edge_label",
-        "other",
-        F.try_element_at("_labels", F.col("other")).alias("other_label"),
+    # label both ends first: each edge meets the labels once, then shows up twice
+    labelled = (
+        edge_table.select(KEY, "edge_number", "source", "target", F.col("label").alias("edge_label"))
+        .join(by_shuffle(labels), KEY)
+        .select(
+            KEY, "edge_number", "source", "target", "edge_label",
+            F.try_element_at("_labels", F.col("source")).alias("source_label"),
+            F.try_element_at("_labels", F.col("target")).alias("target_label"),
+        )
+    )
+    other_label = F.when(F.col("direction") == "out", F.col("target_label")).otherwise(F.col("source_label"))
+    return _ends(labelled).select(
+        KEY, "node", "edge_number", "direction", "edge_label", "other", other_label.alias("other_label")
     )
 
 
@@ -460,11 +461,11 @@ def faded_nodes(node_table: DataFrame, edge_table: DataFrame, focus: str) -> Dat
         F.array_union(F.collect_set("source"), F.collect_set("target")).alias("_near")
     )
     inside = F.coalesce(F.array_contains("_near", F.col("id")), F.lit(False)) | (F.col("id") == focus)
-    return node_table.join(near, KEY, "left").filter(~inside).drop("_near")
+    return node_table.join(by_shuffle(near), KEY, "left").filter(~inside).drop("_near")
 
 
 def dangling_edges(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Edges with an end that is no node of the same respondent."""
     known = node_table.groupBy(KEY).agg(F.collect_set("id").alias("_ids"))
     both = F.array_contains("_ids", F.col("source")) & F.array_contains("_ids", F.col("target"))
-    return edge_table.join(known, KEY, "left").filter(~F.coalesce(both, F.lit(False))).drop("_ids")
+    return edge_table.join(by_shuffle(known), KEY, "left").filter(~F.coalesce(both, F.lit(False))).drop("_ids")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES
 from vitalgrid.operators.metrics import cell_counts, macro_f1
-from vitalgrid.operators.ordering import BUCKET, hash_bucket, numbered
+from vitalgrid.operators.ordering import BUCKET, by_shuffle, hash_bucket, numbered
 from vitalgrid.operators.split import hash_sample, row_digest
 from vitalgrid.session import written
 
@@ -41,7 +41,7 @@ def permuted_rows(
     donors = _positions(repeated, digest, ["repeat"], digits).select(
         "repeat", "_position", *[F.col(f).alias(f"_{f}") for f in FEATURES]
     )
-    paired = base.join(donors, ["repeat", "_position"])
+    paired = base.join(by_shuffle(donors), ["repeat", "_position"])
     names = ", ".join(f"'{f}'" for f in FEATURES)
     return paired.withColumn("feature", F.expr(f"explode(array({names}))")).selectExpr(
         "rid", label, "repeat", "feature", *[f"IF(feature = '{f}', _{f}, {f}) AS {f}" for f in FEATURES]

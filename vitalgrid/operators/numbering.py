@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.codebook import TARGET
 from vitalgrid.functions.risk import recorded_label, sex_word
-from vitalgrid.operators.ordering import BUCKET, numbered, range_bucket
+from vitalgrid.operators.ordering import BUCKET, by_shuffle, numbered, range_bucket
 
 NUMBER = "patient_number"
 
@@ -65,4 +65,4 @@ def neighbour_windows(numbered_rows: DataFrame, requests: DataFrame, size: int =
         sex_word(F.col("Sex"), "Male", "Female").alias("sex"),
         "actual_label",
     )
-    return wanted.join(rows, NUMBER)
+    return wanted.join(by_shuffle(rows), NUMBER)

@@ -15,6 +15,15 @@ from pyspark.sql.window import Window
 BUCKET = "_bucket"
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Mark a side that grows with the respondents, so that it is never broadcast.
+
+    Size estimates do not see that a generator turns one row into a hundred, so
+    a table made by one can pass for small and be sent to every executor whole.
+    """
+    return df.hint("merge")
+
+
 def range_bucket(df: DataFrame, key: str, buckets: int | None = None, bounds_from: DataFrame | None = None) -> DataFrame:
     """Add ``_bucket``, which never falls as the numeric ``key`` rises.
 

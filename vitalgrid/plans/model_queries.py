@@ -20,6 +20,7 @@ from vitalgrid.operators import (
     split,
     summary,
 )
+from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, demo_forest, demo_score, scored, survey, survey_from, table
 from vitalgrid.session import run_folder, written
 from vitalgrid.sources.artifacts import ranked_importance
@@ -94,7 +95,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.stratified_split(survey(spark, sf_dir)).filter("is_test").drop("is_test")
+    """The test part, written once because the sampling passes over it three times."""
+    return written(split.stratified_split(survey(spark, sf_dir)).filter("is_test").drop("is_test"))
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +193,7 @@ def profile_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = contributions.to_long(rows, ["rid"]).select("rid", "feature", "shap_value")
     clinical = attribute_definitions(spark).filter("domain = 'clinical'").select("feature")
     known = ranked_importance(_made_importance(spark, sf_dir)).join(F.broadcast(clinical), "feature", "left_semi")
-    joined = lookups.with_definitions(profile.join(stored, ["rid", "feature"]))
+    joined = lookups.with_definitions(profile.join(by_shuffle(stored), ["rid", "feature"]))
     return lookups.with_importance(joined, known).select(
         "rid", "feature", "value", "shap_value", "label", "domain_label", "importance_rank"
     )
