@@ -64,12 +64,15 @@ def permutation_importance(
     sample_size: int | None = 1000,
     repeats: int = 3,
     seed: int = 42,
-    digits: int = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """Mean and population deviation of the macro-F1 loss per feature.
 
-    ``sample_size`` rows of ``df`` take part; ``None`` takes all of them.
+    ``sample_size`` rows of ``df`` take part; ``None`` takes all of them, and
+    then more and smaller digest ranges are used.
     """
+    if digits is None:
+        digits = 3 if sample_size is None else 2
     rows = df
     if sample_size is not None:
         # the sample is read five times below; its selection should run once

@@ -166,12 +166,16 @@ def _bucketed_scores(counts: DataFrame, ranges: int) -> DataFrame:
     return placed.withColumn(BUCKET, above).drop("_bounds")
 
 
-def cumulative_counts(counts: DataFrame, ranges: int = 16) -> DataFrame:
+def cumulative_counts(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     """Positives and negatives at or above each score, per class.
 
     ``ranges`` cuts per class; the three-row class key alone would leave each
-    class to one task.
+    class to one task. By default they follow the session's shuffle partitions.
+    The scores themselves are all kept: ranges only share out the work.
     """
+    if ranges is None:
+        partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(256, max(16, partitions // len(CLASSES)))
     return running_totals(
         _bucketed_scores(counts, ranges), [F.desc("score")], {"tp": "n_pos", "fp": "n_neg"}, ["class_id"]
     )
@@ -181,7 +185,7 @@ def class_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("class_id").agg(F.sum("n_pos").alias("p_all"), F.sum("n_neg").alias("n_all"))
 
 
-def roc_points(counts: DataFrame, ranges: int = 16) -> DataFrame:
+def roc_points(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     """One-vs-rest ROC points of each class: the origin, then one point per distinct score."""
     totals = class_totals(counts)
     points = cumulative_counts(counts, ranges).join(F.broadcast(totals), "class_id").select(
@@ -196,7 +200,7 @@ def roc_points(counts: DataFrame, ranges: int = 16) -> DataFrame:
     return origin.unionByName(points)
 
 
-def auc(counts: DataFrame, ranges: int = 16) -> DataFrame:
+def auc(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     """Area under each class's curve from exact integer pair counts.
 
     Twice the area is the number of (positive, negative) pairs ranked right,

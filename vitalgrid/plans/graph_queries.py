@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES, TARGET
+from vitalgrid.functions.decode import bmi_range
 from vitalgrid.operators import catalog, evidence, graph, metrics, scenario, summary
 from vitalgrid.operators.numbering import NUMBER
 from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _made_importance, _simulated
 from vitalgrid.sources.artifacts import ranked_importance
-from vitalgrid.sources.dimensions import bmi_ranges
 
 
 def _evaluation(rows: DataFrame) -> DataFrame:
@@ -159,11 +159,11 @@ def catalog_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = summary.value_counts(rows, [f for f in FEATURES if f not in ("BMI", "MentHlth", "PhysHlth")]).select(
         F.concat_ws(":", "feature", F.col("value").cast("int").cast("string")).alias("node_key"), "n_rows"
     )
-    sizes = summary.value_counts(rows, ["BMI"]).join(
-        F.broadcast(bmi_ranges(spark)),
-        (F.col("value") >= F.col("minimum")) & (F.col("maximum").isNull() | (F.col("value") < F.col("maximum"))),
+    ranges = (
+        summary.value_counts(rows, ["BMI"])
+        .groupBy(bmi_range(F.col("value"), "id").alias("node_key"))
+        .agg(F.sum("n_rows").alias("n_rows"))
     )
-    ranges = sizes.groupBy(F.col("category_id").alias("node_key")).agg(F.sum("n_rows").alias("n_rows"))
     used = nodes.join(codes.unionByName(ranges), "node_key", "left")
     incoming = links.groupBy(F.col("target_label").alias("node_label"), F.col("target_key").alias("node_key")).agg(
         F.array_join(F.array_sort(F.collect_set("relationship")), ",").alias("linked_by"),

@@ -14,7 +14,7 @@ from vitalgrid.plans.derived import raw_survey, survey, table
 from vitalgrid.sources import dimensions as dim
 from vitalgrid.sources import survey as source
 from vitalgrid.sources.artifacts import write_csv
-from vitalgrid.session import run_folder
+from vitalgrid.session import run_folder, written
 
 NUMBER = numbering.NUMBER
 
@@ -105,7 +105,7 @@ def recorded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _numbered(spark, sf_dir)
+    rows = written(_numbered(spark, sf_dir))
     return numbering.neighbour_windows(rows, rows.select(NUMBER))
 
 
