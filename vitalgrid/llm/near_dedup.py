@@ -15,9 +15,10 @@ Steps, none of which gathers a group in one task:
 3. Every bucket proposes its smallest set and its smallest id as partners of
    all its members: two aggregates, no pairs within the bucket. Proposals are
    verified on full sets.
-4. Buckets that still hold more than one group propose all pairs across their
-   groups, so no link between different texts is left to the choice of
-   partners; signatures far from the bound go first, the rest is verified.
+4. Buckets that still hold more than one group are compared in blocks, all
+   members with all, so no link between different texts is left to the choice
+   of partners. Signatures far from the bound go first; the sets of the rest are
+   compared exactly, and a block returns only links that join its groups.
 5. Verified links become components by hooking to the smallest neighbour and
    halving paths, until nothing changes.
 
@@ -47,6 +48,8 @@ BANDS, ROWS = 36, 5
 #: Pairs of step 4 whose signatures agree in a smaller share than this are not
 #: verified: at a true similarity of 0.75 that is 4.6 deviations off.
 LEAST_AGREEMENT = 0.60
+#: Members of a bucket in one block of step 4.
+CHUNK = 512
 #: Set elements ranked at once; bounds the memory for permutations.
 BLOCK_ELEMENTS = 100_000
 _MOST = np.uint64(2**64 - 1)
@@ -175,21 +178,130 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return LINK_BOTTOM * common_ >= LINK_TOP * (len(x) + len(y) - common_)
 
 
-def _alike(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Drop pairs whose signatures are far from the bound."""
-    both = (
-        pairs.join(by_shuffle(ranks.select(F.col("doc_id").alias("a"), F.col("ranks").alias("left"))), "a")
-        .join(by_shuffle(ranks.select(F.col("doc_id").alias("b"), F.col("ranks").alias("right"))), "b")
+def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different groups of one bucket, enough of them to join all groups that are linked.
+
+    Buckets are compared in blocks of ``CHUNK`` x ``CHUNK`` members. The first
+    pass compares signatures and names the members that have a partner worth a
+    look; only these are sent with their full sets to the second, which counts
+    common shingles exactly and returns the links of a spanning forest. No pair
+    leaves a block otherwise.
+    """
+    grouped = members.select("key", "doc_id").join(by_shuffle(groups), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component_id", "doc_id").alias("g")
     )
+    open_ = grouped.groupBy("key").agg(
+        F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count("*") / CHUNK).alias("chunks")
+    ).filter("low < high").select("key", "chunks")
+    one = reps.select("doc_id", "n_shingles", "ranks").dropDuplicates(["doc_id"])
+    placed = _placed(grouped.join(by_shuffle(open_), "key")).join(by_shuffle(one), "doc_id")
+    worth = common.stored(_in_blocks(placed, _promising, "key bigint, i int, j int, doc_id bigint, h int, g bigint"))
+    ids = worth.select("doc_id").distinct()
+    sets = common.stored(sets_of(docs.join(by_shuffle(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    return _in_blocks(worth.join(by_shuffle(sets), "doc_id"), _forest, "a bigint, b bigint").distinct()
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Every row once per block of its bucket: chunk h meets chunk k in block (min, max)."""
+    own = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    met = own.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    return met.select("key", "doc_id", "g", "h", F.least("h", "k").alias("i"), F.greatest("h", "k").alias("j"))
+
+
+def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Apply ``work`` to the rows of each (key, i, j), which arrive next to each other."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            a, b, left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "left", "right"))
-            x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(len(batch), -1) for s in (left, right))
-            mask = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT if len(batch) else [], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            tags = np.stack([held[c].to_numpy() for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((tags[:, 1:] != tags[:, :-1]).any(axis=0)) + 1
+            begin = 0
+            for end in cuts.tolist():
+                yield from done(held.slice(begin, end - begin))
+                begin = end
+            held = held.slice(begin).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from done(held)
+
+    def done(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        out = work(block)
+        if out and len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    h, i, j = (block[c].to_numpy() for c in ("h", "i", "j"))
+    return np.flatnonzero(h == i), np.flatnonzero(h == j)
+
+
+def _promising(block: pa.Table) -> tuple:
+    """Members with a partner of another group, of fitting size and with a signature near enough."""
+    x, y = _sides(block)
+    ids, g, n = (block[c].to_numpy() for c in ("doc_id", "g", "n_shingles"))
+    ranks = np.frombuffer(b"".join(block["ranks"].to_pylist()), np.uint16).reshape(len(ids), -1)
+    chosen = np.zeros(len(ids), bool)
+    for k in range(0, len(x), 32):
+        part = x[k : k + 32]
+        alike = (ranks[part][:, None, :] == ranks[y][None]).mean(axis=2) >= LEAST_AGREEMENT
+        small, large = np.minimum(n[part][:, None], n[y]), np.maximum(n[part][:, None], n[y])
+        fit = alike & (g[part][:, None] != g[y]) & (LINK_BOTTOM * small >= LINK_TOP * large)
+        chosen[part[fit.any(axis=1)]] = True
+        chosen[y[fit.any(axis=0)]] = True
+    at = np.flatnonzero(chosen)
+    return tuple(block[c].to_numpy()[at] for c in ("key", "i", "j", "doc_id", "h", "g"))
+
+
+def _forest(block: pa.Table) -> tuple:
+    """Verified links between groups of a block that its earlier links do not already join."""
+    x, y = _sides(block)
+    ids, g = block["doc_id"].to_numpy(), block["g"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in block["shingles"].to_pylist()]
+    n = np.array([len(s) for s in sets])
+    both = _common_counts(sets, x, y)
+    linked = LINK_BOTTOM * both >= LINK_TOP * (n[x][:, None] + n[y] - both)
+    parent = {int(v): int(v) for v in np.unique(g)}
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    a, b = [], []
+    for p, q in np.argwhere(linked & (g[x][:, None] != g[y])).tolist():
+        left, right = root(int(g[x[p]])), root(int(g[y[q]]))
+        if left != right:
+            parent[max(left, right)] = min(left, right)
+            a.append(int(ids[x[p]]))
+            b.append(int(ids[y[q]]))
+    return a, b
+
+
+def _common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Exact sizes of all intersections of two lists of sets, by slices of the shingles that occur twice."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    owner, column = owner[shared], order[column[shared]]
+    counts = np.zeros((len(x), len(y)), np.int64)
+    sort = np.argsort(column, kind="stable")
+    owner, column = owner[sort], column[sort]
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [begin, begin + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[lo:hi], column[lo:hi] - begin] = 1
+        counts += (held[x] @ held[y].T).astype(np.int64)
+    return counts
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,20 +354,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = common.stored(_verified(pairs, docs))
     # an id that stands for two sets (a repeated id) ties their classes together
     groups = components(links)
-    left = members.select("key", "doc_id").join(by_shuffle(groups), "doc_id", "left").withColumn(
-        "g", F.coalesce("component_id", "doc_id")
-    )
-    mixed = left.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key")
-    open_ = common.stored(left.join(by_shuffle(mixed), "key", "left_semi").select("key", "doc_id", "g"))
-    across = (
-        open_.alias("x").join(by_shuffle(open_).alias("y"), "key")
-        .filter("x.doc_id < y.doc_id AND x.g <> y.g")
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        .join(by_shuffle(pairs), ["a", "b"], "left_anti")
-    )
-    ranks = reps.select("doc_id", "ranks").dropDuplicates(["doc_id"])
-    rest = common.stored(_alike(across, ranks))
-    links = links.union(_verified(rest, docs))
+    rest = common.stored(_across(members, groups, reps, docs))
+    links = links.union(rest)
     groups = components(links)
     # members of a class get the group of its representative; groups carry the smallest id of all classes
     named = classes.select("fingerprint", "rep").join(
