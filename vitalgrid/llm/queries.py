@@ -4,7 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import common, near_dedup
+from vitalgrid.llm import common, decontaminate, near_dedup, pii, quality_rules
+
+
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits and verdict of every document."""
+    return decontaminate.report(
+        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    )
+
+
+def op9_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted figures and verdict of every document."""
+    return quality_rules.judged(common.table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"
+    )
 
 
 def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +32,9 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_contextual_pii": op5_contextual_pii,
+    "op6_ngram_decontamination": op6_ngram_decontamination,
+    "op9_kneser_ney_quality_rules": op9_kneser_ney_quality_rules,
     "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
 }
 
