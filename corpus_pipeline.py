@@ -8,8 +8,14 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalgrid.llm import common, near_dedup
+from vitalgrid.llm import common, decontaminate, near_dedup, packing, pii, quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.passed(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +23,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.deduplicated(docs)
 
 
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; ``n_chars`` follows the text."""
+    columns = docs.columns
+    masked = pii.masked(docs)
+    if "n_chars" in columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of equal length."""
+    return packing.packed(packing.pieces(docs))
+
+
 STAGES = [
+    ("quality_rules", quality),
     ("near_dedup", near_duplicates),
+    ("decontamination", contamination),
+    ("pii", personal_data),
+    ("packing", packed_sequences),
 ]
 
 #: The stages cannot be expressed in SQL; tests compare them with plain Python.

@@ -4,8 +4,9 @@ Both vocabularies used here cut a text into pieces before they merge bytes, and
 no piece reaches over a single space between two characters that are not blank:
 the only pattern that takes such a space takes it as a piece's first character.
 So a text's tokens are the tokens of its stretches between such spaces, one
-after the other. Stretches repeat (mostly words), and each different one is
-encoded by the library once per worker.
+after the other. Stretches repeat, and each different one is encoded once per
+worker: whole by the library, or, if it consists of Latin letters, plain marks
+and single line ends, piece by piece by the library's model.
 """
 
 from __future__ import annotations
@@ -15,47 +16,90 @@ import re
 
 import numpy as np
 
-from vitalgrid.llm.common import Cache
-
 #: A single space between two characters that are not blank; Python's blanks include all of the libraries'.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s |\s$|^\s| \s")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!#$%&*+,./:;=?@|-]+|\n(?=\S)")
 
 
 def stretches(text: str) -> list[str]:
     """The text between safe cuts; joined by one space they give the text again."""
-    return text.split(" ") if not _ODD.search(text) else CUT.split(text)
+    return CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in that byte-level vocabularies use for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_LETTER = _byte_letters()
+
+
+class _Recent(dict):
+    """Key -> ids, worked out once. Two generations: what is asked for stays, the rest goes when the newer one is full."""
+
+    def __init__(self, value, limit: int):
+        super().__init__()
+        self.value, self.limit, self.old = value, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.value(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
     """One tokenizer file, with the ids of recent stretches.
 
-    ``lead``: put the space back in front of all stretches but a text's first,
-    for vocabularies in which it belongs to the next token.
+    ``lead``: byte-level vocabularies, where the space before a stretch belongs
+    to its first token. Otherwise words end in a mark, case is folded and blanks
+    are dropped.
     """
 
-    def __init__(self, path: str, lead: bool, limit: int = 250_000):
+    def __init__(self, path: str, lead: bool, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.lead = lead
-        self.known = Cache(self._ids, limit)
-
-    def _ids(self, stretch: str) -> bytes:
-        return np.array(self.library.encode(stretch, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def pieces(self, text: str) -> list[bytes]:
-        """Little-endian 32-bit ids of every stretch of the text."""
-        parts = stretches(text)
-        if self.lead and len(parts) > 1:
-            first, *rest = parts
-            # the key of a stretch with its space in front is the stretch after one more space than it can begin with
-            return [self.known[first], *map(self.known.__getitem__, (" " + " \0".join(rest)).split("\0"))]
-        return list(map(self.known.__getitem__, parts))
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.pieces(text)), np.uint32)
+        self.pieces = _Recent(self._piece, limit)
+        self.known = _Recent(self._stretch, limit)
+
+    def whole(self, text: str) -> bytes:
+        """Little-endian 32-bit ids, by the library."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        letters = "".join(map(_LETTER.__getitem__, (piece if self.lead else piece.lower()).encode()))
+        return np.array([t.id for t in self.model.tokenize(letters)], np.uint32).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch that is not the first of its text."""
+        parts = _PLAIN.findall(stretch)
+        if not parts or "".join(parts) != stretch:
+            return self.whole(" " + stretch if self.lead else stretch)
+        if self.lead:
+            parts[0] = " " + parts[0]
+        else:
+            parts = [p for p in parts if p != "\n"]
+        return b"".join(map(self.pieces.__getitem__, parts))
+
+    def parts(self, text: str) -> list[bytes]:
+        """Ids of every stretch of the text, in order."""
+        first, *rest = stretches(text)
+        return [self.whole(first) if self.lead else self.known[first], *map(self.known.__getitem__, rest)]
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of the whole text."""
+        return b"".join(self.parts(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import common, decontaminate, near_dedup, pii, quality_rules
+from vitalgrid.llm import common, decontaminate, near_dedup, packing, pii, quality_rules, token_count, training_order
+
+
+def op2_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_count.counts(common.table(spark, sf_dir, "documents"))
+
+
+def op3_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the shards of all documents; slot, place and checksum of every sequence."""
+    return training_order.shard_table(spark, f"{sf_dir}/documents.parquet")[0]
 
 
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +29,11 @@ def op6_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return packing.packed(packing.pieces(common.table(spark, sf_dir, "documents")))
+
+
 def op9_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted figures and verdict of every document."""
     return quality_rules.judged(common.table(spark, sf_dir, "documents")).select(
@@ -32,8 +47,11 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_resynchronised_token_counts": op2_resynchronised_token_counts,
+    "op3_feistel_training_order": op3_feistel_training_order,
     "op5_contextual_pii": op5_contextual_pii,
     "op6_ngram_decontamination": op6_ngram_decontamination,
+    "op8_grouping_genetic_packing": op8_grouping_genetic_packing,
     "op9_kneser_ney_quality_rules": op9_kneser_ney_quality_rules,
     "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
 }
