@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import common, decontaminate, near_dedup, packing, pii, quality_rules, token_count, training_order
+from vitalgrid.llm import (
+    boosting,
+    common,
+    decontaminate,
+    language_id,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    token_count,
+    training_order,
+)
 
 
 def op2_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +28,12 @@ def op3_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.shard_table(spark, f"{sf_dir}/documents.parquet")[0]
 
 
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    docs = common.table(spark, sf_dir, "documents")
+    return boosting.scored(docs, boosting.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data spans of every document."""
     return pii.report(common.table(spark, sf_dir, "documents"))
@@ -29,6 +46,12 @@ def op6_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_recurrent_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = common.table(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.train(docs))
+
+
 def op8_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     return packing.packed(packing.pieces(common.table(spark, sf_dir, "documents")))
@@ -49,8 +72,10 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_resynchronised_token_counts": op2_resynchronised_token_counts,
     "op3_feistel_training_order": op3_feistel_training_order,
+    "op4_boosted_quality": op4_boosted_quality,
     "op5_contextual_pii": op5_contextual_pii,
     "op6_ngram_decontamination": op6_ngram_decontamination,
+    "op7_recurrent_language_id": op7_recurrent_language_id,
     "op8_grouping_genetic_packing": op8_grouping_genetic_packing,
     "op9_kneser_ney_quality_rules": op9_kneser_ney_quality_rules,
     "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
