@@ -9,6 +9,7 @@ from vitalgrid.llm import (
     common,
     decontaminate,
     language_id,
+    language_model,
     near_dedup,
     packing,
     pii,
@@ -18,6 +19,11 @@ from vitalgrid.llm import (
 )
 
 
+def op1_recurrent_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned outside the held-out fold."""
+    return language_model.model_scores(common.table(spark, sf_dir, "documents"))
+
+
 def op2_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_count.counts(common.table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_recurrent_lm_scoring": op1_recurrent_lm_scoring,
     "op2_resynchronised_token_counts": op2_resynchronised_token_counts,
     "op3_feistel_training_order": op3_feistel_training_order,
     "op4_boosted_quality": op4_boosted_quality,
