@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.session import run_folder
 
 #: Rows per Arrow batch. Texts differ in length by five orders of magnitude, so
@@ -59,6 +60,21 @@ def texts(docs: DataFrame, *columns: str, text: str = "text", doc_id: str = "doc
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is among the ``doc_id`` of ``gone``; rows with a null id stay."""
+    name = fresh(docs, "_gone")
+    ids = gone.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(by_shuffle(ids), docs["doc_id"] == F.col(name), "left_anti")
+
+
 def blocks(sizes: np.ndarray, limit: int) -> Iterator[slice]:
     """Consecutive slices whose sizes add up to ``limit`` at most, or that hold one item."""
     start = total = 0

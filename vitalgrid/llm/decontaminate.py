@@ -165,8 +165,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; null ids stay, of a repeated id all rows go."""
-    gone = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return common.rows_without(docs, report(docs, benchmark).filter("contaminated"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

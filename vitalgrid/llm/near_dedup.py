@@ -375,5 +375,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Where several rows carry that id, all of them stay: they differ in nothing
     the groups look at, or are different texts under one id.
     """
-    doomed = near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(by_shuffle(doomed), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return common.rows_without(docs, near_groups(docs).filter("NOT kept"))

@@ -161,11 +161,17 @@ def found(docs: DataFrame) -> DataFrame:
         )
 
     based = sized.withColumn("base", F.array_sort(F.concat(*[spans(k, i) for i, k in enumerate(KINDS)])))
-    trimmed = F.transform("_other", lambda m: F.struct(
-        (m["start"] + F.length(m["value"]) - F.length(F.ltrim(m["value"], F.lit("\"'([{<")))).alias("start"),
-        F.trim(m["value"], F.lit("\"'([{<>}]).,;:!?*#$%&|")).alias("value"),
-        _contexts(m["before"], m["after"]).alias("contexts"),
-    ))
+    def bare(m: Column) -> Column:
+        """The token without quotes and brackets around it; a bracket around leading digits belongs to it."""
+        lead = F.length(F.regexp_extract(m["value"], r"^(?:[\"'\[{<]|\((?![0-9]+\)))*", 0))
+        rest = F.substring(m["value"], lead + 1, F.length(m["value"]))
+        return F.struct(
+            (m["start"] + lead).alias("start"),
+            F.rtrim(rest, F.lit("\"'}]>).,;:!?*#$%&|")).alias("value"),
+            _contexts(m["before"], m["after"]).alias("contexts"),
+        )
+
+    trimmed = F.transform("_other", bare)
     free = F.filter(
         trimmed,
         lambda m: ~F.exists("base", lambda b: (b["start"] < m["start"] + F.length(m["value"])) & (m["start"] < b["end"])),
@@ -277,19 +283,17 @@ def masked(docs: DataFrame) -> DataFrame:
     Overlapping spans give one replacement, of the first kind. Spans are joined
     to rows by id and text; rows with a null id lose their base spans only.
     """
-    columns = docs.columns
+    key, found, at, id_ = (common.fresh(docs, n) for n in ("_key", "_spans", "_at", "_id"))
     hits = spans(docs).filter("size(all) > 0").dropDuplicates(["doc_id", "key"]).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all").alias("_spans")
+        F.col("doc_id").alias(id_), F.col("key").alias(at), F.col("all").alias(found)
     )
     keyed = docs.withColumn(
-        "_key_", F.xxhash64(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _SEP, _STAND_IN))
-    )
-    joined = keyed.join(
-        by_shuffle(hits), (keyed["doc_id"].eqNullSafe(F.col("_id"))) & (F.col("_key_") == F.col("_key")), "left"
+        key, F.xxhash64(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _SEP, _STAND_IN))
     )
+    joined = keyed.join(by_shuffle(hits), (keyed["doc_id"].eqNullSafe(F.col(id_))) & (F.col(key) == F.col(at)), "left")
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     cut = F.aggregate(
-        "_spans", begin,
+        found, begin,
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(
                 s["end"].alias("at"),
@@ -300,4 +304,4 @@ def masked(docs: DataFrame) -> DataFrame:
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"].cast("int") + 1, F.length("text") + 1)),
     )
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*columns)
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
