@@ -189,7 +189,6 @@ MISSING_TOKENS = [
 
 BINARY_FEATURES = [name for name, _, kind, *_ in FIELDS if kind == "binary"]
 LIMITS = {name: (low, high) for name, _, _, _, low, high, _ in FIELDS}
-DEFAULTS = {name: default for name, _, _, default, *_ in FIELDS}
 DOMAIN_OF = {key: domain for key, _, _, domain in ATTRIBUTES}
 ATTRIBUTE_LABEL = {key: label for key, label, _, _ in ATTRIBUTES}
 ATTRIBUTE_KIND = {key: kind for key, _, kind, _ in ATTRIBUTES}

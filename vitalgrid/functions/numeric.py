@@ -23,6 +23,16 @@ def to_number(name: str) -> str:
     return f"CASE WHEN `{name}` RLIKE r'{NUMBER_PATTERN}' AND abs({number}) <= {_LARGEST!r}D THEN {number} END"
 
 
+def infinite(name: str, text: bool) -> str:
+    """SQL of the infinity a column holds, as a word or beyond the largest DOUBLE; NULL for everything else."""
+    number = f"try_cast(`{name}` AS DOUBLE)" if text else f"CAST(`{name}` AS DOUBLE)"
+    if not text:
+        return f"CASE WHEN abs({number}) > {_LARGEST!r}D AND NOT isnan({number}) THEN {number} END"
+    word = f"trim(`{name}`) RLIKE '(?i)^[+-]?inf(inity)?$'"
+    signed = f"IF(startswith(trim(`{name}`), '-'), -double('Infinity'), double('Infinity'))"
+    return f"CASE WHEN {word} OR (`{name}` RLIKE r'{NUMBER_PATTERN}' AND abs({number}) > {_LARGEST!r}D) THEN {signed} END"
+
+
 def is_whole(value: Column) -> Column:
     return value == F.floor(value)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.ordering import by_shuffle
+from vitalgrid.operators.ordering import by_shuffle, one_per_key
 from vitalgrid.sources import dimensions as dim
 
 # Node label -> unique key property.
@@ -97,8 +97,10 @@ def catalog_edges(spark: SparkSession, evaluation: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Snapshot after merging ``new`` into ``old``: new values win, old rows stay.
 
-    Running it again with the same ``new`` changes nothing.
+    Running it again with the same ``new`` changes nothing. Of several new rows
+    with one key, the one with the largest values in column order wins.
     """
+    new = one_per_key(new, keys)
     columns = list(dict.fromkeys([*old.columns, *new.columns]))
 
     def marked(df: DataFrame, mark: str) -> DataFrame:
@@ -120,7 +122,11 @@ def merged_properties(old: Column, new: Column) -> Column:
 
 
 def upsert_properties(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge of two tables with a ``properties`` map, property by property."""
+    """Merge of two tables with a ``properties`` map, property by property.
+
+    Of several new rows with one key, the map with the largest JSON text counts.
+    """
+    new = one_per_key(new, keys)
     empty = F.create_map().cast("map<string,string>")
     joined = old.withColumnRenamed("properties", "_o").join(
         new.withColumnRenamed("properties", "_n"), keys, "full_outer"
@@ -137,9 +143,10 @@ def detach_delete(
     """Nodes without the doomed ones, and edges without any that touched them."""
     gone = nodes.filter(doomed).select(*group, F.col(node_id).alias("_gone")).distinct()
     kept_nodes = nodes.filter(~F.coalesce(doomed, F.lit(False)))
-    kept_edges = edges
-    for end in ("source", "target"):
-        kept_edges = kept_edges.join(by_shuffle(gone.withColumnRenamed("_gone", end)), [*group, end], "left_anti")
+    # a group's doomed ids are few, so both ends are settled by one join on the group
+    listed = gone.groupBy(*group).agg(F.collect_set("_gone").alias("_gone"))
+    touched = F.array_contains("_gone", F.col("source")) | F.array_contains("_gone", F.col("target"))
+    kept_edges = edges.join(by_shuffle(listed), group, "left").filter(~F.coalesce(touched, F.lit(False)))
     return kept_nodes, kept_edges.select(*edges.columns)
 
 

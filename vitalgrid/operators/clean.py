@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.codebook import BINARY_FEATURES, FEATURES, FIELDS, LIMITS, MISSING_TOKENS, TARGET
 from vitalgrid.functions.decode import sql_text
-from vitalgrid.functions.numeric import finite, to_number
+from vitalgrid.functions.numeric import finite, infinite, to_number
 from vitalgrid.functions.settle import settled
 from vitalgrid.sources.survey import project, require_columns
 
@@ -57,11 +57,16 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.simpleString() == "string"
 
 
-def coerced(df: DataFrame, names: list[str]) -> DataFrame:
-    """Numbers from text or numeric columns; bad text, NaN and infinities become NULL."""
-    return settled(
-        df, {n: to_number(n) if _is_text(df, n) else finite(n) for n in names}
-    )
+def coerced(df: DataFrame, names: list[str], keep_infinite: bool = False) -> DataFrame:
+    """Numbers from text or numeric columns; bad text and NaN become NULL.
+
+    So do infinities, unless ``keep_infinite``: an import has to refuse such a
+    value by its range, not to pass over it as if it were missing.
+    """
+    number = {n: to_number(n) if _is_text(df, n) else finite(n) for n in names}
+    if keep_infinite:
+        number = {n: f"coalesce({sql}, {infinite(n, _is_text(df, n))})" for n, sql in number.items()}
+    return settled(df, number)
 
 
 def any_null(names: list[str]) -> str:
@@ -149,16 +154,14 @@ def import_clean(df: DataFrame, max_rows: int | None = None) -> Cleaned:
     require_columns(df)
     wide = project(df, keep=("rid", "source_name"))
     has_target = TARGET in wide.columns
-    numbers = coerced(wide, [*FEATURES, *([TARGET] if has_target else [])])
+    numbers = coerced(wide, [*FEATURES, *([TARGET] if has_target else [])], keep_infinite=True)
     rules = import_rules()
     if has_target:
         rules[f"{TARGET}:label"] = label_rule()
     cleaned = Cleaned(_tagged(numbers, any_null(FEATURES), rules))
     if max_rows is not None:
         complete = cleaned.tagged.filter(~F.col("dropped"))
-        # one more row than allowed settles the question without a full count
-        found = complete.limit(max_rows + 1).count()
-        if found > max_rows:
+        if complete.count() > max_rows:
             raise ValueError(f"more than {max_rows:,} complete rows")
     return cleaned
 

@@ -19,7 +19,7 @@ from vitalgrid.functions.guardrail import (
 from vitalgrid.functions.numeric import percent_text, signed_text
 from vitalgrid.functions.risk import class_label, model_warning, probability_list, risk_band
 from vitalgrid.functions.settle import settled
-from vitalgrid.operators.contributions import attribute_list, opposing, profile_array, supporting
+from vitalgrid.operators.contributions import attribute_list, opposing, profile_array, supporting, undecodable
 
 KEY = "patient_number"
 
@@ -99,7 +99,11 @@ def _described(entries: Column) -> Column:
 
 
 def evidence_summary(hosted: bool = False) -> Column:
-    """Summary text of a scored row with its features, ``shap`` and ``warning``."""
+    """Summary text of a scored row with its features, ``shap`` and ``warning``.
+
+    NULL where a feature value has no meaning in the code tables: such a row
+    cannot be described (``unexplained`` lists them).
+    """
     shares = F.array_join(
         F.transform(
             probability_list(F.col("probabilities")),
@@ -107,7 +111,7 @@ def evidence_summary(hosted: bool = False) -> Column:
         ),
         ", ",
     )
-    return F.concat(
+    text = F.concat(
         F.lit(cb.INTRO_HOSTED if hosted else cb.INTRO_REPLACED),
         F.lit("evidence summary is shown instead. For Patient #"),
         F.col(KEY).cast("string"),
@@ -128,6 +132,12 @@ def evidence_summary(hosted: bool = False) -> Column:
         F.coalesce(F.nullif(F.col("warning"), F.lit("")), F.lit(cb.NO_WARNING)),
         F.lit(" This summary is model-based, non-causal, for research only, and not medical advice."),
     )
+    return F.when(F.size(undecodable()) == 0, text)
+
+
+def unexplained(df: DataFrame) -> DataFrame:
+    """Rows whose values cannot all be decoded, with the features in question."""
+    return df.withColumn("undecodable", undecodable()).filter(F.size("undecodable") > 0)
 
 
 def checked_drafts(drafts: DataFrame, text: str = "draft") -> DataFrame:
@@ -149,11 +159,12 @@ def with_guidance(drafts: DataFrame, text: str = "draft") -> DataFrame:
     """Final text per draft: the draft itself, the summary, or NULL for an empty draft.
 
     ``drafts`` carries the columns the summary needs. ``outcome`` is ``empty``,
-    ``replaced`` or ``kept``.
+    ``replaced`` or ``kept``; a draft whose respondent is not there (no
+    ``probabilities``) has ``no respondent`` and no text.
     """
     trimmed = drafts.withColumn("_draft", stripped(F.coalesce(F.col(text), F.lit(""))))
     outcome = (
-        F.when(F.col("_draft") == "", "empty").when(passes(F.col("_draft")), "kept").otherwise("replaced")
+        F.when(F.col("probabilities").isNull(), "no respondent").when(F.col("_draft") == "", "empty").when(passes(F.col("_draft")), "kept").otherwise("replaced")
     )
     final = F.when(F.col("outcome") == "kept", F.col("_draft")).when(
         F.col("outcome") == "replaced", evidence_summary()

@@ -281,7 +281,11 @@ def _evaluated(df: DataFrame, model_name: str, evaluation: DataFrame | None) ->
 def nodes(
     df: DataFrame, model_name: str, importance: DataFrame | None = None, evaluation: DataFrame | None = None
 ) -> DataFrame:
-    """98 nodes per scored respondent (needs ``shap`` and ``probabilities``)."""
+    """98 nodes per scored respondent (needs ``shap`` and ``probabilities``).
+
+    Respondents no graph can be built for (``graph_ready``) get none.
+    """
+    df = graph_ready(df)[0]
     return _respondent_nodes(_evaluated(df, model_name, evaluation)).unionByName(
         _feature_nodes(feature_rows(df, importance))
     )
@@ -329,7 +333,9 @@ def edges(df: DataFrame) -> DataFrame:
 
     Numbers are arithmetic: five per feature first, then the prediction, its
     probabilities, one per contribution, and the model and twin edges.
+    Respondents no graph can be built for (``graph_ready``) get none.
     """
+    df = graph_ready(df)[0]
     c = F.col
     names = ["edge_number", "source", "target", "relationship", "label", "group"]
     share = F.when(
@@ -393,7 +399,7 @@ def visible_edges(node_table: DataFrame, edge_table: DataFrame, view: str) -> Da
 
 
 def view_sizes(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """Visible nodes and edges of every respondent in every view."""
+    """Visible nodes and edges of every respondent in every view; without edges their number is 0."""
     marked = node_table.select(KEY, "id", _view_bits().alias("bits"))
 
     def per_view(bits: Column) -> list[Column]:
@@ -405,9 +411,8 @@ def view_sizes(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     )
     ends = F.try_element_at("_bits", F.col("source")).bitwiseAND(F.try_element_at("_bits", F.col("target")))
     shown = (
-        edge_table.select(KEY, "source", "target")
-        .join(by_shuffle(seen), KEY)
-        .select(KEY, "_nodes", ends.alias("_shared"))
+        seen.join(by_shuffle(edge_table.select(KEY, "source", "target")), KEY, "left")
+        .select(KEY, "_nodes", F.coalesce(ends, F.lit(0)).alias("_shared"))
         .groupBy(KEY)
         .agg(F.any_value("_nodes").alias("_nodes"), F.array(*per_view(F.col("_shared"))).alias("_edges"))
     )

@@ -8,8 +8,9 @@ come from digest ranges, so neither ranking needs a single-task window.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES
@@ -21,6 +22,12 @@ from vitalgrid.session import written
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def range_digits(spark: SparkSession) -> int:
+    """Hex digits that cut digests into a few ranges per shuffle partition."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, ceil(log(4 * partitions, 16)))
+
+
 def _positions(df: DataFrame, digest, within: list[str], digits: int) -> DataFrame:
     ranged = df.withColumn("_digest", digest).withColumn(BUCKET, hash_bucket(F.col("_digest"), digits))
     return numbered(ranged, [F.col("_digest"), F.col("rid")], "_position", within).drop(BUCKET, "_digest")
@@ -61,18 +68,18 @@ def permutation_importance(
     df: DataFrame,
     score: Scorer,
     label: str,
-    sample_size: int | None = 1000,
+    sample_size: int | None = None,
     repeats: int = 3,
     seed: int = 42,
     digits: int | None = None,
 ) -> DataFrame:
     """Mean and population deviation of the macro-F1 loss per feature.
 
-    ``sample_size`` rows of ``df`` take part; ``None`` takes all of them, and
-    then more and smaller digest ranges are used.
+    All rows of ``df`` take part, or ``sample_size`` of them where a protocol
+    asks for that. The digest ranges follow the session's shuffle partitions.
     """
     if digits is None:
-        digits = 3 if sample_size is None else 2
+        digits = range_digits(df.sparkSession)
     rows = df
     if sample_size is not None:
         # the sample is read five times below; its selection should run once

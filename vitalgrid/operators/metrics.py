@@ -7,6 +7,8 @@ combine before anything is ordered.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,12 +160,20 @@ def score_counts(df: DataFrame, actual: str, probabilities: str = "probabilities
 
 
 def _bucketed_scores(counts: DataFrame, ranges: int) -> DataFrame:
-    """Cut the scores of each class into ranges of about equal row numbers, high first."""
+    """Cut the scores of each class into ranges of about equal row numbers, high first.
+
+    A score's range is found in two steps, among every ``step``-th bound and then
+    among the bounds between two of these.
+    """
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     bounds = counts.groupBy("class_id").agg(F.percentile_approx("score", steps, 10000).alias("_bounds"))
+    step = isqrt(ranges)
+    bounds = bounds.withColumn("_coarse", F.filter("_bounds", lambda _, i: i % step == 0))
     placed = counts.join(F.broadcast(bounds), "class_id")
-    above = F.size(F.filter("_bounds", lambda b: b >= F.col("score")))
-    return placed.withColumn(BUCKET, above).drop("_bounds")
+    coarse = F.size(F.filter("_coarse", lambda b: b < F.col("score")))
+    first = F.greatest(coarse - 1, F.lit(0)) * step
+    below = first + F.size(F.filter(F.slice("_bounds", first + 1, F.lit(step)), lambda b: b < F.col("score")))
+    return placed.withColumn(BUCKET, F.size("_bounds") - below).drop("_bounds", "_coarse")
 
 
 def cumulative_counts(counts: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -175,7 +185,7 @@ def cumulative_counts(counts: DataFrame, ranges: int | None = None) -> DataFrame
     """
     if ranges is None:
         partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(256, max(16, partitions // len(CLASSES)))
+        ranges = max(16, partitions // len(CLASSES))
     return running_totals(
         _bucketed_scores(counts, ranges), [F.desc("score")], {"tp": "n_pos", "fp": "n_neg"}, ["class_id"]
     )

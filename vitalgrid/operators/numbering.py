@@ -18,11 +18,14 @@ def number_respondents(
     """Add ``patient_number`` 1..N in ``key`` order.
 
     Input is the cleaned table, so numbers close up over rows cleaning removed.
-    Store the result (it comes out range-partitioned and sorted by number) and
-    later lookups by number skip most files.
+    The result is partitioned by ranges of the number and sorted within them, so
+    a stored copy lets later lookups by number skip most files.
     """
     ranged = range_bucket(df, key, buckets, bounds_from)
-    return numbered(ranged, [F.col(key)], NUMBER).drop(BUCKET)
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # whole ranges lie together and in order: the windows below need no other shuffle
+    dealt = ranged.repartitionByRange(count, BUCKET)
+    return numbered(dealt, [F.col(key)], NUMBER).sortWithinPartitions(NUMBER).drop(BUCKET)
 
 
 def lookup(numbered_rows: DataFrame, requests: DataFrame) -> DataFrame:

@@ -41,6 +41,20 @@ def range_bucket(df: DataFrame, key: str, buckets: int | None = None, bounds_fro
     return ranged.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop("_key")
 
 
+def one_per_key(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, ties and no order by the largest values in column order.
+
+    Columns that cannot be compared (maps) count by their JSON text.
+    """
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    ranked = [F.to_json(c) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in others]
+    rank = F.struct(*([F.col(order)] if order else []), *ranked)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others]).select(*df.columns)
+
+
 def hash_bucket(hexdigest: Column, digits: int = 3) -> Column:
     """Range of an evenly spread hex digest: its first digits as a number."""
     return F.conv(F.substring(hexdigest, 1, digits), 16, 10).cast("int")
@@ -93,6 +107,19 @@ def numbered(
     return running_totals(counted, order_by, {out: "_one"}, within).drop("_one")
 
 
+def _edge_range(rows: DataFrame, quota: DataFrame, key: str) -> DataFrame:
+    """Per group the range in which its ``quota`` runs out, and how many rows of it (``_take``) are wanted."""
+    counts = rows.groupBy(key, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.least(F.col("quota"), F.sum("_n").over(Window.partitionBy(key)))
+    return (
+        counts.join(F.broadcast(quota), key)
+        .select(key, BUCKET, "_n", F.sum("_n").over(upto).alias("_upto"), wanted.alias("_wanted"))
+        .filter((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
+        .select(key, BUCKET, (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_take"))
+    )
+
+
 def smallest_by_hash(
     df: DataFrame,
     quotas: DataFrame,
@@ -104,8 +131,9 @@ def smallest_by_hash(
     """Mark, per group, the ``quota`` rows with the smallest digests as ``chosen``.
 
     No row is moved: counts per digest range find the one range in which each
-    group's quota runs out, the rows of that range alone are ordered to get the
-    cut-off digest, and the cut-offs (one row per group) are compared row by row.
+    group's quota runs out; counts of the next digits find the range inside it;
+    the few rows of that one are ordered to get the cut-off digest, and the
+    cut-offs (one row per group) are compared row by row.
     ``quotas`` has one row per group with the column ``quota``.
     """
     key = group or "_all"
@@ -114,18 +142,14 @@ def smallest_by_hash(
     slim = base.select(key, F.col(tie).alias("_tie"), digest.alias("_digest")).withColumn(
         BUCKET, hash_bucket(F.col("_digest"), digits)
     )
-    counts = slim.groupBy(key, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.least(F.col("quota"), F.sum("_n").over(Window.partitionBy(key)))
-    edge = (
-        counts.join(F.broadcast(quota), key)
-        .select(key, BUCKET, "_n", F.sum("_n").over(upto).alias("_upto"), wanted.alias("_wanted"))
-        .filter((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
-        .select(key, BUCKET, (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_take"))
+    edge = _edge_range(slim, quota, key)
+    inner = slim.join(F.broadcast(edge), [key, BUCKET]).drop(BUCKET, "_take").withColumn(
+        BUCKET, F.conv(F.substring("_digest", digits + 1, digits), 16, 10).cast("int")
     )
+    edge = _edge_range(inner, edge.select(key, F.col("_take").alias("quota")), key)
     order = Window.partitionBy(key).orderBy("_digest", "_tie")
     cut = (
-        slim.join(F.broadcast(edge), [key, BUCKET])
+        inner.join(F.broadcast(edge), [key, BUCKET])
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == F.col("_take"))
         .select(key, F.struct("_digest", "_tie").alias("_cut"))

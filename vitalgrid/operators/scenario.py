@@ -18,6 +18,7 @@ from vitalgrid.functions.risk import (
     sex_word,
     shape_coefficient,
 )
+from vitalgrid.operators.ordering import one_per_key
 
 Scorer = Callable[[DataFrame], DataFrame]
 # Fixed value: percent points within which two risks count as equal.
@@ -49,13 +50,14 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str = "patient_num
     """Rows with a table of edited values laid over them.
 
     Only editable features may appear; a NULL or absent value keeps the
-    respondent's own.
+    respondent's own. Of several rows for one respondent, the one with the
+    largest values (feature by feature, in column order) counts.
     """
     edited = [c for c in overrides.columns if c != key]
     wrong = sorted(set(edited) - set(SCENARIO_FEATURES))
     if wrong:
         raise ValueError(f"not editable in a scenario: {', '.join(wrong)}")
-    renamed = overrides.select(key, *[F.col(c).alias(f"_{c}") for c in edited])
+    renamed = one_per_key(overrides, [key]).select(key, *[F.col(c).alias(f"_{c}") for c in edited])
     joined = df.join(renamed, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in edited}).drop(
         *[f"_{c}" for c in edited]

@@ -37,18 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def survey(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``rid``, 21 features and the target for every order; reads one column, or ``keep`` too."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", *keep)
-    return survey_from(spread_out(orders, "o_orderkey"), keep)
-
-
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a part of a small input.
-
-    A file of one row group is one task, and the tables made from it are up to
-    a hundred times its size. An input with enough splits is left alone, so a
-    large table is not shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return survey_from(orders, keep)
 
 
 def survey_from(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

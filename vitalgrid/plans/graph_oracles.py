@@ -245,6 +245,17 @@ UNION ALL SELECT relationship, count(*) FROM edges e WHERE NOT EXISTS (SELECT 1
         _NODES,
         _EDGES,
     ),
+    "graph_quarantine": """
+SELECT o_orderkey + 1 AS patient_number, CASE WHEN o_orderkey % 13 = 5 THEN 'Income' ELSE '' END AS missing_shap,
+    CASE WHEN o_orderkey % 11 = 3 THEN 'Age' ELSE '' END AS undecodable
+FROM orders WHERE o_orderkey % 13 = 5 OR o_orderkey % 11 = 3
+""",
+    "gated_edges": """
+SELECT o_orderkey + 1 AS patient_number, 135::BIGINT AS n_edges FROM orders WHERE o_orderkey % 13 <> 5 AND o_orderkey % 11 <> 3
+""",
+    "unexplained_summaries": """
+SELECT o_orderkey + 1 AS patient_number, 'Age' AS undecodable FROM orders WHERE o_orderkey % 11 = 3
+""",
     "catalog_usage": with_tables(
         f"""
 WITH {LONG}, meanings AS ({VALUE_MEANINGS}), definitions AS ({DEFINITIONS}),
@@ -257,7 +268,7 @@ UNION ALL SELECT 'ValueDefinition', concat(m.feature, ':', m.code), m.label, 2,
     FROM meanings m LEFT JOIN long l ON l.feature = m.feature AND l.value = m.code GROUP BY m.feature, m.code, m.label
 UNION ALL SELECT 'CategoryDefinition', concat('BMI:', l), l, k, 'CLASSIFIED_AS', 1, n FROM sizes
 UNION ALL SELECT 'ModelVersion', 'demo-forest', NULL, 0, NULL, 0, 0
-UNION ALL SELECT 'ModelEvaluation', 'demo-forest:evaluation', NULL, 1, 'EVALUATED_BY', 1, 0
+UNION ALL SELECT 'ModelEvaluation', 'demo-forest:evaluation', NULL, 2, 'EVALUATED_BY', 1, 0
 """,
         "survey",
     ),
@@ -310,8 +321,9 @@ FROM facts f JOIN people p ON p.patient_number = f.patient_number GROUP BY f.pat
         f"""
 , trimmed AS (SELECT doc_id, {_STRIPPED} AS t FROM drafts),
 judged_drafts AS (SELECT doc_id, t, CASE WHEN t = '' THEN 'empty' WHEN {_passes('t')} THEN 'kept' ELSE 'replaced' END AS outcome FROM trimmed)
-SELECT j.doc_id, j.outcome, CASE j.outcome WHEN 'kept' THEN j.t WHEN 'replaced' THEN concat({_REPLACED}, s.body) END AS guidance
-FROM judged_drafts j JOIN summaries s ON s.patient_number = j.doc_id + 1
+SELECT j.doc_id, CASE WHEN s.patient_number IS NULL THEN 'no respondent' ELSE j.outcome END AS outcome,
+    CASE WHEN s.patient_number IS NULL THEN NULL WHEN j.outcome = 'kept' THEN j.t WHEN j.outcome = 'replaced' THEN concat({_REPLACED}, s.body) END AS guidance
+FROM judged_drafts j LEFT JOIN summaries s ON s.patient_number = j.doc_id + 1 AND j.doc_id % 3 <> 2
 """,
         _SUMMARY,
         _DRAFTS,

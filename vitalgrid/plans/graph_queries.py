@@ -13,6 +13,7 @@ from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions.decode import bmi_range
 from vitalgrid.operators import catalog, evidence, graph, metrics, scenario, summary
 from vitalgrid.operators.numbering import NUMBER
+from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _made_importance, _simulated
 from vitalgrid.sources.artifacts import ranked_importance
@@ -20,12 +21,13 @@ from vitalgrid.sources.artifacts import ranked_importance
 
 def _evaluation(rows: DataFrame) -> DataFrame:
     """The demonstration forest's evaluation over all respondents, one row."""
+    area = metrics.macro_auc(metrics.auc(metrics.score_counts(rows, TARGET)))
     return metrics.confusion_row(rows, TARGET).select(
         F.lit(MODEL).alias("model_name"),
         metrics.accuracy().alias("accuracy"),
         metrics.balanced_accuracy().alias("balanced_accuracy"),
         metrics.macro_f1().alias("macro_f1"),
-        F.lit(None).cast("double").alias("macro_roc_auc"),
+        area.scalar().alias("macro_roc_auc"),
         *[metrics.recall(c).alias(f"{n}_recall") for c, n in enumerate(("low", "medium", "high"))],
     )
 
@@ -85,6 +87,35 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributed respondents, some with values no code table knows and some without all contributions."""
+    rows = contributed(spark, sf_dir)
+    return rows.withColumns(
+        {
+            "Age": F.when(F.col("rid") % 11 == 3, F.col("Age") + 0.5).otherwise(F.col("Age")),
+            "shap": F.when(F.col("rid") % 13 == 5, F.slice("shap", 1, 20)).otherwise(F.col("shap")),
+        }
+    )
+
+
+def graph_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respondents no graph can be built for, with the reasons."""
+    return graph.graph_ready(_blurred(spark, sf_dir))[1].select(
+        NUMBER, F.array_join("missing_shap", ",").alias("missing_shap"), F.array_join("undecodable", ",").alias("undecodable")
+    )
+
+
+def gated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges per respondent when some cannot have a graph: those are absent."""
+    return graph.edges(_blurred(spark, sf_dir)).groupBy(NUMBER).agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def unexplained_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respondents whose summary cannot be written, and why."""
+    rows = evidence.unexplained(_blurred(spark, sf_dir))
+    return rows.select(NUMBER, F.array_join("undecodable", ",").alias("undecodable"))
+
+
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.counts_by_type(_nodes(spark, sf_dir))
 
@@ -240,8 +271,13 @@ def incomplete_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.incomplete_evidence(thinned).select(NUMBER, F.size("attributes").alias("n_attributes"))
 
 
+def _medium_recall(spark: SparkSession, sf_dir: str) -> F.Column:
+    """The model's own recall of the middle class, for the limitation text."""
+    return metrics.confusion_row(scored(spark, sf_dir), TARGET).select(metrics.recall(1)).scalar()
+
+
 def evidence_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence.with_warning(contributed(spark, sf_dir), F.lit(0.0))
+    rows = evidence.with_warning(contributed(spark, sf_dir), _medium_recall(spark, sf_dir))
     return rows.select(
         NUMBER,
         evidence.evidence_summary().alias("summary"),
@@ -275,16 +311,18 @@ def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final text for each document's draft; the respondent shares the document's number."""
-    rows = evidence.with_warning(contributed(spark, sf_dir), F.lit(0.0))
-    drafts = _drafts(spark, sf_dir).withColumn(NUMBER, F.col("doc_id") + 1)
-    joined = drafts.join(rows, NUMBER)
+    rows = evidence.with_warning(contributed(spark, sf_dir), _medium_recall(spark, sf_dir))
+    # a third of the drafts names respondents that are not there
+    number = F.when(F.col("doc_id") % 3 == 2, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")) + 1
+    drafts = _drafts(spark, sf_dir).withColumn(NUMBER, number)
+    joined = drafts.join(by_shuffle(rows), NUMBER, "left")
     return evidence.with_guidance(joined).select("doc_id", "outcome", "guidance")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_nodes, graph_node_details, graph_edges, graph_counts, graph_relationships, graph_views,
+        graph_nodes, graph_node_details, graph_edges, graph_quarantine, gated_edges, unexplained_summaries, graph_counts, graph_relationships, graph_views,
         explanation_view, graph_connections, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
         catalog_usage, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
         evidence_summaries, draft_checks, guidance,

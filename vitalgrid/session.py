@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
@@ -46,17 +47,11 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/table-{uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed``, as a Parquet table later steps can prune columns of."""
+    """Write ``df`` to the shared folder and go on from the written copy.
+
+    A written table outlives a lost executor, and later steps prune its columns.
+    """
     path = run_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

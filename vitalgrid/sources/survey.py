@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalgrid.codebook import FEATURES, TARGET
 
@@ -41,19 +42,74 @@ def project(df: DataFrame, keep: tuple[str, ...] = ("rid",)) -> DataFrame:
     return df.select(*kept, *FEATURES, *([TARGET] if TARGET in df.columns else []))
 
 
-def read_csv(spark: SparkSession, path: str, source_names: bool = False) -> DataFrame:
+_CSV_FILES = "*.[cC][sS][vV]"
+ROW_ID, SOURCE, PLACE = "rid", "source_name", "source_row"
+
+
+def read_csv(spark: SparkSession, path: str, source_names: bool = False, row_ids: bool = False) -> DataFrame:
     """Survey CSV with a header; every column stays text until a cleaning policy runs.
 
-    The header decides the column names, so files may order columns freely.
-    Schema inference is off: no extra pass over the data, and bad text survives
-    to the cleaning step. ``path`` may be a folder; only ``*.csv`` files (any
-    case) are taken. Files of one folder must share a header.
+    The header decides the column names. Schema inference is off: no extra pass
+    over the data, and bad text survives to the cleaning step. ``path`` may be a
+    folder; only ``*.csv`` files (any case) are taken. Files of one folder share
+    a header: a file whose header differs is an error when it is read, never a
+    swap of values; ``read_uploads`` takes such folders. ``row_ids`` adds what
+    ``with_row_ids`` does.
     """
-    df = spark.read.option("header", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
-    if source_names:
-        df = df.select("*", F.col("_metadata.file_name").alias("source_name"))
-    return df
+    df = _csv(spark).csv(path)
+    return _placed(df, source_names, row_ids)
+
 
+def read_uploads(spark: SparkSession, path: str, row_ids: bool = False) -> DataFrame:
+    """Files of one folder with the same columns in any order, one read per different header.
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    Costs one more pass over the text, for the first line of every file. A
+    column that a file lacks is NULL for its rows.
+    """
+    lines = spark.read.option("pathGlobFilter", _CSV_FILES).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    # one row per file, as many as the scan itself keeps on the driver
+    files: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        files.setdefault(row["header"], []).append(row["file"])
+    parts = [_placed(_csv(spark).csv(same), True, row_ids=False, keep=True) for same in files.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return with_row_ids(out) if row_ids else out.drop("_block", "_line")
+
+
+def _csv(spark: SparkSession):
+    return spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", _CSV_FILES)
+
+
+def _placed(df: DataFrame, source_names: bool, row_ids: bool, keep: bool = False) -> DataFrame:
+    place = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    named = [F.col("_metadata.file_name").alias(SOURCE)]
+    df = df.select("*", *(named if source_names or row_ids or keep else []), *(place if row_ids or keep else []))
+    return with_row_ids(df) if row_ids else df
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Add ``rid`` and ``source_row``: 1-based positions over all files by name, and within the row's own file.
+
+    Rows keep file order: blocks of a file by their start, rows of a block as
+    they were read. Each block is numbered alone; one small row per block (as
+    many as the scan has splits) carries the counts of the blocks before it.
+    """
+    counts = df.groupBy(SOURCE, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    over_all = Window.orderBy(SOURCE, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy(SOURCE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        SOURCE, "_block",
+        F.coalesce(F.sum("_n").over(over_all), F.lit(0)).alias("_all"),
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_own"),
+    )
+    local = F.row_number().over(Window.partitionBy(SOURCE, "_block").orderBy("_line"))
+    placed = df.withColumn("_at", local).join(before, [SOURCE, "_block"])
+    return placed.withColumns(
+        {ROW_ID: F.col("_at") + F.col("_all"), PLACE: F.col("_at") + F.col("_own")}
+    ).drop("_block", "_line", "_at", "_all", "_own")
