@@ -145,14 +145,14 @@ def label_rule() -> str:
     return f"{TARGET} IS NOT NULL AND {TARGET} NOT IN (0D, 1D, 2D)"
 
 
-def import_clean(df: DataFrame, max_rows: int | None = None) -> Cleaned:
+def import_clean(df: DataFrame, max_rows: int | None = None, keep: tuple[str, ...] = ("rid", "source_name")) -> Cleaned:
     """Import of numbered respondents: features required, target optional and exact.
 
     ``max_rows`` is the optional guard on the number of complete rows; it costs
     one count and is off unless asked for.
     """
     require_columns(df)
-    wide = project(df, keep=("rid", "source_name"))
+    wide = project(df, keep=keep)
     has_target = TARGET in wide.columns
     numbers = coerced(wide, [*FEATURES, *([TARGET] if has_target else [])], keep_infinite=True)
     rules = import_rules()

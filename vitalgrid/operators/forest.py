@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,10 +19,8 @@ from vitalgrid.functions.risk import class_label, first_largest, probability_of
 from vitalgrid.operators.split import with_weights
 
 N_CLASSES = 3
-# A forest small enough to be written out as nested conditions in one projection.
-MAX_EXPRESSION_LEAVES = 1024
-# A model table larger than this is refused rather than pulled to the driver.
-MAX_MODEL_NODES = 5_000_000
+# Leaves up to which a forest is written out as nested conditions; larger ones are walked as arrays.
+EXPRESSION_LEAVES = 1024
 
 
 @dataclass(frozen=True)
@@ -90,9 +91,9 @@ class Forest:
         return base
 
     def probabilities(self) -> Column:
-        """Mean class shares over the trees as one codegen-friendly expression."""
-        if sum(1 for _ in self.leaves()) > MAX_EXPRESSION_LEAVES:
-            raise ValueError("forest too large for a column expression; score with the Spark ML model")
+        """Mean class shares over the trees: one expression, or an Arrow column for large forests."""
+        if sum(_leaf_count(root) for root in self.trees) > EXPRESSION_LEAVES:
+            return _walked(self)
         per_tree = [_tree_expression(root) for root in self.trees]
         return F.array(
             *[
@@ -102,6 +103,59 @@ class Forest:
         )
 
 
+def _leaf_count(node: Node) -> int:
+    return 1 if node.is_leaf else _leaf_count(node.left) + _leaf_count(node.right)
+
+
+class FlatTrees:
+    """All nodes of a forest in arrays; leaves point to themselves, so a walk may go on past them."""
+
+    def __init__(self, forest: Forest) -> None:
+        feature, threshold, left, right, shares, self.roots, self.depth = [], [], [], [], [], [], 0
+        for root in forest.trees:
+            self.roots.append(len(feature))
+            open_nodes, level = [(root, -1, "", 0)], 0
+            while open_nodes:
+                node, parent, side, level = open_nodes.pop()
+                at = len(feature)
+                if parent >= 0:
+                    (left if side == "l" else right)[parent] = at
+                whole = sum(node.weights) or 1.0
+                feature.append(0 if node.is_leaf else FEATURES.index(node.feature))
+                threshold.append(0.0 if node.is_leaf else node.threshold)
+                left.append(at)
+                right.append(at)
+                shares.append([w / whole for w in node.weights] if node.is_leaf else [0.0] * N_CLASSES)
+                self.depth = max(self.depth, level)
+                if not node.is_leaf:
+                    open_nodes += [(node.right, at, "r", level + 1), (node.left, at, "l", level + 1)]
+        self.feature, self.threshold = np.array(feature), np.array(threshold)
+        self.left, self.right, self.shares = np.array(left), np.array(right), np.array(shares)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Mean class shares of rows of 21 values, one pass per tree and level over all rows."""
+        total, rows = np.zeros((len(x), N_CLASSES)), np.arange(len(x))
+        for root in self.roots:
+            node = np.full(len(x), root)
+            for _ in range(self.depth):
+                node = np.where(x[rows, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
+            total += self.shares[node]
+        return total / len(self.roots)
+
+
+def _walked(forest: Forest) -> Column:
+    shared = SparkSession.active().sparkContext.broadcast(FlatTrees(forest))
+
+    @F.arrow_udf("array<double>")
+    def walk(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+            offsets = pa.array(np.arange(0, len(x) * N_CLASSES + 1, N_CLASSES, dtype=np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(shared.value.probabilities(x).reshape(-1)))
+
+    return walk(*[F.col(f) for f in FEATURES])
+
+
 def _tree_expression(node: Node) -> list[Column]:
     """Class shares of the leaf a row falls into, one column per class."""
     if node.is_leaf:
@@ -114,7 +168,10 @@ def _tree_expression(node: Node) -> list[Column]:
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
     """Add ``probabilities``, ``predicted_class`` and ``high_risk_probability``."""
-    return with_prediction(settled(df, {"probabilities": forest.probabilities()}))
+    probabilities = forest.probabilities()
+    if sum(_leaf_count(root) for root in forest.trees) > EXPRESSION_LEAVES:
+        return with_prediction(df.withColumn("probabilities", probabilities))
+    return with_prediction(settled(df, {"probabilities": probabilities}))
 
 
 def with_prediction(df: DataFrame) -> DataFrame:
@@ -192,10 +249,7 @@ def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def forest_from_nodes(nodes: DataFrame) -> Forest:
-    """The tree structure of a node table. Model-sized, and checked to be so."""
-    n = nodes.count()
-    if n > MAX_MODEL_NODES:
-        raise ValueError(f"{n:,} model nodes exceed {MAX_MODEL_NODES:,}")
+    """The tree structure of a node table: as large as the model, whatever the number of rows it was trained on."""
     table: dict[int, dict[int, object]] = {}
     for row in nodes.toLocalIterator():
         table.setdefault(row["tree"], {})[row["node"]] = row

@@ -129,6 +129,11 @@ new_twins AS (SELECT e.rid + 1 AS patient_number, e.BMI AS bmi, {_GENDER.format(
     FROM edited e JOIN edited_scored c ON e.id = c.id WHERE e.scenario_id = 'lower_bmi_active')
 """
 _TWINS = f"WITH {_EDITED_SCORED}, {_OLD_TWINS}, {_NEW_TWINS}"
+_STORED_TWINS = f"""{_TWINS}, stored AS (
+    SELECT patient_number, bmi, CASE WHEN patient_number % 5 <> 2 THEN gender WHEN gender = 'male' THEN 'female' ELSE 'male' END AS gender,
+        CASE WHEN patient_number % 5 = 1 THEN risk_percent + 0.00005e0 ELSE risk_percent END AS risk_percent
+    FROM new_twins WHERE patient_number % 5 < 3
+    UNION ALL SELECT patient_number, bmi, gender, risk_percent FROM old_twins WHERE patient_number % 5 = 3)"""
 _IMPORTANCE = (
     "importance AS (SELECT feature, idx, sum(abs(shap) * 1024) / count(*) / 1024 AS importance_mean, "
     "max(abs(shap) * 1024) / 1024 AS importance_std, "
@@ -296,12 +301,12 @@ FROM survey v LEFT JOIN items i ON i.rid = v.rid
     ),
     "twins": with_tables(f"WITH {_OLD_TWINS} SELECT * FROM old_twins", "scored"),
     "stale_twins": with_tables(
-        f"""{_TWINS} SELECT n.* FROM new_twins n LEFT JOIN old_twins o ON o.patient_number = n.patient_number AND o.bmi = n.bmi
+        f"""{_STORED_TWINS} SELECT n.* FROM new_twins n LEFT JOIN stored o ON o.patient_number = n.patient_number AND o.bmi = n.bmi
     AND o.gender = n.gender AND abs(o.risk_percent - n.risk_percent) < 0.0001 WHERE o.patient_number IS NULL""",
         "scored",
     ),
     "current_twins": with_tables(
-        f"""{_TWINS} SELECT n.* FROM new_twins n JOIN old_twins o ON o.patient_number = n.patient_number AND o.bmi = n.bmi
+        f"""{_STORED_TWINS} SELECT n.* FROM new_twins n JOIN stored o ON o.patient_number = n.patient_number AND o.bmi = n.bmi
     AND abs(o.risk_percent - n.risk_percent) < 0.0001""",
         "scored",
     ),

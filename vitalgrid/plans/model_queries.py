@@ -256,9 +256,22 @@ def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _twin_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Descriptors under the default scenario, and the stored ones of the profiles."""
+    """Descriptors under the default scenario, and a stored snapshot of every kind of agreement.
+
+    By number modulo 5, a stored descriptor is the new one, the new one with a
+    risk that is off by less than the tolerance, the new one with the other
+    gender, the profile's own, or absent.
+    """
     after = _simulated(spark, sf_dir, [scenario.default_scenario()])
-    return scenario.twins(after, ["patient_number"]), twins(spark, sf_dir)
+    new, own = scenario.twins(after, ["patient_number"]), twins(spark, sf_dir)
+    kind = F.col("patient_number") % 5
+    close = new.filter(kind < 3).withColumns(
+        {
+            "risk_percent": F.when(kind == 1, F.col("risk_percent") + 0.00005).otherwise(F.col("risk_percent")),
+            "gender": F.when(kind == 2, F.when(F.col("gender") == "male", "female").otherwise("male")).otherwise(F.col("gender")),
+        }
+    )
+    return new, close.unionByName(own.filter(kind == 3))
 
 
 def stale_twins(spark: SparkSession, sf_dir: str) -> DataFrame:

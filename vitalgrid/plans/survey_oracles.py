@@ -203,7 +203,8 @@ SELECT source_name, n_rows, verdict, {', '.join(f"CASE WHEN verdict = 'ok' THEN
         "numbers",
     ),
     "csv_import": with_tables(
-        f"SELECT rid, {COLUMN_LIST}, Diabetes_012 FROM numbers WHERE {ALL_PRESENT} AND {VALID}", "numbers"
+        f"SELECT rid, {COLUMN_LIST}, Diabetes_012, true AS named, true AS in_order FROM numbers WHERE {ALL_PRESENT} AND {VALID}",
+        "numbers",
     ),
     "row_counts": with_tables(
         f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions.decode import slug
@@ -56,12 +57,25 @@ def single_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw survey through a folder of CSV files, columns in another order."""
+    """The raw survey through plain CSV files of two column orders in one folder, numbered in file order.
+
+    The files have no row id; ``respondent`` is a column like any other, and each
+    file is sorted by it, so that positions in a file can be compared with it.
+    ``in_order`` says whether a row's position follows the one before it.
+    """
     folder = run_folder(spark)
-    write_csv(raw_survey(spark, sf_dir).select(TARGET, "rid", *reversed(FEATURES)), folder)
-    files = source.read_csv(spark, folder, source_names=True)
-    kept = clean.import_clean(files).valid
-    return kept.select(F.col("rid").cast("bigint").alias("rid"), *FEATURES, TARGET)
+    rows = raw_survey(spark, sf_dir).withColumnRenamed("rid", "respondent")
+    for part, columns in ((0, [TARGET, "respondent", *reversed(FEATURES)]), (1, [*FEATURES, "respondent", TARGET])):
+        half = rows.filter(F.col("respondent") % 2 == part).select(columns)
+        write_csv(half.repartitionByRange("respondent").sortWithinPartitions("respondent"), folder, mode="append")
+    files = source.read_uploads(spark, folder, row_ids=True)
+    kept = clean.import_clean(files, keep=("rid", "source_name", "source_row", "respondent")).valid
+    before = Window.partitionBy("source_name").orderBy(F.col("respondent").cast("bigint"))
+    ordered = F.coalesce(F.lag("source_row").over(before) < F.col("source_row"), F.lit(True))
+    return kept.select(
+        F.col("respondent").cast("bigint").alias("rid"), *FEATURES, TARGET,
+        F.endswith("source_name", F.lit(".csv")).alias("named"), (ordered & (F.col("rid") >= F.col("source_row"))).alias("in_order"),
+    )
 
 
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def write_json_documents(df: DataFrame, path: str, document: Column | None = Non
     df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
