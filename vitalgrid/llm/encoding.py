@@ -1,30 +1,54 @@
 """Exact, cheap encoding of whole texts with the public tokenizers.
 
-Both vocabularies used here cut a text into pieces before they merge bytes, and
-no piece reaches over a single space between two characters that are not blank:
-the only pattern that takes such a space takes it as a piece's first character.
-So a text's tokens are the tokens of its stretches between such spaces, one
-after the other. Stretches repeat, and each different one is encoded once per
-worker: whole by the library, or, if it consists of Latin letters, plain marks
-and single line ends, piece by piece by the library's model.
+Both vocabularies used here cut a text into pieces by a pattern before they merge
+bytes, so a text's tokens are its pieces' tokens, one after the other. Pieces
+repeat, and each different one is merged once per worker by the library's model.
+
+Texts of ASCII and Latin letters without apostrophes are cut by the same pattern
+here, written for those characters. All others are cut at blanks that no piece
+reaches over (a single space between two characters that are not blank; any
+blank where the vocabulary drops blanks), and the stretches between go to the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: A single space between two characters that are not blank; Python's blanks include all of the libraries'.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s |\s$|^\s| \s")
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!#$%&*+,./:;=?@|-]+|\n(?=\S)")
+#: Blanks to Python, but not to the libraries.
+_CONTROLS = re.compile("[\x1c-\x1f]")
+_L, _B = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t-\\r "
+#: Characters that the two patterns below know how to cut: all of ASCII but the apostrophe, and Latin letters.
+_KNOWN = bytes(b for b in range(256) if b < 128 and b != 39 or b >= 192 and b not in (215, 247))
+_WORD_PIECES = re.compile(f"[{_L}]+|[0-9]|[^{_B}{_L}0-9]+")
+_BYTE_PIECES = re.compile(f" ?[{_L}]+| ?[0-9]+| ?[^{_B}{_L}0-9]+|[{_B}]+(?![^{_B}])|[{_B}]+")
+
+
+def plain(text: str) -> bool:
+    """Whether the text has nothing but known characters, and no string of a special token."""
+    try:
+        latin = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not latin.translate(None, _KNOWN) and "<|" not in text
 
 
 def stretches(text: str) -> list[str]:
     """The text between safe cuts; joined by one space they give the text again."""
-    return CUT.split(text) if _ODD.search(text) else text.split(" ")
+    words = text.split()
+    # every blank stands alone if there is one less of them than of words
+    if len(text) - len("".join(words)) == len(words) - 1:
+        return text.split(" ")
+    return CUT.split(text)
+
+
+def words(text: str) -> list[str]:
+    """The text between blanks of any kind."""
+    return CUT.split(text) if _CONTROLS.search(text) else text.split()
 
 
 def _byte_letters() -> list[str]:
@@ -70,32 +94,39 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.lead = lead
+        self.cut = (_BYTE_PIECES if lead else _WORD_PIECES).findall
         self.pieces = _Recent(self._piece, limit)
-        self.known = _Recent(self._stretch, limit)
+        self.known = _Recent(self._stretch, limit // 10)
 
     def whole(self, text: str) -> bytes:
         """Little-endian 32-bit ids, by the library."""
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = "".join(map(_LETTER.__getitem__, (piece if self.lead else piece.lower()).encode()))
-        return np.array([t.id for t in self.model.tokenize(letters)], np.uint32).tobytes()
+        folded = piece if self.lead else piece.lower()
+        # ASCII letters stand for themselves
+        plain_ = folded.isascii() and folded.isalnum()
+        letters = folded if plain_ else "".join(map(_LETTER.__getitem__, folded.encode()))
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a stretch that is not the first of its text."""
-        parts = _PLAIN.findall(stretch)
-        if not parts or "".join(parts) != stretch:
-            return self.whole(" " + stretch if self.lead else stretch)
-        if self.lead:
-            parts[0] = " " + parts[0]
-        else:
-            parts = [p for p in parts if p != "\n"]
-        return b"".join(map(self.pieces.__getitem__, parts))
+        return self.whole(" " + stretch if self.lead else stretch)
 
     def parts(self, text: str) -> list[bytes]:
-        """Ids of every stretch of the text, in order."""
+        """Ids of every piece or stretch of the text, in order."""
+        if plain(text):
+            return list(map(self.pieces.__getitem__, self.cut(text)))
+        if not self.lead:
+            return list(map(self._part, words(text)))
         first, *rest = stretches(text)
-        return [self.whole(first) if self.lead else self.known[first], *map(self.known.__getitem__, rest)]
+        return [self.whole(first), *map(self._part, rest)]
+
+    def _part(self, stretch: str) -> bytes:
+        """A stretch of a text that is not all plain; most of its stretches are."""
+        if stretch and plain(stretch):
+            return b"".join(map(self.pieces.__getitem__, self.cut(" " + stretch if self.lead else stretch)))
+        return self.known[stretch]
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
