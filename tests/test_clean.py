@@ -80,4 +80,4 @@ def test_single_profiles(spark):
     df = raw(spark, [{}, {}, {}, {"BMI": "?"}]).drop(TARGET)
     named = df.withColumn("source_name", F.element_at(F.array(*[F.lit(x) for x in "aabc"]), (F.col("rid") + 1).cast("int")))
     got = {r["source_name"]: (r["verdict"], r["BMI"]) for r in clean.single_profiles(named).collect()}
-    assert got == {"a": ("not exactly one row", None), "b": ("ok", 32.0), "c": ("missing values", None)}
+    assert got == {"a": ("not exactly one row", None), "b": ("ok", 33.5), "c": ("missing values", None)}

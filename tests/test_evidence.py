@@ -9,8 +9,8 @@ from vitalgrid import codebook as cb
 from vitalgrid.functions.guardrail import LIST_PATTERN
 from vitalgrid.operators import evidence
 
-SAFE = "This research explanation is non-causal. Medium/prediabetes recall is 0.0. It is not medical advice."
-UNSAFE = "# Advice\n1. This factor increases the risk and has a protective effect."
+SAFE = "Read this as a research note: it is non-causal, medium recall is 0.0, and it is not medical advice."
+UNSAFE = "- Smoking is a strong predictor here\n- so stopping would have a protective effect"
 
 
 def test_package_keeps_everything(spark):
@@ -19,8 +19,8 @@ def test_package_keeps_everything(spark):
     body = json.loads(evidence.evidence_json(package).first()["evidence_json"])
     assert body["local_patient_reference"] == "Patient #1"
     assert len(body["observations_and_shap_evidence"]) == 21
-    assert [p["value"] for p in body["prediction"]["probabilities"]] == [0.29, 0.10, 0.61]
-    assert body["observations_and_shap_evidence"][0]["shap_value"] == 0.2
+    assert [p["value"] for p in body["prediction"]["probabilities"]] == [0.30, 0.20, 0.50]
+    assert body["observations_and_shap_evidence"][0]["shap_value"] == 0.31
     assert [a["key"] for a in body["observations_and_shap_evidence"]] == cb.FEATURES
     assert "recall is 0.10%" in body["model_limitation"]
     assert body["evidence_boundary"] == cb.EVIDENCE_BOUNDARY
@@ -42,8 +42,8 @@ def test_summary_wording(spark):
     text = df.select(evidence.evidence_summary()).first()[0]
     assert "Low 20.0%, Medium (prediabetes) 10.0%, High (diabetes) 70.0%" in text
     assert text.startswith("The local model draft did not pass")
-    assert "High blood pressure (High blood pressure not reported, SHAP +0.200)" in text
-    assert "High cholesterol (High cholesterol not reported, SHAP -0.100)." in text
+    assert "High blood pressure (High blood pressure not reported, SHAP +0.310)" in text
+    assert "High cholesterol (High cholesterol not reported, SHAP -0.170)." in text
     hosted = df.select(evidence.evidence_summary(hosted=True)).first()[0]
     assert hosted.startswith("This hosted deployment uses a deterministic, safety-checked evidence summary")
     flat = evidence.with_warning(explained(spark, shap=[0.0] * 21))

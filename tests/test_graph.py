@@ -32,15 +32,15 @@ def test_complete_graph_of_one_respondent(spark):
     assert by_id["state-bmi"]["label"] == "Obesity"
     labels = {n["label"] for n in nodes}
     assert not labels & set(catalog.OBSOLETE_CONCEPTS)
-    assert by_id["contribution-highbp"]["label"] == "HighBP SHAP +0.200"
+    assert by_id["contribution-highbp"]["label"] == "HighBP SHAP +0.310"
     assert by_id["contribution-highchol"]["summary"] == "HighChol opposes the predicted class in this model output."
-    assert by_id["probability-2"]["label"] == "High (diabetes): 61.0%"
+    assert by_id["probability-2"]["label"] == "High (diabetes): 50.0%"
     assert by_id["probability-2"]["details"]["selected"] is True
     assert "0.10%" in by_id["model-evaluation"]["details"]["warning"]
     twin = by_id["digital-twin-current"]["details"]
-    assert (twin["bmi"], twin["beta0"], twin["risk_percent"], twin["risk_band"]) == (32.0, 5.0, 61.0, "Moderate")
+    assert (twin["bmi"], twin["beta0"], twin["risk_percent"], twin["risk_band"]) == (33.5, 5.75, 50.0, "Moderate")
     probabilities = {n["details"]["class_id"]: n["details"]["probability"] for n in nodes if n["type"] == "RiskProbability"}
-    assert probabilities == {0: 0.29, 1: 0.10, 2: 0.61}
+    assert probabilities == {0: 0.30, 1: 0.20, 2: 0.50}
 
 
 def test_edge_numbers_ends_and_signs(spark):
@@ -49,11 +49,11 @@ def test_edge_numbers_ends_and_signs(spark):
     assert sorted(edges) == list(range(1, 136))
     assert edges[1]["id"] == "edge-1" and edges[1]["target"] == "observation-highbp"
     assert (edges[106]["source"], edges[106]["target"]) == ("patient-current", "prediction-current")
-    assert [edges[i]["weight"] for i in (107, 108, 109)] == [0.29, 0.10, 0.61]
+    assert [edges[i]["weight"] for i in (107, 108, 109)] == [0.30, 0.20, 0.50]
     assert [edges[i]["relationship"] for i in (110, 111, 112)] == [
         "SUPPORTS_PREDICTION", "OPPOSES_PREDICTION", "NEUTRAL_FOR_PREDICTION",
     ]
-    assert edges[111]["weight"] == 0.1 and edges[111]["shap_value"] == -0.1
+    assert edges[111]["weight"] == 0.17 and edges[111]["shap_value"] == -0.17
     assert edges[135]["target"] == "probability-2" and edges[134]["target"] == "observation-bmi"
     nodes = graph.nodes(df, "forest")
     assert graph.dangling_edges(nodes, graph.edges(df)).count() == 0
@@ -89,7 +89,7 @@ def test_views_neighbourhoods_and_connections(spark):
     assert seen.count() == 2 * 270 and seen.filter("other_label IS NULL").count() == 0
     mine = seen.filter("patient_number = 1 AND node = 'state-bmi'").collect()
     assert [(r["direction"], r["edge_label"], r["other_label"]) for r in mine] == [
-        ("in", "decoded as", "Body mass index (BMI): 32"),
+        ("in", "decoded as", "Body mass index (BMI): 33.5"),
     ]
 
 

@@ -129,17 +129,16 @@ def test_trained_forest_saved_read_as_table_and_explained(spark, tiny):
     assert labels == 3
 
 
-def test_large_forest_is_not_written_as_an_expression():
-    node = forest.Node
-
-    def grow(depth):
-        if depth == 0:
-            return node(1.0, (1, 1, 1))
-        left, right = grow(depth - 1), grow(depth - 1)
-        return node(left.cover + right.cover, (), "BMI", 30.0, left, right)
-
-    with pytest.raises(ValueError, match="too large"):
-        forest.Forest((grow(11),)).probabilities()
+def test_large_forests_are_walked_as_arrays(spark, tiny, monkeypatch):
+    """Beyond the size of an expression, the same forest gives the same scores."""
+    model = random_forest(3, trees=4, depth=5)
+    rows = survey(spark, tiny).filter("rid < 200")
+    small = forest.score(rows, model).select("rid", "probabilities", "predicted_class").orderBy("rid").collect()
+    monkeypatch.setattr(forest, "EXPRESSION_LEAVES", 3)
+    large = forest.score(rows, model).select("rid", "probabilities", "predicted_class").orderBy("rid").collect()
+    for x, y in zip(small, large, strict=True):
+        assert x["probabilities"] == pytest.approx(y["probabilities"], abs=1e-12)
+        assert x["predicted_class"] == y["predicted_class"]
 
 
 def test_prediction_struct_and_ties(spark):
@@ -179,7 +178,7 @@ def test_overrides_only_replace_editable_features(spark):
     rows = profiles(spark, [profile(), profile()])
     edits = spark.createDataFrame([(1, 40.0, None)], "patient_number bigint, BMI double, HighBP double")
     got = {r["patient_number"]: (r["BMI"], r["HighBP"]) for r in scenario.apply_overrides(rows, edits).collect()}
-    assert got == {1: (40.0, 0.0), 2: (32.0, 0.0)}
+    assert got == {1: (40.0, 0.0), 2: (33.5, 0.0)}
     with pytest.raises(ValueError, match="Sex"):
         scenario.apply_overrides(rows, edits.withColumnRenamed("BMI", "Sex"))
 

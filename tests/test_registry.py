@@ -11,7 +11,7 @@ COMPARED = [
     "class_summary", "clean_strict", "import_rule_counts", "single_profiles", "csv_import", "neighbour_windows",
     "decode_profiles", "stratified_split", "classification_report", "auc_by_class", "permutation_importance",
     "shap_contributions", "supports_and_opposes", "scenario_scores", "case_records", "graph_edges", "graph_views",
-    "catalog_usage", "property_merge", "evidence_summaries", "draft_checks", "guidance", "stream_scores",
+    "catalog_usage", "property_merge", "graph_quarantine", "stale_twins", "current_twins", "evidence_summaries", "draft_checks", "guidance", "stream_scores",
 ]
 
 

@@ -143,6 +143,11 @@ def detach_delete(
     """Nodes without the doomed ones, and edges without any that touched them."""
     gone = nodes.filter(doomed).select(*group, F.col(node_id).alias("_gone")).distinct()
     kept_nodes = nodes.filter(~F.coalesce(doomed, F.lit(False)))
+    if not group:
+        # one graph for the whole table: its doomed ids may be many, so each end is joined
+        for end in ("source", "target"):
+            edges = edges.join(by_shuffle(gone.withColumnRenamed("_gone", end)), end, "left_anti").select(*edges.columns)
+        return kept_nodes, edges
     # a group's doomed ids are few, so both ends are settled by one join on the group
     listed = gone.groupBy(*group).agg(F.collect_set("_gone").alias("_gone"))
     touched = F.array_contains("_gone", F.col("source")) | F.array_contains("_gone", F.col("target"))

@@ -94,10 +94,16 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_twins(twins: DataFrame, path: str) -> None:
-    """Twin descriptors as JSON records, one folder per risk band (three values)."""
+    """Twin descriptors as JSON records, one folder per risk band (three values).
+
+    Records keep their band, and name the mesh file a renderer would write.
+    """
     twins.select(
-        "patient_number", "bmi", "risk_percent", "gender", "risk_colour", "risk_band"
-    ).write.mode("overwrite").partitionBy("risk_band").json(path)
+        "patient_number", "bmi", "risk_percent", "gender", "risk_band",
+        F.col("risk_colour").alias("risk_color"),
+        F.concat(F.lit("patient_"), F.col("patient_number").cast("string"), F.lit(".obj")).alias("mesh_file"),
+        F.col("risk_band").alias("band"),
+    ).write.mode("overwrite").partitionBy("band").json(path)
 
 
 def save_model(model: RandomForestClassificationModel, path: str) -> None:
