@@ -42,7 +42,7 @@ from vitalgrid.llm.recurrent import Adam, Layer, added_rows
 from vitalgrid.operators.ordering import by_shuffle
 
 FOLDS, HELD_OUT = 7, 2
-CLASS_WORDS, HEAD_CLASSES, TAIL = 64, 48, 64
+CLASS_WORDS, HEAD_CLASSES, TAIL = 48, 40, 48
 HEAD = CLASS_WORDS * HEAD_CLASSES
 NEAR = 150_000
 UNITS, STEPS, LANES = 16, 24, 384
@@ -79,7 +79,7 @@ def counted(docs: DataFrame) -> DataFrame:
         words = list(counts)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(common.word_hashes(words).view(np.int64)),
+                pa.array([_signed(xxhash.xxh3_64_intdigest(w)) for w in words], pa.int64()),
                 pa.array([tail_class(w) for w in words], pa.int32()),
                 pa.array(list(counts.values()), pa.int64()),
             ],
@@ -115,27 +115,28 @@ class Vocabulary:
         self.hashes = hashes[order]
         self.counts = np.array([c for _, c in near], np.int64)[order]
         self.rank = order.astype(np.int64)
+        self.near_counts = np.concatenate([[-1], self.counts])
         self.total, self.distinct = total, distinct
         both = np.array([tail.get(k, (0, 0)) for k in range(TAIL)], np.float64)
         self.tail_room = np.log10(both.sum(axis=1) + 1)
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, symbol (head word or HEAD + tail class) and count (-1: not near) of every word."""
-        hashes = common.word_hashes(words)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        found = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(words), bool)
-        symbol = np.full(len(words), HEAD, np.int64)
-        count = np.full(len(words), -1, np.int64)
-        if len(self.hashes):
-            count[found] = self.counts[at[found]]
-            symbol[found] = self.rank[at[found]]
-        beyond = np.flatnonzero(symbol >= HEAD)
-        symbol[beyond] = [HEAD + _TAILS[words[i]] for i in beyond.tolist()]
-        return hashes, symbol, count
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
 
+    def _code(self, word: bytes) -> int:
+        """Symbol, and above it the place among the near words (0: not near)."""
+        h = np.uint64(xxhash.xxh3_64_intdigest(word))
+        at = int(np.searchsorted(self.hashes, h))
+        near = at < len(self.hashes) and self.hashes[at] == h
+        rank = int(self.rank[at]) if near else HEAD
+        return (rank if rank < HEAD else HEAD + tail_class(word)) | ((at + 1) << 16 if near else 0)
 
-_TAILS = common.Cache(tail_class)
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol (head word or HEAD + tail class) and count (-1: not near) of every word."""
+        if not hasattr(self, "codes"):
+            self.codes = common.Cache(self._code, 300_000)
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        return code & 0xFFFF, self.near_counts[code >> 16]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -195,7 +196,7 @@ class Network:
         head = symbols < HEAD
         cls = np.where(head, symbols // CLASS_WORDS, symbols - HEAD + HEAD_CLASSES)
         p = self.cw @ states.T + self.cb[:, None]
-        p -= p.max(axis=0)
+        p -= p.max()  # one bound for all: states lie within -1..1, so columns differ little
         lp = p[cls, np.arange(n)].copy()
         np.exp(p, out=p)
         sums = p.sum(axis=0)
@@ -214,7 +215,7 @@ class Network:
                 continue
             own, word = states[rows], symbols[rows] - k * CLASS_WORDS
             q = self.ww[k] @ own.T + self.wb[k][:, None]
-            q -= q.max(axis=0)
+            q -= q.max()
             chosen = q[word, np.arange(len(rows))].copy()
             np.exp(q, out=q)
             sums = q.sum(axis=0)
@@ -245,7 +246,7 @@ def _stream(vocabulary_: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np
     for text in texts:
         begins.append(len(words))
         words.extend(words_of(text))
-    symbols = vocabulary_.look_up(words)[1]
+    symbols = vocabulary_.look_up(words)[0]
     first = np.zeros(len(symbols), bool)
     first[begins] = True
     return symbols, first
@@ -399,13 +400,14 @@ def scored(docs: DataFrame, counts: DataFrame, vocabulary_: Vocabulary, net: Net
             symbols, columns, lengths = [], [], []
             for text in texts:
                 words = words_of(text)
-                hashes, symbol, count = known.look_up(words)
+                symbol, count = known.look_up(words)
                 near = count >= 0
+                far = [words[i] for i in np.flatnonzero(~near).tolist()]
                 logs = np.log10(count[near] + 1.0)
                 tail = symbol >= HEAD
                 columns.append((
                     len(words), int(near.sum()), float(logs.sum()), float(logs[tail[near]].sum()),
-                    float(known.tail_room[symbol[tail] - HEAD].sum()), hashes[~near].view(np.int64),
+                    float(known.tail_room[symbol[tail] - HEAD].sum()), [_signed(xxhash.xxh3_64_intdigest(w)) for w in far],
                 ))
                 symbols.append(symbol.astype(np.int32))
                 lengths.append(len(words))
