@@ -110,30 +110,24 @@ class Vocabulary:
 
     def __init__(self, near: list[tuple[int, int]], total: int, distinct: int, tail: dict[int, tuple[int, int]]):
         """``near``: (hash, count), most frequent first; ``tail``: class -> (N, V) over words beyond the head."""
-        hashes = np.array([h for h, _ in near], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.counts = np.array([c for _, c in near], np.int64)[order]
-        self.rank = order.astype(np.int64)
-        self.near_counts = np.concatenate([[-1], self.counts])
+        self.hashes = np.array([h for h, _ in near], np.int64).view(np.uint64)
+        self.near_counts = np.array([-1, *(c for _, c in near)], np.int64)
         self.total, self.distinct = total, distinct
         both = np.array([tail.get(k, (0, 0)) for k in range(TAIL)], np.float64)
         self.tail_room = np.log10(both.sum(axis=1) + 1)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("codes", "rank")}
 
     def _code(self, word: bytes) -> int:
         """Symbol, and above it the place among the near words (0: not near)."""
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
-        near = at < len(self.hashes) and self.hashes[at] == h
-        rank = int(self.rank[at]) if near else HEAD
-        return (rank if rank < HEAD else HEAD + tail_class(word)) | ((at + 1) << 16 if near else 0)
+        rank = self.rank.get(xxhash.xxh3_64_intdigest(word), -1)
+        return (rank if 0 <= rank < HEAD else HEAD + tail_class(word)) | (rank + 1) << 16
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbol (head word or HEAD + tail class) and count (-1: not near) of every word."""
         if not hasattr(self, "codes"):
+            self.rank = {h: k for k, h in enumerate(self.hashes.tolist())}
             self.codes = common.Cache(self._code, 300_000)
         code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         return code & 0xFFFF, self.near_counts[code >> 16]
