@@ -17,6 +17,7 @@ from vitalgrid.llm import (
     token_count,
     training_order,
 )
+from vitalgrid.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_recurrent_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES = {
     "op9_kneser_ney_quality_rules": op9_kneser_ney_quality_rules,
     "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
 }
-
-ORACLES: dict[str, str] = {}
