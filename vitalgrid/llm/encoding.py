@@ -87,7 +87,7 @@ class Encoder:
     are dropped.
     """
 
-    def __init__(self, path: str, lead: bool, limit: int = 300_000):
+    def __init__(self, path: str, lead: bool, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +96,7 @@ class Encoder:
         self.lead = lead
         self.cut = (_BYTE_PIECES if lead else _WORD_PIECES).findall
         self.pieces = _Recent(self._piece, limit)
-        self.known = _Recent(self._stretch, limit // 10)
+        self.known = _Recent(self._stretch, limit // 20)
 
     def whole(self, text: str) -> bytes:
         """Little-endian 32-bit ids, by the library."""
