@@ -193,3 +193,26 @@ DOMAIN_OF = {key: domain for key, _, _, domain in ATTRIBUTES}
 ATTRIBUTE_LABEL = {key: label for key, label, _, _ in ATTRIBUTES}
 ATTRIBUTE_KIND = {key: kind for key, _, kind, _ in ATTRIBUTES}
 DOMAIN_LABEL = dict(DOMAINS)
+
+# Sentences around computed figures, as whole templates in reading order.
+LOW_RECALL_WARNING = (
+    "Model limitation: Medium (prediabetes) recall is {recall} in the checked test metrics. "
+    "Do not interpret this prototype as a clinical screening system."
+)
+SUMMARY = (
+    "{intro}evidence summary is shown instead. For Patient #{number}, the research model predicted {label}. "
+    "Its estimated probabilities were {shares}. These are model estimates, not a diagnosis.\n\n"
+    "The largest positive SHAP contributions were {supports}. The largest negative SHAP contributions were {opposes}. "
+    "Positive and negative SHAP values describe support for or opposition to this model output; they do not mean that a "
+    "feature caused or prevented diabetes.\n\nA qualified healthcare professional can help interpret the recorded survey "
+    "observations in their full context. Do not use this prototype to start, stop, or change medication or treatment. "
+    "{warning} This summary is model-based, non-causal, for research only, and not medical advice."
+)
+NODE_SUMMARIES = {
+    "observation": "Current {name} value is {value}.",
+    "attribute": "Reusable definition for the {feature} model input.",
+    "state": "Dataset-defined meaning of {name} value {value}.",
+    "contribution": "{feature} {direction} the predicted class in this model output.",
+}
+STATE_RULE = "Dataset decoding only; not a causal medical claim."
+CONTRIBUTION_MEANING = "Model support, not medical causation."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ def infinite(name: str, text: bool) -> str:
     return f"CASE WHEN {word} OR (`{name}` RLIKE r'{NUMBER_PATTERN}' AND abs({number}) > {_LARGEST!r}D) THEN {signed} END"
 
 
+def filled(template: str, **parts: Column) -> Column:
+    """A template's text with columns in place of its ``{names}``."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p])
+
+
 def is_whole(value: Column) -> Column:
     return value == F.floor(value)
 

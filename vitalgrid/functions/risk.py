@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid import codebook as cb
 from vitalgrid.functions.decode import literal_map
-from vitalgrid.functions.numeric import percent_text
+from vitalgrid.functions.numeric import filled, percent_text
 
 
 def class_label(class_id: Column, labels: dict[int, str] = cb.LABELS) -> Column:
@@ -98,14 +98,7 @@ def model_warning(medium_recall: Column) -> Column:
     """Limitation text shown with every result of the evaluated model."""
     return F.when(
         medium_recall < 0.10,
-        F.concat(
-            F.lit("Model limitation: Medium (prediabetes) recall is "),
-            percent_text(medium_recall, 2),
-            F.lit(
-                " in the checked test metrics. Do not interpret this prototype as a "
-                "clinical screening system."
-            ),
-        ),
+        filled(cb.LOW_RECALL_WARNING, recall=percent_text(medium_recall, 2)),
     ).otherwise(cb.GENERIC_WARNING)
 
 

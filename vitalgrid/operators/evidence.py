@@ -16,7 +16,7 @@ from vitalgrid.functions.guardrail import (
     required_flags,
     stripped,
 )
-from vitalgrid.functions.numeric import percent_text, signed_text
+from vitalgrid.functions.numeric import filled, percent_text, signed_text
 from vitalgrid.functions.risk import class_label, model_warning, probability_list, risk_band
 from vitalgrid.functions.settle import settled
 from vitalgrid.operators.contributions import attribute_list, opposing, profile_array, supporting, undecodable
@@ -111,26 +111,15 @@ def evidence_summary(hosted: bool = False) -> Column:
         ),
         ", ",
     )
-    text = F.concat(
-        F.lit(cb.INTRO_HOSTED if hosted else cb.INTRO_REPLACED),
-        F.lit("evidence summary is shown instead. For Patient #"),
-        F.col(KEY).cast("string"),
-        F.lit(", the research model predicted "),
-        class_label(F.col("predicted_class")),
-        F.lit(". Its estimated probabilities were "),
-        shares,
-        F.lit(". These are model estimates, not a diagnosis.\n\nThe largest positive SHAP contributions were "),
-        _described(supporting(F.col("shap"))),
-        F.lit(". The largest negative SHAP contributions were "),
-        _described(opposing(F.col("shap"))),
-        F.lit(
-            ". Positive and negative SHAP values describe support for or opposition to this model "
-            "output; they do not mean that a feature caused or prevented diabetes.\n\nA qualified "
-            "healthcare professional can help interpret the recorded survey observations in their "
-            "full context. Do not use this prototype to start, stop, or change medication or treatment. "
-        ),
-        F.coalesce(F.nullif(F.col("warning"), F.lit("")), F.lit(cb.NO_WARNING)),
-        F.lit(" This summary is model-based, non-causal, for research only, and not medical advice."),
+    text = filled(
+        cb.SUMMARY,
+        intro=F.lit(cb.INTRO_HOSTED if hosted else cb.INTRO_REPLACED),
+        number=F.col(KEY).cast("string"),
+        label=class_label(F.col("predicted_class")),
+        shares=shares,
+        supports=_described(supporting(F.col("shap"))),
+        opposes=_described(opposing(F.col("shap"))),
+        warning=F.coalesce(F.nullif(F.col("warning"), F.lit("")), F.lit(cb.NO_WARNING)),
     )
     return F.when(F.size(undecodable()) == 0, text)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitalgrid import codebook as cb
 from vitalgrid.codebook import FEATURES
 from vitalgrid.functions.decode import slug_of
-from vitalgrid.functions.numeric import percent_text, signed_text
+from vitalgrid.functions.numeric import filled, percent_text, signed_text
 from vitalgrid.functions.risk import (
     class_label,
     direction,
@@ -181,14 +181,10 @@ def _feature_nodes(long: DataFrame) -> DataFrame:
     )
     summary = _slot_case(
         {
-            "observation": F.concat(F.lit("Current "), name, F.lit(" value is "), c("value_text"), F.lit(".")),
-            "attribute": F.concat(F.lit("Reusable definition for the "), c("feature"), F.lit(" model input.")),
-            "state": F.concat(
-                F.lit("Dataset-defined meaning of "), name, F.lit(" value "), c("value_text"), F.lit(".")
-            ),
-            "contribution": F.concat(
-                c("feature"), F.lit(" "), c("direction"), F.lit(" the predicted class in this model output.")
-            ),
+            slot: filled(
+                text, name=name, value=c("value_text"), feature=c("feature"), direction=c("direction")
+            )
+            for slot, text in cb.NODE_SUMMARIES.items()
         }
     )
 
@@ -201,13 +197,13 @@ def _feature_nodes(long: DataFrame) -> DataFrame:
         "domain": on("domain_label", "observation", "attribute"),
         "raw_value": on("value", "observation", "state"),
         "decoded_state": on("state", "observation"),
-        "rule": _slot_case({"state": F.lit("Dataset decoding only; not a causal medical claim.")}),
+        "rule": _slot_case({"state": F.lit(cb.STATE_RULE)}),
         "importance_rank": on("importance_rank", "observation"),
         "importance_mean": on("importance_mean", "observation"),
         "importance_std": on("importance_std", "observation"),
         "shap_value": on("shap_value", "observation", "contribution"),
         "shap_direction": on("direction", "observation", "contribution"),
-        "meaning": _slot_case({"contribution": F.lit("Model support, not medical causation.")}),
+        "meaning": _slot_case({"contribution": F.lit(cb.CONTRIBUTION_MEANING)}),
     }
     return laid.select(*_node_columns(label, summary, F.when(c("slot") != "attribute", c("domain_id")), details))
 

@@ -90,6 +90,7 @@ drafts AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN coalesce(text, '') WHEN 1
     WHEN 4 THEN concat({_FLAT}, '{_SAFE} Walking REDUCES THE RISK.')
     ELSE concat('  ', coalesce(text, ''), '{_SAFE}') END AS draft FROM documents)
 """
+# Prohibited wordings, in list order.
 _CLAIMS = [
     "causes diabetes", "prevent diabetes", "protective effect", "reduces the risk", "reduce the risk", "increases the risk",
     "increase the risk", "risk of developing diabetes", "chances of diabetes", "strong predictor",
@@ -123,6 +124,7 @@ def _passes(d: str) -> str:
 
 _STRIPPED = f"regexp_replace(regexp_replace(draft, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 _DESCRIBED = "concat(label, ' (', state, ', SHAP ', format('{:+.3f}', shap), ')')"
+# The sentences of the summary around its figures.
 _SUMMARY = f"""
 up AS (SELECT *, row_number() OVER (PARTITION BY patient_number ORDER BY shap DESC, idx) AS place FROM facts WHERE shap > 0),
 down AS (SELECT *, row_number() OVER (PARTITION BY patient_number ORDER BY shap, idx DESC) AS place FROM facts WHERE shap < 0),

@@ -40,10 +40,12 @@ _LONG = "long AS (" + " UNION ALL ".join(
     f"SELECT rid, {i} AS idx, '{c}' AS feature, {c} AS value FROM survey" for i, c in enumerate(COLUMNS)
 ) + ")"
 
+# Domains and attributes of the dataset.
 _DOMAIN_VALUES = """
 (VALUES ('clinical', 'Clinical'), ('lifestyle', 'Lifestyle'), ('health-status', 'Health Status'),
  ('demographic', 'Demographic'), ('socioeconomic', 'Socioeconomic'), ('healthcare-access', 'Healthcare Access'))
 """
+# One row per feature.
 ATTRIBUTE_VALUES = """
 (VALUES (0, 'HighBP', 'High blood pressure', 'binary', 'clinical'),
  (1, 'HighChol', 'High cholesterol', 'binary', 'clinical'),
