@@ -141,6 +141,33 @@ def classification_report(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(report_rows()).alias("r")).select("r.*")
 
 
+def metrics_document(cells: DataFrame, area: Column, n_train: Column, n_test: Column) -> DataFrame:
+    """The metrics document of one evaluation as one row, laid out like the stored file.
+
+    ``cells`` is a ``confusion_row`` of the test rows; ``area`` the macro area
+    under the curves; both counts are those of the split.
+    """
+    rows = report_rows()
+
+    def figures(i: int) -> Column:
+        r = F.get(rows, F.lit(i))
+        return F.struct(
+            r["precision"].alias("precision"), r["recall"].alias("recall"), r["f1_score"].alias("f1-score"), r["support"].alias("support")
+        )
+
+    names = [*LABELS.values()]
+    report = F.struct(
+        *[figures(i).alias(name) for i, name in enumerate(names)],
+        accuracy().alias("accuracy"), figures(len(names) + 1).alias("macro avg"), figures(len(names) + 2).alias("weighted avg"),
+    )
+    counts = F.create_map(*[x for c in CLASSES for x in (F.lit(str(c)), support(c).cast("bigint"))])
+    return cells.select(
+        (n_train + n_test).alias("n_rows"), n_train.alias("n_train"), n_test.alias("n_test"), counts.alias("class_counts"),
+        accuracy().alias("accuracy"), balanced_accuracy().alias("balanced_accuracy"), macro_f1().alias("macro_f1"),
+        weighted_f1().alias("weighted_f1"), area.alias("macro_ovr_roc_auc"), report.alias("classification_report"),
+    )
+
+
 # --- curves -------------------------------------------------------------------
 
 

@@ -192,6 +192,28 @@ UNION ALL SELECT c, CAST(NULL AS DOUBLE), 0e0, 0e0 FROM (VALUES (0), (1), (2)) A
     ),
     "auc_by_class": with_tables(f"WITH {_CURVE} {_AUC}", "scored"),
     "macro_auc": with_tables(f"WITH {_CURVE} SELECT round(avg(auc), 9) AS macro_ovr_roc_auc FROM ({_AUC}) a", "scored"),
+    "stored_evaluation": with_tables(
+        f"""
+WITH {_PER_CLASS}
+SELECT 'demo-forest' AS model_name, any_value(n)::BIGINT AS n_rows, round(sum(tp) * 1e0 / any_value(n), 9) AS accuracy,
+    round(avg(rec) FILTER (WHERE supp > 0), 9) AS balanced_accuracy, round(avg(f1) FILTER (WHERE supp + pred > 0), 9) AS macro_f1,
+    (WITH {_CURVE} SELECT round(avg(auc), 9) FROM ({_AUC}) a) AS macro_roc_auc,
+    round(max(rec) FILTER (WHERE c = 0), 9) AS low_recall, round(max(rec) FILTER (WHERE c = 1), 9) AS medium_recall,
+    round(max(rec) FILTER (WHERE c = 2), 9) AS high_recall FROM figures
+""",
+        "scored",
+    ),
+    "prediction_pairs": with_tables(
+        f"""
+WITH {_EDITED_SCORED}
+SELECT s.rid + 1 AS patient_number, CAST(s.cls AS INTEGER) AS baseline_class, CAST(c.cls AS INTEGER) AS scenario_class,
+    s.p2 AS baseline_risk, c.p2 AS scenario_risk,
+    CAST((e.BMI <> v.BMI)::INT + (e.PhysActivity <> v.PhysActivity)::INT AS INTEGER) AS n_changes
+FROM edited e JOIN edited_scored c ON e.id = c.id JOIN scored s ON s.rid = e.rid JOIN survey v ON v.rid = e.rid
+WHERE e.scenario_id = 'lower_bmi_active'
+""",
+        "scored",
+    ),
     "evaluation_attached": with_tables(
         f"""
 WITH {_PER_CLASS}

@@ -23,7 +23,7 @@ from vitalgrid.operators import (
 from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, demo_forest, demo_score, scored, survey, survey_from, table
 from vitalgrid.session import run_folder, written
-from vitalgrid.sources.artifacts import ranked_importance
+from vitalgrid.sources.artifacts import evaluation_row, ranked_importance, read_metrics, write_json_documents
 from vitalgrid.sources.dimensions import attribute_definitions
 from vitalgrid.streaming import arriving, write_scored
 
@@ -85,6 +85,37 @@ def evaluation_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.with_evaluation(named, evaluation).withColumn("warning", model_warning(F.col("medium_recall")))
 
 
+def stored_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluate, write the metrics document, read it back and take the figures that go with every prediction."""
+    rows = scored(spark, sf_dir)
+    area = metrics.macro_auc(metrics.auc(metrics.score_counts(rows, TARGET))).scalar()
+    sides = split.stratified_split(survey(spark, sf_dir)).agg(
+        F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")
+    )
+    document = metrics.metrics_document(
+        metrics.confusion_row(rows, TARGET), area, sides.select("n_train").scalar(), sides.select("n_test").scalar()
+    )
+    path = run_folder(spark)
+    write_json_documents(document, path)
+    found = read_metrics(spark, path)
+    row = evaluation_row(found, MODEL)
+    return row.select(
+        "model_name", found.select("n_rows").scalar().alias("n_rows"),
+        *[F.round(c, 9).alias(c) for c in row.columns if c != "model_name"],
+    )
+
+
+def prediction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and scenario predictions of every respondent under the default scenario."""
+    pairs = scenario.prediction_pair(_simulated(spark, sf_dir, [scenario.default_scenario()]), ["patient_number"])
+    return pairs.select(
+        "patient_number",
+        F.col("baseline.predicted_class").alias("baseline_class"), F.col("scenario.predicted_class").alias("scenario_class"),
+        F.col("baseline.high_risk_probability").alias("baseline_risk"), F.col("scenario.high_risk_probability").alias("scenario_risk"),
+        F.size("changes").alias("n_changes"),
+    )
+
+
 # --- importance -------------------------------------------------------------------
 
 
@@ -331,7 +362,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         predictions, confusion, evaluation_scores, classification_report, one_hot, roc_points, auc_by_class,
-        macro_auc, evaluation_attached, permutation_importance, permutation_importance_all, importance_ranking,
+        macro_auc, evaluation_attached, stored_evaluation, prediction_pairs, permutation_importance, permutation_importance_all, importance_ranking,
         shap_contributions, top_factors, all_factors, supports_and_opposes, packed_contributions,
         missing_contributions, profile_attributes, scenario_scores, scenario_changes, overrides, twins,
         stale_twins, current_twins, case_records, display_texts, forest_report, stream_scores,
