@@ -35,8 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def survey(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``rid``, 21 features and the target for every order; reads one column, or ``keep`` too."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", *keep)
+    """``rid``, 21 features and the target for every order; reads one column, or ``keep`` too.
+
+    The given file is a single row group, which is a single task, and tables made
+    from it are up to a hundred times its size; its key column is therefore dealt
+    over the session's shuffle partitions, whatever its size.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", *keep).repartition(partitions, "o_orderkey")
     return survey_from(orders, keep)
 
 
