@@ -53,7 +53,7 @@ def test_language_model_scores(tiny_docs, tiny_rows):
 
 def test_words_beyond_the_near_table_are_joined(tiny_docs, monkeypatch):
     whole = {r["doc_id"]: r for r in language_model.model_scores(tiny_docs).collect()}
-    monkeypatch.setattr(language_model, "NEAR", language_model.HEAD)
+    monkeypatch.setattr(language_model, "NEAR", 4 * language_model.HEAD)
     for r in language_model.model_scores(tiny_docs).collect():
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"], rel=1e-9)
         assert r["n_known"] == whole[r["doc_id"]]["n_known"]

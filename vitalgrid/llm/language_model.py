@@ -133,9 +133,31 @@ class Vocabulary:
         return code & 0xFFFF, self.near_counts[code >> 16]
 
 
+def _nearest(counts: DataFrame) -> list[tuple[int, int]]:
+    """Up to NEAR words as (hash, count), most frequent first.
+
+    Words are binned by the logarithm of their count; whole bins are taken from
+    the top while they fit, so no task hands more on than belongs to the table.
+    """
+    binned = counts.withColumn("bin", F.floor(F.log2("c") * 64).cast("int"))
+    least, taken = None, 0
+    # some 4,000 bins at the most: counts are below 2 ** 63
+    for row in sorted(binned.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        taken += row["count"]
+        if taken > NEAR:
+            break
+        least = row["bin"]
+    if least is None:
+        # not even the first bin fits: as many words as the network has places for
+        rows = counts.orderBy(F.desc("c"), "h").limit(HEAD)
+    else:
+        rows = binned.filter(F.col("bin") >= least)
+    return sorted(((r["h"], r["c"]) for r in rows.select("h", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The driver gets NEAR rows and one per tail class."""
-    near = [(r["h"], r["c"]) for r in counts.orderBy(F.desc("c"), "h").select("h", "c").limit(NEAR).collect()]
+    """The driver gets NEAR rows at most and one per tail class."""
+    near = _nearest(counts)
     sums = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     total, distinct = (sum(x[k] for x in sums.values()) for k in (0, 1))
     if near:
