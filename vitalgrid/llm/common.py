@@ -129,7 +129,7 @@ def _as(values, kind: pa.DataType) -> pa.Array:
 class Cache(dict):
     """word -> value, worked out once; forgets everything when it holds ``limit`` words."""
 
-    def __init__(self, value: Callable[[bytes], int], limit: int = 400_000):
+    def __init__(self, value: Callable[[bytes], int], limit: int = 200_000):
         super().__init__()
         self.value, self.limit = value, limit
 

@@ -87,7 +87,7 @@ class Encoder:
     are dropped.
     """
 
-    def __init__(self, path: str, lead: bool, limit: int = 500_000):
+    def __init__(self, path: str, lead: bool, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
