@@ -92,6 +92,26 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark, tiny_rows):
     assert len(sound) > 20 and all(r["kept"] for r in sound)
 
 
+def _prose(rng, words, n=150):
+    return " ".join(words[k] for k in rng.zipf(1.4, n) % len(words))
+
+
+def test_copies_do_not_narrow_a_language(spark):
+    """Half of a language's rows are one text or its near copies; another language has two texts."""
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000)]
+    one = _prose(rng, words)
+    for change in (lambda k: "", lambda k: f" end{k}"):
+        rows = [(k, one + change(k), "en") for k in range(100)] + [(100 + k, _prose(rng, words), "en") for k in range(100)]
+        rows += [(300, _prose(rng, words), "xx"), (301, _prose(rng, words), "xx")]
+        noise = "".join(chr(33 + c) if c % 7 else " " for c in rng.integers(0, 90, 900))
+        got = by_id(quality_rules.judged(spark.createDataFrame([*rows, (900, noise, "en")], "doc_id bigint, text string, lang string")))
+        sound = [r for i, r in got.items() if i < 900 and not r["base_failed"]]
+        assert len(sound) > 180 and got[300]["kept"] and got[301]["kept"]
+        assert all(r["kept"] for r in sound)
+        assert not got[900]["kept"] and not got[900]["base_failed"]
+
+
 def test_quality_of_odd_rows(odd):
     rows = quality_rules.judged(odd).collect()
     assert len(rows) == 12
