@@ -60,6 +60,15 @@ def test_words_beyond_the_near_table_are_joined(tiny_docs, monkeypatch):
         assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-5)
 
 
+def test_words_up_to_rank_3072_have_their_own_output():
+    words = [b"w%d" % k for k in range(5000)]
+    near = [(language_model._signed(language_model.xxhash.xxh3_64_intdigest(w)), 9000 - k) for k, w in enumerate(words)]
+    symbols, counts = language_model.Vocabulary(near, 1, 1, {}).look_up(words)
+    assert symbols[:3072].tolist() == list(range(3072)) and counts.tolist() == list(range(9000, 4000, -1))
+    assert symbols[3072:].min() >= 3072 and len(set(symbols[3072:].tolist())) == 64
+    assert language_model.Network().ww.shape[:2] == (48, 64)
+
+
 def test_next_word_shares_add_up_to_one():
     net = language_model.Network()
     state = np.random.default_rng(3).standard_normal((1, language_model.UNITS)).astype(np.float32)
