@@ -170,6 +170,28 @@ def test_contexts_find_what_patterns_miss(spark):
     assert got[101]["spans"] == ""
 
 
+def test_contexts_find_identifiers_beside_others(spark):
+    """Next to an e-mail, a date, a time and another identifier, glued to a base span, and in rows without id."""
+    rows = [(i, f"please ring account holder on +1 (555) 010-{1000 + i} today") for i in range(60)]
+    asked = [
+        ("mail bob@x.com 555-123-4567 today", ["555-123-4567"]), ("born 2024-01-05 555-123-4568 today", ["555-123-4568"]),
+        ("at 10:30 555-123-4569 today", ["555-123-4569"]), ("born 2024-01-05 (555) 020-4444 today", ["(555) 020-4444"]),
+        ("account holder on 555-123-4570 555-987-6543 today", ["555-123-4570", "555-987-6543"]),
+        ("mail bob@x.com,555-123-4571 today", ["555-123-4571"]),
+    ]
+    rows += [(100 + k, t) for k, (t, _) in enumerate(asked)]
+    rows += [(None, "account holder on 555-123-4572 today"), (None, "no number")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pii.spans(docs).collect()
+    texts = {r["doc_id"]: r for r in got}
+    for k, (text, want) in enumerate(asked):
+        r = texts[100 + k]
+        base = {(s["start"], s["end"]) for s in r["base"]}
+        assert [text[s["start"] : s["end"]] for s in r["all"] if (s["start"], s["end"]) not in base] == want
+    assert sorted(r["text"] for r in pii.masked(docs).filter("doc_id IS NULL").collect()) == ["account holder on <phone> today", "no number"]
+    assert len(got) == len(rows)
+
+
 def test_pii_of_odd_rows(odd):
     rows = pii.report(odd).collect()
     assert len(rows) == 12

@@ -7,7 +7,10 @@ possessive and every pattern starts only where a run of its characters starts
 (or the match before ended), so no text makes the matcher go back over a run.
 
 The bootstrap: found entities are seeds. What stands before and after an
-identifier-like token (two words, one word, next word) is its set of contexts. A
+identifier-like token (two words, one word, next word) is its set of contexts.
+Every single token outside base spans is a candidate, and so is every run of
+neighbouring ones that has a shape; of hits that overlap, the longest from the
+left stays. A
 context's confidence in a kind is the summed score of its different instances
 over their number; an instance scores 1 if it is a seed, else the best
 confidence among its contexts. Both are recomputed ``ROUNDS`` times over the
@@ -15,11 +18,14 @@ context-instance graph. Tokens of a kind's shape in a context of at least
 ``CONFIDENT`` that ``SUPPORT`` different seeds back are found by the method.
 
 Defined cases: null and empty texts have no spans. Every row gives one row; rows
-with equal id and text get equal spans. Rows with a null id get base spans only.
+with equal id and text get equal spans. Rows with a null id are told apart by
+their text's hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +40,8 @@ CONFIDENT = 0.75
 NEAR = 80
 
 _SEP, _STAND_IN = "\ue000", "\ue001"
+#: Stand around base spans while candidates are looked for.
+_OPEN, _CLOSE = "\ue002", "\ue003"
 
 #: The four kinds' patterns, with possessive quantifiers where nothing after them could take a character back.
 _PATTERNS = {
@@ -42,11 +50,23 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Runs of tokens with a digit or an at sign: what may be an identifier.
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
+#: Base spans, and between them tokens with a digit or an at sign: what may be (part of) an identifier.
+_TOKEN = rf"{_OPEN}[^{_CLOSE}]*+{_CLOSE}|(?<![^\s{_CLOSE}])[^\s0-9@{_OPEN}]*+[0-9@][^\s{_OPEN}]*+"
+#: Tokens that a run with a shape has at most: one for each digit of the longest card number.
+LONGEST = 19
 _CHUNK = 256
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _plain(docs_text: Column) -> Column:
+    """The text without the characters that serve as marks here."""
+    return F.translate(F.coalesce(docs_text.cast("string"), F.lit("")), _SEP + _OPEN + _CLOSE, _STAND_IN * 3)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -71,11 +91,13 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 
 def _matches(text: Column, pattern: str, needs: str | None) -> Column:
-    """array<struct<start, value, before, after>> of all matches; starts count code points from 0."""
+    """array<struct<start, value, gap, before, after>> of all matches; starts count code points from 0.
+
+    ``gap`` is what stands between a match and the one before it. Marks around base spans count for nothing.
+    """
     marked = F.regexp_replace(text, pattern, f"{_SEP}$0{_SEP}")
     if needs:
         marked = F.when(F.contains(text, F.lit(needs)), marked).otherwise(F.lit(""))
-    parts = F.split(marked, _SEP)
 
     # pieces are taken in chunks: an array that grows piece by piece is copied at every step
     def chunk(c: Column, pieces: Column) -> Column:
@@ -86,7 +108,7 @@ def _matches(text: Column, pattern: str, needs: str | None) -> Column:
         return F.aggregate(
             pieces, begin,
             lambda a, p: F.struct(
-                (a["at"] + F.length(p)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")
+                (a["at"] + F.length(p) - F.when(p.startswith(_OPEN), 2).otherwise(0)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")
             ),
         )
 
@@ -106,22 +128,28 @@ def _matches(text: Column, pattern: str, needs: str | None) -> Column:
             ),
             lambda a: F.flatten(a["all"]),
         )
-        each = F.arrays_zip(
-            moved.alias("start"), pieces.alias("value"),
-            F.concat(F.array(F.lit("")), pieces).alias("before"),
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("after"),
+        each = F.arrays_zip(moved.alias("start"), pieces.alias("value"))
+        # two words before and one after may lie beyond neighbouring matches
+        return F.filter(
+            F.transform(
+                each,
+                lambda m, i: F.when(
+                    i % 2 == 1,
+                    F.struct(
+                        m["start"].alias("start"), m["value"].alias("value"), F.get(pieces, i - 1).alias("gap"),
+                        F.right(F.concat(*[F.right(piece(pieces, i - k), F.lit(NEAR)) for k in (4, 3, 2, 1)]), F.lit(NEAR)).alias("before"),
+                        F.left(F.concat(*[F.left(piece(pieces, i + k), F.lit(NEAR)) for k in (1, 2)]), F.lit(NEAR)).alias("after"),
+                    ),
+                ),
+            ),
+            lambda m: m.isNotNull() & m["start"].isNotNull(),
         )
-        return F.filter(each, lambda m, i: (i % 2 == 1) & m["start"].isNotNull())
 
-    named = F.transform(
-        located(parts),
-        lambda m: F.struct(
-            m["start"].alias("start"), m["value"].alias("value"),
-            F.right(m["before"], F.lit(NEAR)).alias("before"), F.left(F.coalesce(m["after"], F.lit("")), F.lit(NEAR)).alias("after"),
-        ),
-    )
-    none = F.array().cast("array<struct<start:bigint,value:string,before:string,after:string>>")
-    return F.when(F.size(parts) > 1, named).otherwise(none)
+    def piece(pieces: Column, at: Column) -> Column:
+        return F.translate(F.coalesce(F.get(pieces, at), F.lit("")), _OPEN + _CLOSE, "")
+
+    none = F.array().cast("array<struct<start:bigint,value:string,gap:string,before:string,after:string>>")
+    return _let(F.split(marked, _SEP), lambda parts: F.when(F.size(parts) > 1, located(parts)).otherwise(none))
 
 
 def _words(text: Column) -> Column:
@@ -140,14 +168,95 @@ def _contexts(before: Column, after: Column) -> Column:
     return F.filter(made, lambda c: c.isNotNull())
 
 
+def _marked(text: Column, base: Column) -> Column:
+    """The text with marks around what base spans cover."""
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def stretch(start: Column, end: Column) -> Column:
+        return F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
+
+    cut = F.aggregate(
+        base, begin,
+        lambda a, s: F.when(s["end"] <= a["at"], F.struct(a["at"].alias("at"), a["out"].alias("out"))).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], F.array(
+                    stretch(a["at"], F.greatest(s["start"], a["at"])), F.lit(_OPEN),
+                    stretch(F.greatest(s["start"], a["at"]), s["end"]), F.lit(_CLOSE),
+                )).alias("out"),
+            )
+        ),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text) + 1)),
+    )
+    return F.when(F.size(base) > 0, cut).otherwise(text)
+
+
+def _bare(m: Column) -> Column:
+    """The token without quotes, brackets and commas around it; a bracket around leading digits belongs to it."""
+    lead = F.length(F.regexp_extract(m["value"], r"^(?:[\"'\[{<,;:|/=]|\((?![0-9]+\)))*", 0))
+    rest = F.substring(m["value"], lead + 1, F.length(m["value"]))
+    return F.struct(
+        (m["start"] + lead).alias("start"), F.rtrim(rest, F.lit("\"'}]>).,;:!?*#$%&|")).alias("value"),
+        m["before"].alias("before"), m["after"].alias("after"), m["left"].alias("left"), m["right"].alias("right"), m["stays"].alias("stays"),
+    )
+
+
+def _candidates(matches: Column) -> Column:
+    """Single tokens, whole runs of tokens one space apart, and parts of runs that have a shape.
+
+    ``left`` and ``right``: the candidate counts among the instances of its contexts on that side. At
+    the ends of a run that is the whole run, inside it each token; parts of runs are not counted.
+    """
+    def is_base(m: Column) -> Column:
+        return m["value"].startswith(_OPEN)
+
+    def made(tokens: Column, glued: Column) -> Column:
+        def inside(at: Column) -> Column:
+            return F.coalesce(F.get(glued, at), F.lit(False))
+
+        def runs(m: Column, i: Column) -> Column:
+            rest = F.slice(glued, i + 2, LONGEST - 1)
+            stop = F.array_position(rest, False).cast("int")
+            reach = F.when(stop == 0, F.size(rest)).otherwise(stop - 1)
+            late = F.when(i >= LONGEST - 1, ~F.array_contains(F.slice(glued, F.greatest(i - LONGEST + 3, F.lit(1)), LONGEST - 1), False)).otherwise(False)
+
+            def run(k: Column) -> Column:
+                whole = ~inside(i) & ~inside(i + k + 1)
+                return F.struct(
+                    m["start"].alias("start"),
+                    F.when(k == 0, m["value"]).otherwise(F.array_join(F.transform(F.slice(tokens, i + 1, k + 1), lambda t: t["value"]), " ")).alias("value"),
+                    m["before"].alias("before"), F.get(tokens, i + k)["after"].alias("after"),
+                    (whole | ((k == 0) & (inside(i) | (reach == LONGEST - 1)))).alias("left"),
+                    (whole | ((k == 0) & (inside(i + 1) | late))).alias("right"),
+                    (whole | (k == 0)).alias("stays"),
+                )
+
+            return F.when(is_base(m), F.array()).otherwise(F.transform(F.sequence(F.lit(0), reach), run))
+
+        return F.flatten(F.transform(tokens, runs))
+
+    def glue(tokens: Column) -> Column:
+        return F.transform(
+            tokens, lambda m, i: (m["gap"] == " ") & ~is_base(m) & ~F.coalesce(is_base(F.get(tokens, i - 1)), F.lit(True))
+        )
+
+    all_ = _let(matches, lambda tokens: _let(glue(tokens), lambda glued: made(tokens, glued)))
+    kept = F.filter(F.transform(all_, _bare), lambda c: c["stays"] | (F.size(_shapes(c["value"])) > 0))
+    return F.transform(
+        kept,
+        lambda c: F.struct(
+            c["start"].alias("start"), c["value"].alias("value"), _contexts(c["before"], c["after"]).alias("contexts"),
+            c["left"].alias("left"), c["right"].alias("right"),
+        ),
+    )
+
+
 def found(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, key, base`` spans by start and kind, and ``others``: identifier-like tokens elsewhere."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _SEP, _STAND_IN)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("_t"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _plain(F.col("text")).alias("_t"))
     sized = rows.select(
-        "doc_id", F.xxhash64("_t").alias("key"),
+        "doc_id", "_t", F.xxhash64("_t").alias("key"),
         *[_matches(F.col("_t"), p, _NEEDS.get(k)).alias(f"_{k}") for k, p in _PATTERNS.items()],
-        _matches(F.col("_t"), _CANDIDATE, None).alias("_other"),
     )
 
     def spans(kind: str, no: int) -> Column:
@@ -161,22 +270,8 @@ def found(docs: DataFrame) -> DataFrame:
         )
 
     based = sized.withColumn("base", F.array_sort(F.concat(*[spans(k, i) for i, k in enumerate(KINDS)])))
-    def bare(m: Column) -> Column:
-        """The token without quotes and brackets around it; a bracket around leading digits belongs to it."""
-        lead = F.length(F.regexp_extract(m["value"], r"^(?:[\"'\[{<]|\((?![0-9]+\)))*", 0))
-        rest = F.substring(m["value"], lead + 1, F.length(m["value"]))
-        return F.struct(
-            (m["start"] + lead).alias("start"),
-            F.rtrim(rest, F.lit("\"'}]>).,;:!?*#$%&|")).alias("value"),
-            _contexts(m["before"], m["after"]).alias("contexts"),
-        )
-
-    trimmed = F.transform("_other", bare)
-    free = F.filter(
-        trimmed,
-        lambda m: ~F.exists("base", lambda b: (b["start"] < m["start"] + F.length(m["value"])) & (m["start"] < b["end"])),
-    )
-    return based.select("doc_id", "key", "base", free.alias("others"))
+    marked = based.select("doc_id", "key", "base", _marked(F.col("_t"), F.col("base")).alias("_m"))
+    return marked.select("doc_id", "key", "base", _candidates(_matches(F.col("_m"), _TOKEN, None)).alias("others"))
 
 
 def _shapes(value: Column) -> Column:
@@ -195,18 +290,21 @@ def _shapes(value: Column) -> Column:
 
 def bootstrapped(rows: DataFrame) -> DataFrame:
     """``doc_id, key, start, end, kind`` of tokens that high-confidence contexts point to."""
-    named = rows.filter("doc_id IS NOT NULL AND (size(base) > 0 OR size(others) > 0)")
+    named = rows.filter("size(base) > 0 OR size(others) > 0")
     seeds = named.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.contexts")
     tokens = named.select("doc_id", "key", F.explode("others").alias("o")).select(
-        "doc_id", "key", "o.start", "o.value", "o.contexts", _shapes(F.col("o.value")).alias("kinds")
+        "doc_id", "key", "o.start", "o.value", "o.contexts", "o.left", "o.right", _shapes(F.col("o.value")).alias("kinds")
     )
     tokens = common.stored(tokens)
+    sides = tokens.select("value", F.explode("contexts").alias("context"), "left", "right").select(
+        "value", "context", F.when(F.col("context").startswith("L"), F.col("left")).otherwise(F.col("right")).alias("counted")
+    )
     edges = common.stored(
-        seeds.select("value", F.explode("contexts").alias("context"))
-        .union(tokens.select("value", F.explode("contexts").alias("context")))
-        .distinct()
+        seeds.select("value", F.explode("contexts").alias("context"), F.lit(True).alias("counted"))
+        .union(sides).groupBy("value", "context").agg(F.max("counted").alias("counted"))
     )
-    totals = edges.groupBy("context").agg(F.count("*").alias("n"))
+    counted = edges.filter("counted")
+    totals = counted.groupBy("context").agg(F.count("*").alias("n"))
     sure = common.stored(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)))
     shaped = common.stored(
         tokens.select("value", F.explode("kinds").alias("kind")).distinct()
@@ -215,7 +313,7 @@ def bootstrapped(rows: DataFrame) -> DataFrame:
     scores = sure
     for _ in range(ROUNDS):
         strength = common.stored(
-            edges.join(by_shuffle(scores), "value")
+            counted.join(by_shuffle(scores), "value")
             .groupBy("context", "kind")
             .agg(F.sum("score").alias("s"), F.sum((F.col("score") == 1.0).cast("int")).alias("seeds"))
             .filter(F.col("seeds") >= SUPPORT)
@@ -244,22 +342,38 @@ def _written(spans: Column) -> Column:
     )
 
 
+_HITS = "array<struct<start:bigint,back:bigint,no1:int,end:bigint,kind:string>>"
+
+
+def _longest(hits: Column) -> Column:
+    """Hits that do not overlap: the longest from the left."""
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_HITS).alias("out"))
+    return F.aggregate(
+        F.array_sort(hits), begin,
+        lambda a, s: F.when(s["start"] < a["at"], F.struct(a["at"].alias("at"), a["out"].alias("out"))).otherwise(
+            F.struct(s["end"].alias("at"), F.array_append(a["out"], s).alias("out"))
+        ),
+        lambda a: a["out"],
+    )
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, key, base, all``: spans as array<struct<start, no, end, kind>> by start, then kind."""
     rows = common.stored(found(docs))
-    more = bootstrapped(rows).groupBy("doc_id", "key").agg(
-        F.collect_set(
-            F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("no1"), "end", "kind")
-        ).alias("more")
+    hits = F.struct(
+        "start", (-F.col("end")).alias("back"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("no1"), "end", "kind"
     )
+    more = bootstrapped(rows).groupBy("doc_id", "key").agg(F.collect_set(hits).alias("more"))
+    more = more.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), _longest(F.col("more")).alias("more"))
     plain = F.transform(
         "base", lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind"))
     )
     added = F.transform(
-        F.coalesce("more", F.array().cast("array<struct<start:bigint,no1:int,end:bigint,kind:string>>")),
+        F.coalesce("more", F.array().cast(_HITS)),
         lambda s: F.struct(s["start"].alias("start"), (s["no1"] - 1).alias("no"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
-    return rows.select("doc_id", "key", plain.alias("base")).join(by_shuffle(more), ["doc_id", "key"], "left").select(
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return rows.select("doc_id", "key", plain.alias("base")).join(by_shuffle(more), same, "left").select(
         "doc_id", "key", "base", F.array_sort(F.concat("base", added)).alias("all")
     )
 
@@ -281,15 +395,13 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets.
 
     Overlapping spans give one replacement, of the first kind. Spans are joined
-    to rows by id and text; rows with a null id lose their base spans only.
+    to rows by id and text.
     """
     key, found, at, id_ = (common.fresh(docs, n) for n in ("_key", "_spans", "_at", "_id"))
     hits = spans(docs).filter("size(all) > 0").dropDuplicates(["doc_id", "key"]).select(
         F.col("doc_id").alias(id_), F.col("key").alias(at), F.col("all").alias(found)
     )
-    keyed = docs.withColumn(
-        key, F.xxhash64(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _SEP, _STAND_IN))
-    )
+    keyed = docs.withColumn(key, F.xxhash64(_plain(F.col("text"))))
     joined = keyed.join(by_shuffle(hits), (keyed["doc_id"].eqNullSafe(F.col(id_))) & (F.col(key) == F.col(at)), "left")
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     cut = F.aggregate(
