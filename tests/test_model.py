@@ -10,6 +10,7 @@ from examples import profile, profiles
 from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions import risk
 from vitalgrid.operators import contributions, forest, importance, scenario, shapley, split
+from vitalgrid.plans import model_queries
 from vitalgrid.plans.derived import demo_forest, demo_score, scored, survey
 from vitalgrid.session import run_folder
 from vitalgrid.sources.artifacts import load_model, save_model
@@ -238,3 +239,15 @@ def test_pack_and_missing(spark):
 def test_first_row_of_class_is_in_test_part(spark, tiny):
     held = split.stratified_split(survey(spark, tiny)).filter("is_test")
     assert held.filter(f"{TARGET} = 2").count() == 16
+
+
+def test_forest_report_trains_the_whole_forest(spark, tiny, monkeypatch):
+    asked, fit = [], forest.RandomForestClassifier.fit
+
+    def spy(self, rows, *more):
+        asked.append((self.getNumTrees(), self.getMaxDepth()))
+        return fit(self.setNumTrees(2), rows, *more)
+
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", spy)
+    assert model_queries.forest_report(spark, tiny).count() > 0
+    assert asked == [(400, 10)]

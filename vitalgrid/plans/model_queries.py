@@ -345,7 +345,7 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the training part, report on the held-out part."""
     rows = written(split.stratified_split(survey(spark, sf_dir)))
-    model = forest.train(rows.filter("NOT is_test"), trees=20, depth=6)
+    model = forest.train(rows.filter("NOT is_test"))
     held_out = forest.score_with_model(rows.filter("is_test"), model)
     return metrics.classification_report(metrics.confusion_row(held_out, TARGET))
 
