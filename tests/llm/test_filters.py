@@ -146,6 +146,25 @@ def test_contamination_of_odd_rows(spark, odd, empty):
     assert len(cut[5]) < len(COPY) and cut[9] == "a"
 
 
+def test_spans_are_removed_block_by_block(spark, odd, monkeypatch):
+    """With several blocks the driver never gathers them; the texts are those of one block."""
+    items = [(f"q{k}", COPY[60 * k : 60 * k + 300]) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = lambda: sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.without_spans(odd, bench).collect())
+    want, log, blocks, scan = texts(), [], decontaminate.item_blocks, decontaminate._scan
+
+    def logged(*args):
+        for block in blocks(*args):
+            log.append(1)
+            yield block
+
+    monkeypatch.setattr(decontaminate, "BLOCK_MB", 0.001)
+    monkeypatch.setattr(decontaminate, "item_blocks", logged)
+    monkeypatch.setattr(decontaminate, "_scan", lambda *args: log.append(-1) or scan(*args))
+    assert texts() == want and log.count(1) > 3
+    assert max(sum(log[: k + 1]) for k in range(len(log))) <= 2
+
+
 def test_spans_equal_plain(spark, tiny_docs, tiny_rows):
     odd_texts = [
         "a@b.c_d@e.f 1.2.3.4.5.6.7.8 x@y.z.", "1 " * 3000, "a@b." + "c." * 2000, "é😀 x@y.zz 999.1.1.1 001.2.3.255 " * 300,

@@ -122,12 +122,16 @@ def _scan(rows: DataFrame, items: list[tuple[str | None, bytes]], keep: tuple[st
 
 def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, spans, items`` per row: hit word ranges (merged) and the items found."""
+    return _scanned(docs, benchmark, ("doc_id",))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     parts = item_blocks(benchmark)
     rows = common.texts(docs)
     first = next(parts)
     second = next(parts, None)
     if second is None:
-        return _scan(rows, first, ("doc_id",))
+        return _scan(rows, first, keep)
     # several blocks: rows are told apart by their own text and id, equal rows have equal hits
     found = None
     for items in [first, second]:
@@ -138,11 +142,11 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.filter("size(spans) > 0").groupBy(key.alias("_k")).agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    plain = _scan(rows, [], ("doc_id", "_text")).withColumn("_k", key).select("_k", "doc_id", "n_words")
+    plain = _scan(rows, [], ("doc_id", "_text")).withColumn("_k", key).select("_k", *keep, "n_words")
     back = plain.join(by_shuffle(hits), "_k", "left")
     merge = F.udf(lambda s: [(a, b) for a, b in _merged([tuple(x) for x in s or []])], "array<struct<start:bigint,end:bigint>>")
     return back.select(
-        "doc_id", "n_words", merge("spans").alias("spans"),
+        *keep, "n_words", merge("spans").alias("spans"),
         F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"),
     )
 
@@ -170,21 +174,16 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, text`` with the hit words of every text cut out; blanks around them stay."""
-    first, *more = list(item_blocks(benchmark))
-    shared = docs.sparkSession.sparkContext.broadcast([Windows(first), *map(Windows, more)])
-
-    def work(batch: list[bytes], _) -> dict:
+    def work(batch: list[bytes], rows) -> dict:
         out = []
-        for text in batch:
-            at = [m.span() for m in _WORD.finditer(text.lower())]
-            words = [text.lower()[a:b] for a, b in at]
-            spans = _merged([(i, i + w) for known in shared.value for i, w, _ in known.hits(words)])
-            for a, b in reversed(spans):
-                text = text[: at[a][0]] + text[at[b - 1][1] :]
+        for text, spans in zip(batch, rows.column(rows.schema.get_field_index("spans")).to_pylist()):
+            at = [m.span() for m in _WORD.finditer(text.lower())] if spans else []
+            for span in reversed(spans):
+                text = text[: at[span["start"]][0]] + text[at[span["end"] - 1][1] :]
             out.append(text.decode(errors="replace"))
         return {"text": out}
 
-    return common.over_texts(common.texts(docs), work, "text string")
+    return common.over_texts(_scanned(docs, benchmark, ("doc_id", "_text")), work, "text string")
 
 
 def digest(items: list[str]) -> str:
