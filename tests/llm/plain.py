@@ -1,7 +1,9 @@
 """The contracts once more in plain Python, for comparison on small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 
@@ -97,3 +99,75 @@ def base_rules(text):
             dup += line in seen
             seen.add(line)
     return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def copies(rows):
+    """(doc_id, text) -> doc_id, keep_id, group_size, digest per row."""
+    held = {}
+    for i, t in rows:
+        held.setdefault(t or "", []).append(i)
+    last = {t: max((i for i in ids if i is not None), default=None) for t, ids in held.items()}
+    return [(i, last[t or ""], len(held[t or ""]), sha(t or "")) for i, t in rows]
+
+
+def search(docs, items, top=10):
+    """(item, rank, doc_id, score) by scoring every document for every item."""
+    bags = [(i, Counter(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))) for i, t in docs]
+    bags = [(i, b) for i, b in bags if b]
+    n, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    held = {}
+    for item, t in items:
+        held.setdefault(item, set()).update(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    out = []
+    for item, terms in held.items():
+        found = []
+        for i, b in bags:
+            m = 10 + 90 * sum(b.values()) * n // total
+            score = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * b[t] // (1000 * b[t] + 8 * m)) for t in terms if t in b
+            )
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(found)[:top])]
+    return out
+
+
+def manifest(rows):
+    """(doc_id, source, lang, n_chars, text) -> doc_id, leaf, subroot, root, proof, folded root, verified, in tree order."""
+
+    def leaf(fields):
+        return sha("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+    def tree(hashes):
+        """Root, and per leaf its (left, right) siblings level by level."""
+        paths, owner = [[] for _ in hashes], list(range(len(hashes)))
+        while len(hashes) > 1:
+            for i, at in enumerate(owner):
+                first = at - at % 8
+                paths[i].append(("".join(hashes[first:at]), "".join(hashes[at + 1 : first + 8])))
+            hashes = [sha("".join(hashes[k : k + 8])) for k in range(0, len(hashes), 8)]
+            owner = [at // 8 for at in owner]
+        return hashes[0], paths
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(b"" if r[2] is None else b"=" + r[2].encode(), []).append(r)
+    order = sorted(groups)
+    made = []
+    for g in order:
+        ordered = sorted(groups[g], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        made.append((ordered, *tree([leaf(r) for r in ordered])))
+    if not made:
+        return []
+    root, tops = tree([m[1] for m in made])
+    out = []
+    for (ordered, subroot, paths), top in zip(made, tops):
+        for r, path in zip(ordered, paths):
+            h, whole = leaf(r), path + top
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None:
+                h = leaf((*r[:4], re.sub("[A-Z]", lambda m: m[0].lower(), r[4])))
+            for a, b in whole:
+                h = sha(a + h + b)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(a + b for a, b in whole)), h, h == root))
+    return out

@@ -8,8 +8,11 @@ from vitalgrid.llm import (
     boosting,
     common,
     decontaminate,
+    exact_dedup,
     language_id,
     language_model,
+    lexical_search,
+    merkle,
     near_dedup,
     packing,
     pii,
@@ -76,6 +79,21 @@ def op10_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op11_quotient_filter_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts and verdict of every document."""
+    return exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"))
+
+
+def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op13_lag_lead_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its tampered form is found out."""
+    return merkle.manifest(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_recurrent_lm_scoring": op1_recurrent_lm_scoring,
     "op2_resynchronised_token_counts": op2_resynchronised_token_counts,
@@ -87,4 +105,7 @@ QUERIES = {
     "op8_grouping_genetic_packing": op8_grouping_genetic_packing,
     "op9_kneser_ney_quality_rules": op9_kneser_ney_quality_rules,
     "op10_superminhash_near_dedup": op10_superminhash_near_dedup,
+    "op11_quotient_filter_exact_dedup": op11_quotient_filter_exact_dedup,
+    "op12_presence_mask_search": op12_presence_mask_search,
+    "op13_lag_lead_merkle_manifest": op13_lag_lead_merkle_manifest,
 }
