@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from examples import profile, profiles
 from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions import risk
-from vitalgrid.operators import contributions, forest, importance, scenario, shapley, split
+from vitalgrid.operators import contributions, forest, importance, scenario, shapley, shapley_blocks, split
 from vitalgrid.plans import model_queries
 from vitalgrid.plans.derived import demo_forest, demo_score, scored, survey
 from vitalgrid.session import run_folder
@@ -90,6 +90,69 @@ def test_contributions_equal_brute_force(seed):
         assert base[c] + got.sum() == pytest.approx(share, abs=1e-12)
 
 
+def node_rows(model):
+    """Node table rows of a forest; inner nodes get their cover as a single weight."""
+    rows = []
+    for tree, root in enumerate(model.trees):
+        number = itertools.count()
+
+        def add(node):
+            own = next(number)
+            place = len(rows)
+            rows.append(None)
+            if node.is_leaf:
+                whole = sum(node.weights)
+                rows[place] = (tree, own, -1, -1, None, None, [node.cover * w / whole for w in node.weights])
+            else:
+                left, right = add(node.left), add(node.right)
+                rows[place] = (tree, own, left, right, FEATURES.index(node.feature), node.threshold, [node.cover, 0.0, 0.0])
+            return own
+
+        add(root)
+    return rows
+
+
+NODES = "tree bigint, node bigint, left_node bigint, right_node bigint, feature_index int, threshold double, weights array<double>"
+
+
+@pytest.mark.parametrize(("seed", "bits", "block"), [(1, 11, 7), (2, 3, 1000), (3, 1, 1000)])
+def test_block_contributions_equal_brute_force(spark, monkeypatch, seed, bits, block):
+    """Tabulated and direct codes, one and several blocks of rows and trees, equal profiles, a row without class."""
+    monkeypatch.setattr(shapley_blocks, "TABLE_BITS", bits)
+    monkeypatch.setattr(shapley_blocks, "ROW_BLOCK", block)
+    model = random_forest(seed, trees=3, depth=5)
+    rng = random.Random(seed)
+    rows = [{f: rng.uniform(-1, 11) for f in FEATURES} for _ in range(12)]
+    data = [(i, *[r[f] for f in FEATURES], i % 3 if i < 11 else None) for i, r in enumerate(rows)]
+    data.append((12, *data[0][1:]))
+    schema = "rid bigint, " + ", ".join(f"{f} double" for f in FEATURES) + ", predicted_class int"
+    nodes = spark.createDataFrame(node_rows(model), NODES)
+    got = {r["rid"]: r["shap"] for r in shapley_blocks.with_shap(spark.createDataFrame(data, schema), nodes).collect()}
+    assert len(got) == 13 and got[11] is None and got[12] == got[0]
+    used = sorted({f for leaf in model.leaves() for f in leaf.share}, key=FEATURES.index)
+    for i in range(11):
+        want = brute_force(model, rows[i], i % 3, used)
+        assert got[i] == pytest.approx([want.get(f, 0.0) for f in FEATURES], abs=1e-12)
+    base = {r["class_index"]: r["base"] for r in shapley_blocks.base_values(nodes).collect()}
+    assert [base[c] for c in range(3)] == pytest.approx(model.base_values(), abs=1e-12)
+
+
+def test_block_counts_are_bounded_and_use_all_cores(spark):
+    rows, trees = shapley_blocks._counts(spark, 10_000, 400, 800_000)
+    assert rows == 1 and trees >= 8
+    rows, trees = shapley_blocks._counts(spark, 10**9, 400, 800_000)
+    assert rows == -(-(10**9) // shapley_blocks.ROW_BLOCK) and trees == 1
+    assert shapley_blocks._counts(spark, 10, 400, 50_000_000)[1] == 50
+    assert shapley_blocks._counts(spark, 0, 0, 0) == (1, 1)
+
+
+def test_contributions_of_nothing_and_of_leaves(spark, tiny):
+    nodes = spark.createDataFrame([(0, 0, -1, -1, None, None, [1.0, 2.0, 1.0])], NODES)
+    rows = scored(spark, tiny)
+    assert shapley_blocks.with_shap(rows.limit(0), nodes).count() == 0
+    assert shapley_blocks.with_shap(rows.limit(3), nodes).select("shap").distinct().collect()[0][0] == [0.0] * 21
+
+
 def test_value_on_a_split_point_goes_left():
     node = forest.Node
     model = forest.Forest((node(4.0, (), "BMI", 30.0, node(1.0, (1, 0, 0)), node(3.0, (0, 0, 1))),))

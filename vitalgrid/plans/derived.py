@@ -138,6 +138,38 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo_score(survey(spark, sf_dir)).withColumn(NUMBER, F.col("rid") + 1)
 
 
+# First cut, step and number of cuts of the features that are not binary.
+_CUTS = {
+    "BMI": (22.25, 3, 7), "MentHlth": (2.5, 4, 5), "PhysHlth": (2.5, 4, 5), "GenHlth": (1.5, 1, 4),
+    "Age": (2.5, 2, 5), "Education": (2.5, 1, 4), "Income": (2.5, 1, 5),
+}
+WIDE_TREES = 8
+
+
+def wide_nodes(spark: SparkSession) -> DataFrame:
+    """Node table of eight trees of depth 4 that split on all 21 features; leaf shares are dyadic, covers are not."""
+    rows = []
+    for tree in range(WIDE_TREES):
+        weights: dict[int, list[float]] = {}
+        for leaf in range(16):
+            low = (7 * tree + 11 * leaf + 3) % 29
+            medium = (5 * tree + 13 * leaf) % (33 - low)
+            scale = float(1 << (tree + leaf) % 3)
+            weights[15 + leaf] = [scale * low, scale * medium, scale * (32 - low - medium)]
+        for node in reversed(range(15)):
+            weights[node] = [a + b for a, b in zip(weights[2 * node + 1], weights[2 * node + 2])]
+        for node in range(31):
+            if node >= 15:
+                rows.append((tree, node, -1, -1, None, None, weights[node]))
+                continue
+            index = (4 * tree + 5 * node + tree * node) % len(FEATURES)
+            first, step, cuts = _CUTS.get(FEATURES[index], (0.5, 0, 1))
+            rows.append((tree, node, 2 * node + 1, 2 * node + 2, index, first + step * ((tree + node) % cuts), weights[node]))
+    return spark.createDataFrame(
+        rows, "tree bigint, node bigint, left_node bigint, right_node bigint, feature_index int, threshold double, weights array<double>"
+    )
+
+
 def made_shap() -> str:
     """Contributions with ties and zeros, computed from the row id alone."""
     values = [f"CAST((rid + 1) * {31 + 17 * i} % 401 - 200 AS DOUBLE) / 1024" for i in range(len(FEATURES))]

@@ -103,6 +103,46 @@ SELECT s.rid, s.cls AS predicted_class, f.feature, round(coalesce(t.phi, 0e0), 1
 FROM scored s CROSS JOIN features f LEFT JOIN totals t ON t.rid = s.rid AND t.feature = f.feature
 """
 
+def _rest(*others: int) -> str:
+    """Shapley weighted sum over all subsets of three other features that are met (o) or not (z)."""
+    a, b, c = others
+    return (
+        f"((z{a} * z{b} * z{c} + o{a} * o{b} * o{c}) / 4e0 + (o{a} * z{b} * z{c} + z{a} * o{b} * z{c} + z{a} * z{b} * o{c}"
+        f" + o{a} * o{b} * z{c} + o{a} * z{b} * o{c} + z{a} * o{b} * o{c}) / 12e0)"
+    )
+
+
+# the forest over all features by its rule: splits, leaves, covers, merged paths; a path has four features at most,
+# and one that is not there counts as met with a share of one, which changes nothing
+_WIDE = f"""
+WITH {LONG},
+splits AS (SELECT tree, node, feature, CASE feature WHEN 'BMI' THEN 22.25e0 + 3 * ((tree + node) % 7) WHEN 'MentHlth' THEN 2.5e0 + 4 * ((tree + node) % 5)
+    WHEN 'PhysHlth' THEN 2.5e0 + 4 * ((tree + node) % 5) WHEN 'GenHlth' THEN 1.5e0 + (tree + node) % 4 WHEN 'Age' THEN 2.5e0 + 2 * ((tree + node) % 5)
+    WHEN 'Education' THEN 2.5e0 + (tree + node) % 4 WHEN 'Income' THEN 2.5e0 + (tree + node) % 5 ELSE 0.5e0 END AS cut
+    FROM range(8) AS t(tree) CROSS JOIN range(15) AS n(node) JOIN features f ON f.idx = (4 * tree + 5 * node + tree * node) % 21),
+ends AS (SELECT *, (5 * tree + 13 * leaf) % (33 - low) AS medium, 32 * (1 << ((tree + leaf) % 3)::INTEGER) AS cover
+    FROM (SELECT tree, leaf, (7 * tree + 11 * leaf + 3) % 29 AS low FROM range(8) AS t(tree) CROSS JOIN range(16) AS l(leaf))),
+steps AS (SELECT tree, leaf, cover, unnest([15 + leaf, (14 + leaf) // 2, ((14 + leaf) // 2 - 1) // 2, (((14 + leaf) // 2 - 1) // 2 - 1) // 2]) AS node FROM ends),
+covers AS (SELECT tree, node, sum(cover)::DOUBLE AS cover FROM steps GROUP BY ALL UNION ALL SELECT tree, 0, sum(cover) FROM ends GROUP BY tree),
+paths AS (SELECT s.tree, s.leaf, p.feature, max(CASE WHEN s.node % 2 = 0 THEN cut ELSE -1e308 END) AS low, min(CASE WHEN s.node % 2 = 1 THEN cut ELSE 1e308 END) AS high,
+    product(c.cover / above.cover) AS z FROM steps s JOIN splits p ON p.tree = s.tree AND p.node = (s.node - 1) // 2
+    JOIN covers c ON c.tree = s.tree AND c.node = s.node JOIN covers above ON above.tree = s.tree AND above.node = p.node GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree, leaf ORDER BY feature) AS j FROM paths),
+shapes AS (SELECT tree, leaf, {', '.join(f"coalesce(max(z) FILTER (WHERE j = {j}), 1e0) AS z{j}, max(feature) FILTER (WHERE j = {j}) AS f{j}" for j in range(1, 5))}
+    FROM placed GROUP BY ALL),
+hits AS (SELECT l.rid, p.tree, p.leaf, sum((l.value > low AND l.value <= high)::INTEGER << (j - 1)::INTEGER) AS code, count(*) AS m
+    FROM long l JOIN placed p ON p.feature = l.feature GROUP BY ALL),
+chances AS (SELECT rid, sum(low) / 256e0 AS p0, sum(medium) / 256e0 AS p1, sum(32 - low - medium) / 256e0 AS p2
+    FROM hits h JOIN ends e ON e.tree = h.tree AND e.leaf = h.leaf WHERE code = (1 << m::INTEGER) - 1 GROUP BY rid),
+judged AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS cls FROM chances),
+met AS (SELECT h.rid, j.cls, CASE j.cls WHEN 0 THEN e.low WHEN 1 THEN e.medium ELSE 32 - e.low - e.medium END / 256e0 AS val, s.*,
+    {', '.join(f"CASE WHEN s.f{j} IS NULL THEN 1e0 ELSE (code >> {j - 1} & 1)::DOUBLE END AS o{j}" for j in range(1, 5))}
+    FROM hits h JOIN judged j ON j.rid = h.rid JOIN ends e ON e.tree = h.tree AND e.leaf = h.leaf JOIN shapes s ON s.tree = h.tree AND s.leaf = h.leaf),
+parts AS ({' UNION ALL '.join(
+    f"SELECT rid, f{j} AS feature, val * (o{j} - z{j}) * {_rest(*[k for k in range(1, 5) if k != j])} AS phi FROM met WHERE f{j} IS NOT NULL" for j in range(1, 5))}),
+totals AS (SELECT rid, feature, sum(phi) AS phi FROM parts GROUP BY ALL)
+"""
+
 _SCENARIO_COLUMNS = {
     "lower_bmi_active": {"BMI": "greatest(12e0, BMI - 5)", "PhysActivity": "1e0"},
     "good_health": {"GenHlth": "1e0", "HighBP": "0e0", "HighChol": "0e0"},
@@ -247,6 +287,24 @@ FROM scored s CROSS JOIN (SELECT round(sum(tp) * 1e0 / any_value(n), 9) AS accur
         "shap",
     ),
     "shap_contributions": with_tables(_SHAP, "scored", "features"),
+    "shap_wide_forest": with_tables(
+        f"""{_WIDE}
+SELECT j.rid, CAST(j.cls AS INTEGER) AS predicted_class, f.feature, round(coalesce(t.phi, 0e0) + 1.7e-10, 9) AS shap_value
+FROM judged j CROSS JOIN features f LEFT JOIN totals t ON t.rid = j.rid AND t.feature = f.feature
+""",
+        "survey",
+        "features",
+    ),
+    "shap_additivity": with_tables(
+        f"""{_WIDE},
+bases AS (SELECT c, round(sum(CASE c WHEN 0 THEN low WHEN 1 THEN medium ELSE 32 - low - medium END / 32e0 * e.cover / r.cover) / 8, 9) AS base
+    FROM ends e JOIN covers r ON r.tree = e.tree AND r.node = 0 CROSS JOIN (VALUES (0), (1), (2)) AS k(c) GROUP BY c)
+SELECT CAST(cls AS INTEGER) AS predicted_class, any_value(base) AS base, count(*) AS n_rows, true AS adds_up
+FROM judged JOIN bases ON c = cls GROUP BY cls
+""",
+        "survey",
+        "features",
+    ),
     "top_factors": with_tables(
         f"""
 WITH {LONG}, placed AS (SELECT s.rid, s.feature, l.value, s.shap, row_number() OVER (PARTITION BY s.rid ORDER BY abs(shap) DESC, s.idx) AS place
