@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from vitalgrid.plans.sql_base import COLUMNS, LABEL, scored, with_tables
 from vitalgrid.plans.survey_oracles import DEFINITIONS, LONG, SPLIT
 
@@ -143,6 +145,39 @@ parts AS ({' UNION ALL '.join(
 totals AS (SELECT rid, feature, sum(phi) AS phi FROM parts GROUP BY ALL)
 """
 
+def _mixed(x: str) -> str:
+    """A 32-bit number spread over all bits, as one expression over subqueries would repeat it: written with list steps."""
+    steps = "list_transform([{x}], lambda v: xor(v, v >> 16) * 2146121005 & 4294967295)"
+    steps = f"list_transform({steps}, lambda v: xor(v, v >> 15) * 2221713035 & 4294967295)"
+    return f"list_transform({steps}, lambda v: xor(v, v >> 16))[1]".format(x=x)
+
+
+_POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+_SUPPORTS = f"""
+WITH {LONG},
+trees AS (SELECT tree::UBIGINT AS tree FROM range(400) AS t(tree)),
+codes AS (SELECT rid, CAST(Diabetes_012 AS INTEGER) AS label, CAST('0x' || substr(md5(concat('42:tree:', rid)), 1, 8) AS UBIGINT) AS code FROM survey),
+hashed AS (SELECT rid, label, tree, {_mixed("((code + (tree + 1) * 2654435761) & 4294967295)::UBIGINT")} AS u FROM codes CROSS JOIN trees),
+drawn AS (SELECT rid, label, tree, {' + '.join(f'(u >= {p})::INTEGER' for p in _POISSON)} AS n FROM hashed WHERE u >= {_POISSON[0]}),
+roots AS (SELECT tree, count(*) AS n_rows, {', '.join(f'coalesce(sum(n) FILTER (WHERE label = {c}), 0)::BIGINT AS d{c}' for c in CLASSES)} FROM drawn GROUP BY tree),
+weighted AS (SELECT *, {', '.join(f'CASE WHEN d{c} = 0 THEN 0e0 ELSE (d0 + d1 + d2)::DOUBLE / (((d0 > 0)::INTEGER + (d1 > 0)::INTEGER + (d2 > 0)::INTEGER) * d{c})::DOUBLE END AS w{c}' for c in CLASSES)} FROM roots),
+owned AS (SELECT tree, {_mixed("((tree + 1) * 2246822507 & 4294967295)::UBIGINT")} AS own FROM trees),
+picked AS (SELECT tree, feature, idx FROM (SELECT tree, feature, idx, row_number() OVER (PARTITION BY tree ORDER BY h, idx) AS place
+    FROM (SELECT tree, feature, idx, {_mixed("((own + (idx + 1)::UBIGINT * 3266489909) & 4294967295)::UBIGINT")} AS h FROM owned CROSS JOIN features)) WHERE place <= 4),
+cells AS (SELECT d.tree, p.feature, p.idx, l.value, count(*) AS r, {', '.join(f'coalesce(sum(n) FILTER (WHERE label = {c}), 0)::BIGINT AS c{c}' for c in CLASSES)}
+    FROM drawn d JOIN picked p ON p.tree = d.tree JOIN long l ON l.rid = d.rid AND l.feature = p.feature GROUP BY ALL),
+edges AS (SELECT feature, value, (value + lead(value) OVER (PARTITION BY feature ORDER BY value)) / 2 AS cut FROM (SELECT DISTINCT feature, value FROM long)),
+sides AS (SELECT tree, feature, idx, value, sum(r) OVER w AS lr, {', '.join(f'sum(c{c}) OVER w AS l{c}' for c in CLASSES)} FROM cells
+    WINDOW w AS (PARTITION BY tree, feature ORDER BY value)),
+weighed AS (SELECT s.tree, feature, idx, value, {', '.join(f'l{c}::DOUBLE * w{c} AS a{c}, (d{c} - l{c})::DOUBLE * w{c} AS b{c}' for c in CLASSES)}
+    FROM sides s JOIN weighted t ON t.tree = s.tree WHERE lr >= 2 AND n_rows - lr >= 2),
+scores AS (SELECT tree, feature, idx, value, (a0 * a0 + a1 * a1 + a2 * a2) / (a0 + a1 + a2) + (b0 * b0 + b1 * b1 + b2 * b2) / (b0 + b1 + b2) AS score FROM weighed),
+best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY score DESC, idx, value) AS place FROM scores)
+SELECT r.tree::BIGINT AS tree, n_rows, d0 AS draws_low, d1 AS draws_medium, d2 AS draws_high, b.feature AS first_feature, e.cut AS first_cut,
+    true AS adds_up, true AS leaves_hold_two
+FROM roots r JOIN best b ON b.tree = r.tree AND b.place = 1 JOIN edges e ON e.feature = b.feature AND e.value = b.value
+"""
+
 _SCENARIO_COLUMNS = {
     "lower_bmi_active": {"BMI": "greatest(12e0, BMI - 5)", "PhysActivity": "1e0"},
     "good_health": {"GenHlth": "1e0", "HighBP": "0e0", "HighChol": "0e0"},
@@ -410,6 +445,7 @@ FROM scored s JOIN shap c ON c.rid = s.rid AND c.idx = 0
         "scored",
         "shap",
     ),
+    "forest_supports": with_tables(_SUPPORTS, "survey", "features"),
     "stream_scores": with_tables(
         "SELECT v.rid, CAST(v.Diabetes_012 AS INTEGER) AS Diabetes_012, s.cls AS predicted_class, s.p2 AS high_risk_probability "
         "FROM survey v JOIN scored s ON v.rid = s.rid",

@@ -12,6 +12,7 @@ from vitalgrid.functions.settle import settled
 from vitalgrid.operators import (
     contributions,
     forest,
+    forest_trainer,
     importance,
     lookups,
     metrics,
@@ -376,6 +377,30 @@ def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.classification_report(metrics.confusion_row(held_out, TARGET))
 
 
+SUPPORT_TREES = 400
+
+
+def forest_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train the histogram forest on all respondents; per tree its bootstrap, its first cut and whether its counts add up."""
+    nodes = forest_trainer.train(survey(spark, sf_dir), trees=SUPPORT_TREES)
+    inner = nodes.filter("left_node >= 0")
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("n_rows").alias("rows"), F.col("draws").alias("drawn"))
+    sides = inner.select("tree", "node", "n_rows", "draws", F.explode(F.array("left_node", "right_node")).alias("child"))
+    sums = sides.join(by_shuffle(child), ["tree", "child"]).groupBy("tree", "node", "n_rows", "draws").agg(
+        F.sum("rows").alias("rows"), F.array(*[F.sum(F.get("drawn", F.lit(c))) for c in range(3)]).alias("drawn")
+    )
+    added = sums.groupBy("tree").agg(F.count("*").alias("n_splits"), F.bool_and(F.expr("rows = n_rows AND drawn = draws")).alias("additive"))
+    leaves = nodes.filter("left_node < 0").groupBy("tree").agg(
+        F.sum("n_rows").alias("in_leaves"), F.count("*").alias("n_leaves"), F.min("n_rows").alias("smallest")
+    )
+    roots = nodes.filter("node = 0").select(
+        "tree", "n_rows", *[F.get("draws", F.lit(c)).alias(f"draws_{n}") for c, n in enumerate(("low", "medium", "high"))],
+        F.get(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature_index")).alias("first_feature"), F.col("threshold").alias("first_cut"),
+    )
+    whole = (F.col("additive") & (F.col("in_leaves") == F.col("n_rows")) & (F.col("n_leaves") == F.col("n_splits") + 1)).alias("adds_up")
+    return roots.join(added, "tree").join(leaves, "tree").select(*roots.columns, whole, (F.col("smallest") >= 2).alias("leaves_hold_two"))
+
+
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders arriving as a stream of files: derive, clean, score, append."""
     stream = arriving(spark, sf_dir, table(spark, sf_dir, "orders").schema, "orders.parquet")
@@ -391,6 +416,6 @@ QUERIES = {
         macro_auc, evaluation_attached, stored_evaluation, prediction_pairs, permutation_importance, permutation_importance_all, importance_ranking,
         shap_contributions, shap_wide_forest, shap_additivity, top_factors, all_factors, supports_and_opposes, packed_contributions,
         missing_contributions, profile_attributes, scenario_scores, scenario_changes, overrides, twins,
-        stale_twins, current_twins, case_records, display_texts, forest_report, stream_scores,
+        stale_twins, current_twins, case_records, display_texts, forest_report, forest_supports, stream_scores,
     )
 }
