@@ -68,11 +68,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is among the ``doc_id`` of ``gone``; rows with a null id stay."""
-    name = fresh(docs, "_gone")
-    ids = gone.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(by_shuffle(ids), docs["doc_id"] == F.col(name), "left_anti")
+#: Row keys (some 30 bytes each) that may be broadcast; more of them meet the rows by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_key(*columns: str) -> Column:
+    """64-bit hash of some columns of ``documents``: with the id it tells rows apart that repeat an id or have none."""
+    return F.xxhash64(*columns)
+
+
+def keyed_rows(docs: DataFrame, keys: DataFrame, columns: tuple[str, ...], how: str) -> DataFrame:
+    """``docs`` joined (left_semi or left_anti) to the written ``keys``: ``doc_id`` and ``row_key`` of ``columns``; null ids count.
+
+    Texts are moved only if the keys are too many to be broadcast.
+    """
+    found = keys.select(F.col("doc_id").alias("_a"), F.col("row_key").alias("_b")).distinct()
+    found = F.broadcast(found) if keys.count() <= BROADCAST_KEYS else by_shuffle(found)
+    key = row_key(*[F.col(f"rows.`{c}`") for c in columns])
+    same = F.col("rows.doc_id").cast("bigint").eqNullSafe(F.col("keys._a")) & (key == F.col("keys._b"))
+    return docs.alias("rows").join(found.alias("keys"), same, how)
 
 
 def blocks(sizes: np.ndarray, limit: int) -> Iterator[slice]:

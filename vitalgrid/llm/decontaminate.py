@@ -22,10 +22,11 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import common
@@ -127,49 +128,69 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     parts = item_blocks(benchmark)
-    rows = common.texts(docs)
+    rows = common.texts(docs, common.row_key("text").alias("row_key"))
     first = next(parts)
     second = next(parts, None)
     if second is None:
         return _scan(rows, first, keep)
     # several blocks: rows are told apart by their own text and id, equal rows have equal hits
-    found = None
-    for items in [first, second]:
-        found = _union(found, _scan(rows, items, ("doc_id", "_text")))
-    for items in parts:
-        found = _union(found, _scan(rows, items, ("doc_id", "_text")))
-    key = F.struct("doc_id", F.sha2("_text", 256))
-    hits = found.filter("size(spans) > 0").groupBy(key.alias("_k")).agg(
+    wide = tuple(dict.fromkeys(("doc_id", "_text", *keep)))
+    key = F.struct("doc_id", F.sha2("_text", 256)).alias("_k")
+    # the first block's scan also brings the words of every row
+    start = common.stored(_scan(rows, first, wide).select(key, *keep, "n_words", "spans", "items"))
+    found = start.select("_k", "spans", "items")
+    for items in chain([second], parts):
+        found = found.unionByName(_scan(rows, items, wide).select(key, "spans", "items"))
+    hits = found.filter("size(spans) > 0").groupBy("_k").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    plain = _scan(rows, [], ("doc_id", "_text")).withColumn("_k", key).select("_k", *keep, "n_words")
-    back = plain.join(by_shuffle(hits), "_k", "left")
-    merge = F.udf(lambda s: [(a, b) for a, b in _merged([tuple(x) for x in s or []])], "array<struct<start:bigint,end:bigint>>")
-    return back.select(
-        *keep, "n_words", merge("spans").alias("spans"),
+    plain = start.drop("spans", "items")
+    return plain.join(by_shuffle(hits), "_k", "left").select(
+        *keep, "n_words", _joined_spans(F.col("spans")).alias("spans"),
         F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"),
     )
 
 
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Words, hit words, items (count and digest) and the verdict of every row."""
+def _joined_spans(spans: Column) -> Column:
+    """Spans in order, those that touch as one."""
+    def add(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)  # null while there is none
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        touches = F.coalesce(s["start"] <= last["end"], F.lit(False))
+        return F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.array_sort(F.coalesce(spans, F.array().cast(_SPANS))), F.array().cast(_SPANS), add)
+
+
+def _reported(rows: DataFrame, *columns: str) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return scanned(docs, benchmark).select(
+    return rows.select(
         "doc_id",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        *columns,
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Words, hit words, items (count and digest) and the verdict of every row."""
+    return _reported(scanned(docs, benchmark))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; null ids stay, of a repeated id all rows go."""
-    return common.rows_without(docs, report(docs, benchmark).filter("contaminated"))
+    """The rows of ``docs`` that are not contaminated.
+
+    A verdict follows from the text, so rows are told apart by text and id: a row
+    goes exactly if its own text is contaminated, whatever its id, null or repeated.
+    """
+    judged = _reported(_scanned(docs, benchmark, ("doc_id", "row_key")), "row_key")
+    gone = common.stored(judged.filter("contaminated").select("doc_id", "row_key"))
+    return common.keyed_rows(docs, gone, ("text",), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -15,16 +15,24 @@ Steps, none of which gathers a group in one task:
 3. Every bucket proposes its smallest set and its smallest id as partners of
    all its members: two aggregates, no pairs within the bucket. Proposals are
    verified on full sets.
-4. Buckets that still hold more than one group are compared in blocks, all
-   members with all, so no link between different texts is left to the choice
-   of partners. Signatures far from the bound go first; the sets of the rest are
-   compared exactly, and a block returns only links that join its groups.
-5. Verified links become components by hooking to the smallest neighbour and
+4. Buckets that still hold several groups go through rounds of stars: all
+   members outside the bucket's largest group are verified against one member of
+   that group, another one each round, so a round's work grows with the members.
+   Rounds end when few stars find a link.
+5. What is then left of a bucket is compared in blocks: members of the smaller
+   groups with all others, and no pair within the largest group, so no link
+   between different texts is left to the choice of partners. Blocks hold
+   members by count and by size of their sets. Signatures far from the bound go
+   first; the sets of the rest are compared exactly, and a block returns only
+   links that join its groups.
+6. Verified links become components by hooking to the smallest neighbour and
    halving paths, until nothing changes.
 
 Defined cases: null or empty texts, and texts of blanks only, have no shingles,
 are linked with nothing and kept. A row with a null id is its own group
 (component null, kept). Rows that repeat an id belong to the group of that id.
+``deduplicated`` goes by rows: of a group one row stays, also where rows repeat
+an id or have none.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import common
@@ -45,11 +53,13 @@ WIDTH = 5
 LINK_TOP, LINK_BOTTOM = 75, 100
 #: 36 bands of 5 ranks: a pair at 0.75 is missed with probability 6e-5.
 BANDS, ROWS = 36, 5
-#: Pairs of step 4 whose signatures agree in a smaller share than this are not
+#: Pairs of step 5 whose signatures agree in a smaller share than this are not
 #: verified: at a true similarity of 0.75 that is 4.6 deviations off.
 LEAST_AGREEMENT = 0.60
-#: Members of a bucket in one block of step 4.
-CHUNK = 512
+#: Members of a bucket, and shingles of their sets, on one side of a block of step 5.
+CHUNK, CHUNK_SHINGLES = 512, 2_000_000
+#: Share of a round's stars that must find a link for another round.
+WORTHWHILE = 0.05
 #: Set elements ranked at once; bounds the memory for permutations.
 BLOCK_ELEMENTS = 100_000
 _MOST = np.uint64(2**64 - 1)
@@ -106,7 +116,7 @@ def _size_classes(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, fingerprint, keys, ranks``: two band keys per band, a 16-bit digest per rank."""
+    """``doc_id, row_key, n_shingles, fingerprint, keys, ranks``: two band keys per band, a 16-bit digest per rank."""
 
     def work(batch: list[bytes], _) -> dict:
         sets = [shingle_set(t) for t in batch]
@@ -132,7 +142,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         }
 
     return common.over_texts(
-        common.texts(docs), work, "n_shingles bigint, fingerprint binary, keys array<bigint>, ranks binary"
+        common.texts(docs, common.row_key("text").alias("row_key")), work,
+        "n_shingles bigint, fingerprint binary, keys array<bigint>, ranks binary", keep=("doc_id", "row_key"),
     )
 
 
@@ -145,11 +156,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return common.over_texts(common.texts(docs), work, "shingles binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sets of some ids, written. A repeated id is one text here: the class of its smallest fingerprint was chosen before."""
+    found = common.stored(ids.select("doc_id").distinct())
+    few = F.broadcast(found) if found.count() <= common.BROADCAST_KEYS else by_shuffle(found)
+    return common.stored(sets_of(docs.join(few, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose full sets are linked."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # a repeated id is one text here: the class of its smallest fingerprint was chosen before
-    sets = common.stored(sets_of(docs.join(by_shuffle(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     both = (
         pairs.join(by_shuffle(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))), "a")
         .join(by_shuffle(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))), "b")
@@ -178,33 +193,88 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return LINK_BOTTOM * common_ >= LINK_TOP * (len(x) + len(y) - common_)
 
 
-def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` between different groups of one bucket, enough of them to join all groups that are linked.
+def _open_members(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets with several groups, written: ``g``, the bucket's largest group ``main`` and a member of it, ``centre``.
 
-    Buckets are compared in blocks of ``CHUNK`` x ``CHUNK`` members. The first
-    pass compares signatures and names the members that have a partner worth a
-    look; only these are sent with their full sets to the second, which counts
-    common shingles exactly and returns the links of a spanning forest. No pair
-    leaves a block otherwise.
+    The centre is drawn anew each ``turn``. ``chunks`` counts the blocks that the
+    main group and all others need.
     """
-    grouped = members.select("key", "doc_id").join(by_shuffle(groups), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component_id", "doc_id").alias("g")
+    grouped = members.join(by_shuffle(groups), "doc_id", "left").select(
+        "key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("g")
+    )
+    drawn = F.struct("doc_id", "n_shingles")
+    sizes = grouped.groupBy("key", "g").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min_by(drawn, F.xxhash64("doc_id", F.lit(turn))).alias("centre")
+    )
+    buckets = sizes.groupBy("key").agg(
+        F.max_by(F.struct("g", "centre", "n", "shingles"), F.struct("n", -F.col("g"))).alias("main"),
+        F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("groups"),
+    ).filter("groups > 1")
+
+    def chunks(n: str, shingles: str) -> str:
+        return f"CAST(greatest(ceil(({n}) / {CHUNK}), ceil(({shingles}) / {CHUNK_SHINGLES})) AS INT)"
+
+    named = buckets.selectExpr(
+        "key", "main.g AS main", "main.centre.doc_id AS centre", "main.centre.n_shingles AS centre_size",
+        chunks("main.n", "main.shingles") + " AS main_chunks", chunks("n - main.n", "shingles - main.shingles") + " AS chunks",
     )
-    open_ = grouped.groupBy("key").agg(
-        F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count("*") / CHUNK).alias("chunks")
-    ).filter("low < high").select("key", "chunks")
+    return common.stored(grouped.join(by_shuffle(named), "key"))
+
+
+def _fits(n: str, m: str) -> Column:
+    """Sets of these sizes can be linked."""
+    return LINK_BOTTOM * F.least(n, m) >= LINK_TOP * F.greatest(n, m)
+
+
+def _stars(members: DataFrame, links: DataFrame, groups: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rounds of stars: the members that are still open, the links and groups then known, and the sets of the open ones."""
+    turn, open_, sets = 0, _open_members(members, groups, 0), None
+    while True:
+        if sets is None:
+            sets = _sets(open_, docs)
+        stars = common.stored(
+            open_.filter((F.col("g") != F.col("main")) & _fits("n_shingles", "centre_size")).select(
+                F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")
+            ).distinct()
+        )
+        found = common.stored(_verified(stars, sets))
+        new, asked = found.count(), stars.count()
+        if new:
+            links = common.stored(links.union(found))
+            groups = components(links)
+            open_ = _open_members(open_.select("key", "doc_id", "n_shingles"), groups, turn + 1)
+        if new <= WORTHWHILE * asked:
+            return open_, links, groups, sets
+        turn += 1
+
+
+def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different groups of one bucket, enough of them to join all groups that are linked.
+
+    The first pass compares signatures and names the members that have a partner
+    worth a look; only these are sent with their full sets to the second, which
+    counts common shingles exactly and returns the links of a spanning forest. No
+    pair leaves a block otherwise.
+    """
     one = reps.select("doc_id", "n_shingles", "ranks").dropDuplicates(["doc_id"])
-    placed = _placed(grouped.join(by_shuffle(open_), "key")).join(by_shuffle(one), "doc_id")
+    placed = _placed(open_).join(by_shuffle(one), "doc_id")
     worth = common.stored(_in_blocks(placed, _promising, "key bigint, i int, j int, doc_id bigint, h int, g bigint"))
-    ids = worth.select("doc_id").distinct()
-    sets = common.stored(sets_of(docs.join(by_shuffle(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     return _in_blocks(worth.join(by_shuffle(sets), "doc_id"), _forest, "a bigint, b bigint").distinct()
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Every row once per block of its bucket: chunk h meets chunk k in block (min, max)."""
-    own = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    met = own.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    """Every row once per block of its bucket: chunk h meets chunk k in block (min, max).
+
+    Chunks of the largest group come first and meet the other chunks only.
+    """
+    is_main = F.col("g") == F.col("main")
+    part = F.xxhash64("doc_id")
+    own = rows.withColumn(
+        "h", F.when(is_main, F.pmod(part, F.col("main_chunks"))).otherwise(F.col("main_chunks") + F.pmod(part, F.col("chunks"))).cast("int")
+    )
+    met = own.withColumn(
+        "k", F.explode(F.sequence(F.when(is_main, F.col("main_chunks")).otherwise(0), F.col("main_chunks") + F.col("chunks") - 1))
+    )
     return met.select("key", "doc_id", "g", "h", F.least("h", "k").alias("i"), F.greatest("h", "k").alias("j"))
 
 
@@ -330,8 +400,8 @@ def components(links: DataFrame) -> DataFrame:
             return parents.select(F.col("a").alias("doc_id"), F.col("p").alias("component_id"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, n_shingles, fingerprint, class_id`` per row: the group of the row's set, null without shingles."""
     signed = common.stored(signatures(docs))
     # one row per different set; the class's smallest id represents it
     classes = signed.filter("fingerprint IS NOT NULL AND doc_id IS NOT NULL").groupBy("fingerprint").agg(
@@ -346,33 +416,62 @@ def near_groups(docs: DataFrame) -> DataFrame:
     buckets = rows.groupBy("key").agg(
         F.count("*").alias("members"), smallest.alias("small"), F.min("doc_id").alias("first")
     ).filter("members > 1").drop("members")
-    members = common.stored(rows.drop("n_shingles").join(by_shuffle(buckets), "key"))
+    members = common.stored(rows.join(by_shuffle(buckets), "key"))
     proposed = members.select("doc_id", F.explode(F.array("small", "first")).alias("b"))
     pairs = common.stored(
         proposed.filter("doc_id <> b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
     )
-    links = common.stored(_verified(pairs, docs))
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    links = common.stored(_verified(pairs, _sets(ends, docs)))
     # an id that stands for two sets (a repeated id) ties their classes together
-    groups = components(links)
-    rest = common.stored(_across(members, groups, reps, docs))
-    links = links.union(rest)
-    groups = components(links)
+    open_, links, groups, sets = _stars(members, links, components(links), docs)
+    rest = common.stored(_across(open_, reps, sets))
+    if not rest.isEmpty():
+        groups = components(links.union(rest))
     # members of a class get the group of its representative; groups carry the smallest id of all classes
     named = classes.select("fingerprint", "rep").join(
         by_shuffle(groups.select(F.col("doc_id").alias("rep"), "component_id")), "rep", "left"
-    ).select("fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "fingerprint").join(by_shuffle(named), "fingerprint", "left").select(
+    ).select("fingerprint", F.coalesce("component_id", "rep").alias("class_id"))
+    return signed.select("doc_id", "row_key", "n_shingles", "fingerprint").join(by_shuffle(named), "fingerprint", "left")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    group = F.coalesce("class_id", "doc_id")
+    return _grouped(docs).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), group).alias("component_id"),
+        F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the smallest id of each group, with the columns of ``docs``.
+    """One row of each group, with the columns of ``docs``.
 
-    Where several rows carry that id, all of them stay: they differ in nothing
-    the groups look at, or are different texts under one id.
+    The row with the smallest id stays; where several rows have it, the one with
+    the smallest hash of its text, and of equal rows any one. Rows without id are
+    in the group of their set; if that has ids, one of those stays. Rows without
+    shingles and without id are told apart by nothing but their text.
     """
-    return common.rows_without(docs, near_groups(docs).filter("NOT kept"))
+    rows = common.stored(_grouped(docs))
+    group = F.when(F.col("class_id").isNotNull() | F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    # a null id comes last; without any id in the group, the set itself or else the text names it
+    one = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
+    named = rows.withColumns({"_g": group, "_f": F.when(group.isNull(), F.coalesce(F.hex("fingerprint"), F.col("row_key").cast("string")))})
+    chosen = common.stored(
+        named.groupBy("_g", "_f").agg(F.min(one).alias("one")).select(F.col("one.d").alias("doc_id"), F.col("one.k").alias("row_key"))
+    )
+    per_key = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("rows"))
+    same = per_key["doc_id"].eqNullSafe(F.col("c.doc_id")) & (per_key["row_key"] == F.col("c.row_key"))
+    marked = common.stored(
+        per_key.join(chosen.alias("c"), same, "left").select(per_key["doc_id"], per_key["row_key"], "rows", F.col("c.row_key").isNotNull().alias("stays"))
+    )
+    repeated = marked.filter("stays AND rows > 1")
+    left = common.keyed_rows(docs, marked.filter("NOT stays OR rows > 1"), ("text",), "left_anti")
+    if repeated.isEmpty():
+        return left
+    key, owner = common.fresh(docs, "_key"), common.fresh(docs, "_owner")
+    again = common.keyed_rows(docs, repeated, ("text",), "left_semi")
+    several = again.withColumns({key: common.row_key("text"), owner: F.col("doc_id")}).dropDuplicates([key, owner])
+    return left.unionByName(several.select(*docs.columns))
