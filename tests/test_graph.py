@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from examples import SHAP, explained, profile
 from vitalgrid.codebook import FEATURES
-from vitalgrid.operators import catalog, graph
+from vitalgrid.operators import catalog, graph, graph_rows
+from vitalgrid.plans.derived import contributed
+from vitalgrid.session import run_folder
 
 
 def evaluation(spark, medium=0.001):
@@ -153,3 +155,62 @@ def test_building_the_graph_shuffles_nothing(spark, tiny):
         assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan
         assert "BroadcastNestedLoopJoin" not in plan
     assert len(SHAP) == len(FEATURES)
+
+
+def plans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+
+def test_packed_graphs_equal_the_tables(spark, tiny):
+    """Built in the row, or packed from the tables: the same answers as from the tables themselves."""
+    df = contributed(spark, tiny).filter("rid < 400")
+    nodes, edges = graph.nodes(df, "forest"), graph.edges(df)
+    in_row, from_tables = graph_rows.packed(df, "forest"), graph_rows.from_tables(nodes, edges)
+    columns = ["patient_number", "edge_number", "source", "target", "relationship", "label"]
+    for graphs in (in_row, from_tables):
+        assert rows_of(graph_rows.view_sizes(graphs)) == rows_of(graph.view_sizes(nodes, edges))
+        for view in graph.VIEWS:
+            assert rows_of(graph_rows.visible_edges(graphs, view).select(columns)) == rows_of(graph.visible_edges(nodes, edges, view).select(columns))
+        assert rows_of(graph_rows.connections(graphs)) == rows_of(graph.connections(nodes, edges))
+        assert rows_of(graph_rows.neighbourhoods(graphs)) == rows_of(graph.neighbourhoods(nodes, edges))
+        faded = graph_rows.faded_nodes(graphs, graph.TWIN).select("patient_number", "id", "type", "label")
+        assert rows_of(faded) == rows_of(graph.faded_nodes(nodes, edges, graph.TWIN).select("patient_number", "id", "type", "label"))
+        left = graph_rows.dangling_edges(graph_rows.without_nodes(graphs, lambda n: n["type"] == "State"))
+        assert rows_of(left.select(columns)) == rows_of(graph.dangling_edges(nodes.filter("type <> 'State'"), edges).select(columns))
+
+
+def test_packed_graphs_need_no_exchange(spark, tiny):
+    stored = run_folder(spark)
+    graph_rows.write_packed(graph_rows.packed(scored_rows := contributed(spark, tiny).filter("rid < 50"), "forest"), stored)
+    made = spark.read.parquet(_stored(scored_rows))
+    for graphs in (graph_rows.packed(made, "forest"), graph_rows.read_packed(spark, stored)):
+        for df in (
+            graph_rows.view_sizes(graphs), graph_rows.visible_edges(graphs, "twin"), graph_rows.connections(graphs),
+            graph_rows.neighbourhoods(graphs), graph_rows.faded_nodes(graphs, graph.PATIENT), graph_rows.dangling_edges(graphs),
+        ):
+            assert "Exchange" not in plans(df)
+    assert "PushedFilters: [IsNotNull(patient_number), EqualTo(patient_number,7)]" in plans(graph_rows.read_packed(spark, stored).filter("patient_number = 7"))
+
+
+def _stored(df):
+    path = run_folder(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def test_odd_tables_are_packed(spark):
+    """Nodes without edges, edges without nodes, an id that repeats, and no rows at all."""
+    df = explained(spark)
+    nodes, edges = graph.nodes(df, "forest"), graph.edges(df)
+    only_nodes = graph_rows.from_tables(nodes, edges.limit(0))
+    assert graph_rows.view_sizes(only_nodes).filter("view = 'all'").first()["n_nodes"] == 98
+    only_edges = graph_rows.from_tables(nodes.limit(0), edges)
+    assert graph_rows.dangling_edges(only_edges).count() == 135 and graph_rows.view_sizes(only_edges).first()["n_edges"] == 0
+    twice = graph_rows.from_tables(nodes.unionByName(nodes), edges)
+    assert graph_rows.connections(twice).count() == 270
+    assert graph_rows.from_tables(nodes.limit(0), edges.limit(0)).count() == 0
+    assert graph_rows.packed(df.limit(0), "forest").count() == 0

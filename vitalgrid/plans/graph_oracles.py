@@ -331,3 +331,4 @@ FROM judged_drafts j LEFT JOIN summaries s ON s.patient_number = j.doc_id + 1 AN
         _DRAFTS,
     ),
 }
+ORACLES["stored_connections"] = ORACLES["graph_connections"]

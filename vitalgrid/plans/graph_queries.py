@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions.decode import bmi_range
-from vitalgrid.operators import catalog, evidence, graph, metrics, scenario, summary
+from vitalgrid.operators import catalog, evidence, graph, graph_rows, metrics, scenario, summary
 from vitalgrid.operators.numbering import NUMBER
 from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _made_importance, _simulated
+from vitalgrid.session import run_folder
 from vitalgrid.sources.artifacts import ranked_importance
 
 
@@ -42,6 +43,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(contributed(spark, sf_dir))
 
 
+def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per respondent, built where the row is."""
+    return graph_rows.packed(contributed(spark, sf_dir), MODEL)
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct node wording with the respondents it occurs for."""
     return (
@@ -129,43 +135,49 @@ def graph_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.view_sizes(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return graph_rows.view_sizes(_graphs(spark, sf_dir))
 
 
 def explanation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the explanation view, counted by what they say."""
-    shown = graph.visible_edges(_nodes(spark, sf_dir), _edges(spark, sf_dir), "explanation")
+    shown = graph_rows.visible_edges(_graphs(spark, sf_dir), "explanation")
     return shown.groupBy("source", "target", "relationship").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+def _connection_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node", "direction", "edge_label", "other", "other_label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(NUMBER).alias("number_sum")
+    )
+
+
 def graph_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections of every node, counted by wording."""
-    return (
-        graph.connections(_nodes(spark, sf_dir), _edges(spark, sf_dir))
-        .groupBy("node", "direction", "edge_label", "other", "other_label")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(NUMBER).alias("number_sum"))
-    )
+    return _connection_counts(graph_rows.connections(_graphs(spark, sf_dir)))
+
+
+def stored_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored snapshot, which was packed from the long node and edge tables."""
+    path = run_folder(spark)
+    graph_rows.write_packed(graph_rows.from_tables(_nodes(spark, sf_dir), _edges(spark, sf_dir)), path)
+    return _connection_counts(graph_rows.connections(graph_rows.read_packed(spark, path)))
 
 
 def graph_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        graph.neighbourhoods(_nodes(spark, sf_dir), _edges(spark, sf_dir))
-        .groupBy("node", "neighbour")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    return graph_rows.neighbourhoods(_graphs(spark, sf_dir)).groupBy("node", "neighbour").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def faded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes outside the neighbourhood of the prediction node."""
-    faded = graph.faded_nodes(_nodes(spark, sf_dir), _edges(spark, sf_dir), graph.PREDICTION)
+    faded = graph_rows.faded_nodes(_graphs(spark, sf_dir), graph.PREDICTION)
     return faded.groupBy("id", "type").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges left hanging when low class-2 probability nodes are not stored."""
-    nodes = _nodes(spark, sf_dir).filter(~((F.col("id") == "probability-2") & (F.col("details.probability") < 0.3)))
-    hanging = graph.dangling_edges(nodes, _edges(spark, sf_dir))
-    return hanging.select(NUMBER, "id", "relationship", "target")
+    graphs = graph_rows.packed(contributed(spark, sf_dir), MODEL, keep=("probabilities",))
+    low = F.get("probabilities", F.lit(2)) < 0.3
+    left = graph_rows.without_nodes(graphs, lambda n: (n["id"] == "probability-2") & low)
+    return graph_rows.dangling_edges(left).select(NUMBER, F.concat(F.lit("edge-"), "edge_number").alias("id"), "relationship", "target")
 
 
 def detach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +335,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_nodes, graph_node_details, graph_edges, graph_quarantine, gated_edges, unexplained_summaries, graph_counts, graph_relationships, graph_views,
-        explanation_view, graph_connections, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
+        explanation_view, graph_connections, stored_connections, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
         catalog_usage, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
         evidence_summaries, draft_checks, guidance,
     )
