@@ -258,6 +258,23 @@ SELECT o_orderkey + 1 AS patient_number, 135::BIGINT AS n_edges FROM orders WHER
     "unexplained_summaries": """
 SELECT o_orderkey + 1 AS patient_number, 'Age' AS undecodable FROM orders WHERE o_orderkey % 11 = 3
 """,
+    "catalog_versions": with_tables(
+        f"""
+WITH meanings AS ({VALUE_MEANINGS}), definitions AS ({DEFINITIONS}),
+used AS (SELECT count(DISTINCT CASE WHEN BMI < 18.5 THEN 1 WHEN BMI < 25 THEN 2 WHEN BMI < 30 THEN 3 ELSE 4 END) AS k FROM survey),
+held AS (SELECT 'Domain' AS what, count(DISTINCT domain) AS n_rows, 0 AS first FROM definitions
+    UNION ALL SELECT 'AttributeDefinition', count(*), 0 FROM definitions UNION ALL SELECT 'BELONGS_TO', count(*), 0 FROM definitions
+    UNION ALL SELECT w, n, 0 FROM (VALUES ('CategoryDefinition', 4), ('CLASSIFIED_AS', 4), ('ModelVersion', 1), ('ModelEvaluation', 1), ('EVALUATED_BY', 1)) AS c(w, n)
+    UNION ALL SELECT 'ValueDefinition', count(*), 1 FROM meanings UNION ALL SELECT 'DECODES_TO', count(*), 1 FROM meanings),
+every AS (SELECT version, what, n_rows FROM held CROSS JOIN (VALUES (0), (1), (2)) AS v(version) WHERE version >= first
+    UNION ALL SELECT 0, 'BmiCategory', k FROM used UNION ALL SELECT version, 'HealthConcept', CASE version WHEN 0 THEN 2 * k ELSE k END
+        FROM used CROSS JOIN (VALUES (0), (1), (2)) AS v(version)
+    UNION ALL SELECT version, 'ABOUT', CASE version WHEN 0 THEN 2 * k ELSE k END FROM used CROSS JOIN (VALUES (0), (1), (2)) AS v(version))
+SELECT version::BIGINT AS version, what, n_rows::BIGINT AS n_rows, version < 2 AS changed FROM every
+""",
+        "survey",
+        "features",
+    ),
     "catalog_usage": with_tables(
         f"""
 WITH {LONG}, meanings AS ({VALUE_MEANINGS}), definitions AS ({DEFINITIONS}),

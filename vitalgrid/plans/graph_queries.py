@@ -17,6 +17,7 @@ from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _made_importance, _simulated
 from vitalgrid.session import run_folder
+from vitalgrid.sources import snapshots
 from vitalgrid.sources.artifacts import ranked_importance
 
 
@@ -223,6 +224,56 @@ def catalog_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _older_schema(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A catalog of an older schema: some definitions, and concepts per range that respondents fall into."""
+    rows = scored(spark, sf_dir)
+    evaluation = _evaluation(rows).select("model_name", F.lit(0.0).alias("accuracy"))
+    nodes, edges = catalog.catalog_nodes(spark, evaluation), catalog.catalog_edges(spark, evaluation)
+    nodes = nodes.filter("node_label <> 'ValueDefinition'")
+    edges = edges.filter("relationship <> 'DECODES_TO'")
+    used = summary.value_counts(rows, ["BMI"]).select(bmi_range(F.col("value"), "id").alias("range")).distinct()
+
+    def named(label: str, key, name) -> DataFrame:
+        return used.select(F.lit(label).alias("node_label"), key.alias("node_key"), F.create_map(F.lit("name"), name).alias("properties"))
+
+    concept = F.concat(F.lit("concept:"), "range")
+    ranges = named("BmiCategory", F.concat(F.lit("old:"), "range"), F.col("range"))
+    doomed = named("HealthConcept", concept, F.lit(catalog.OBSOLETE_CONCEPTS[0]))
+    sound = named("HealthConcept", F.concat(F.lit("own:"), "range"), F.col("range"))
+    links = used.select(
+        F.lit("HealthConcept").alias("source_label"), concept.alias("source_key"), F.lit("ABOUT").alias("relationship"),
+        F.lit("BmiCategory").alias("target_label"), F.concat(F.lit("old:"), "range").alias("target_key"),
+    )
+    kept = used.select(
+        F.lit("HealthConcept").alias("source_label"), F.concat(F.lit("own:"), "range").alias("source_key"), F.lit("ABOUT").alias("relationship"),
+        F.lit("CategoryDefinition").alias("target_label"), F.col("range").alias("target_key"),
+    )
+    return (
+        nodes.unionByName(ranges).unionByName(doomed).unionByName(sound),
+        edges.unionByName(links).unionByName(kept),
+    )
+
+
+def catalog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older catalog, reloaded twice with today's definitions: what each version holds, and whether it changed anything."""
+    path = run_folder(spark)
+    snapshots.write_catalog(*_older_schema(spark, sf_dir), path)
+    evaluation = _evaluation(scored(spark, sf_dir)).select("model_name", F.round("accuracy", 9).alias("accuracy"))
+    for _ in range(2):
+        snapshots.reload_catalog(catalog.catalog_nodes(spark, evaluation), catalog.catalog_edges(spark, evaluation), path)
+    log = snapshots.versions(spark, path)
+    parents = log.select(F.col("version").alias("parent"), F.col("digest").alias("before"))
+    found = None
+    for version in range(3):
+        nodes, edges = snapshots.read_catalog(spark, path, version)
+        what = nodes.select(F.col("node_label").alias("what")).unionByName(edges.select(F.col("relationship").alias("what")))
+        counts = what.groupBy("what").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("version", F.lit(version).cast("bigint"))
+        found = counts if found is None else found.unionByName(counts)
+    # three rows of the log on either side
+    changed = log.join(parents, "parent", "left").select("version", (~F.col("digest").eqNullSafe(F.col("before"))).alias("changed"))
+    return found.join(changed, "version").select("version", "what", "n_rows", "changed")
+
+
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items whose supposed key occurs more than once."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -336,7 +387,7 @@ QUERIES = {
     for f in (
         graph_nodes, graph_node_details, graph_edges, graph_quarantine, gated_edges, unexplained_summaries, graph_counts, graph_relationships, graph_views,
         explanation_view, graph_connections, stored_connections, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
-        catalog_usage, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
+        catalog_usage, catalog_versions, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
         evidence_summaries, draft_checks, guidance,
     )
 }

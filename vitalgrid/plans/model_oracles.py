@@ -425,6 +425,13 @@ FROM survey v LEFT JOIN items i ON i.rid = v.rid
     AND abs(o.risk_percent - n.risk_percent) < 0.0001""",
         "scored",
     ),
+    "refreshed_twins": with_tables(
+        f"""{_STORED_TWINS} SELECT n.patient_number, coalesce(o.bmi, n.bmi) AS bmi, coalesce(o.gender, n.gender) AS gender,
+    coalesce(o.risk_percent, n.risk_percent) AS risk_percent, o.patient_number IS NULL AS rewritten
+    FROM new_twins n LEFT JOIN stored o ON o.patient_number = n.patient_number AND o.bmi = n.bmi
+    AND o.gender = n.gender AND abs(o.risk_percent - n.risk_percent) < 0.0001""",
+        "scored",
+    ),
     "case_records": with_tables(
         f"""{_TWINS} SELECT o.patient_number, o.gender, o.bmi AS current_bmi, o.beta0 AS current_smpl_beta_0,
     o.risk_percent AS current_risk_percent, o.risk_band AS current_risk_band, o.risk_colour AS current_risk_colour,

@@ -22,9 +22,11 @@ from vitalgrid.operators import (
     split,
     summary,
 )
+from vitalgrid.operators.numbering import NUMBER
 from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, demo_forest, demo_score, scored, survey, survey_from, table, wide_nodes
 from vitalgrid.session import run_folder, written
+from vitalgrid.sources import snapshots
 from vitalgrid.sources.artifacts import evaluation_row, ranked_importance, read_metrics, write_json_documents
 from vitalgrid.sources.dimensions import attribute_definitions
 from vitalgrid.streaming import arriving, write_scored
@@ -342,6 +344,22 @@ def current_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario.up_to_date(new, old, with_gender=False)
 
 
+TWIN_BUCKETS = 64
+
+
+def refreshed_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored descriptors after a refresh that rewrote only buckets with stale ones."""
+    new, old = _twin_pair(spark, sf_dir)
+    path = run_folder(spark)
+    columns = [NUMBER, "bmi", "gender", "risk_percent"]
+    snapshots.write_bucketed(old.select(columns), path, NUMBER, TWIN_BUCKETS)
+    stale = snapshots.refresh(new.select(columns), path, NUMBER, TWIN_BUCKETS, scenario.needs_refresh)
+    marks = stale.select(NUMBER, F.lit(True).alias("rewritten"))
+    return snapshots.read_bucketed(spark, path).join(by_shuffle(marks), NUMBER, "left").select(
+        *columns, F.coalesce("rewritten", F.lit(False)).alias("rewritten")
+    )
+
+
 def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = scenario.case_records(_simulated(spark, sf_dir, [scenario.default_scenario()]))
     sides = [
@@ -416,6 +434,6 @@ QUERIES = {
         macro_auc, evaluation_attached, stored_evaluation, prediction_pairs, permutation_importance, permutation_importance_all, importance_ranking,
         shap_contributions, shap_wide_forest, shap_additivity, top_factors, all_factors, supports_and_opposes, packed_contributions,
         missing_contributions, profile_attributes, scenario_scores, scenario_changes, overrides, twins,
-        stale_twins, current_twins, case_records, display_texts, forest_report, forest_supports, stream_scores,
+        stale_twins, current_twins, refreshed_twins, case_records, display_texts, forest_report, forest_supports, stream_scores,
     )
 }

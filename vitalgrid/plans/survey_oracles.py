@@ -208,6 +208,18 @@ SELECT source_name, n_rows, verdict, {', '.join(f"CASE WHEN verdict = 'ok' THEN
         f"SELECT rid, {COLUMN_LIST}, Diabetes_012, true AS named, true AS in_order FROM numbers WHERE {ALL_PRESENT} AND {VALID}",
         "numbers",
     ),
+    "upload_audit": with_tables(
+        """
+SELECT CASE rid % 3 WHEN 0 THEN 'features' WHEN 1 THEN 'labelled' ELSE 'lacking' END AS kind, CASE rid % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'extra' ELSE 'missing' END AS verdict,
+    CASE rid % 3 WHEN 2 THEN 'Age,BMI' ELSE '' END AS missing, CASE rid % 3 WHEN 1 THEN 'Diabetes_012' ELSE '' END AS extra, count(*) AS n_rows
+FROM survey GROUP BY ALL UNION ALL SELECT 'headers', 'empty', '', '', 0
+""",
+        "survey",
+    ),
+    "audited_import": with_tables(
+        f"SELECT {COLUMN_LIST}, CASE WHEN rid % 3 = 1 THEN Diabetes_012 END AS Diabetes_012, count(*) AS n_rows FROM survey WHERE rid % 3 < 2 GROUP BY ALL",
+        "survey",
+    ),
     "row_counts": with_tables(
         f"""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE {ALL_PRESENT}) AS n_complete,

@@ -78,6 +78,36 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _upload_folders(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Uploads of four kinds: features in another order, with the target, without two columns, and a header alone."""
+    base, rows = run_folder(spark), survey(spark, sf_dir)
+    kinds = {
+        "features": (rows.filter("rid % 3 = 0"), [*reversed(FEATURES)]),
+        "labelled": (rows.filter("rid % 3 = 1"), [TARGET, *FEATURES]),
+        "lacking": (rows.filter("rid % 3 = 2"), [f for f in FEATURES if f not in ("BMI", "Age")]),
+        "headers": (rows.limit(0), FEATURES),
+    }
+    for kind, (part, columns) in kinds.items():
+        write_csv(part.select(columns), f"{base}/{kind}")
+    return [f"{base}/{kind}" for kind in kinds]
+
+
+def upload_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all uploaded files when columns must be exactly the features, by kind of upload."""
+    audit = source.audit_files(spark, _upload_folders(spark, sf_dir), exact=True)
+    kind = F.element_at(F.split("file", "/"), -2).alias("kind")
+    return audit.filter("n_rows > 0 OR verdict <> 'ok'").groupBy(
+        kind, "verdict", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra")
+    ).agg(F.sum("n_rows").alias("n_rows")).filter("n_rows > 0 OR kind = 'headers'")
+
+
+def audited_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the uploads that pass, counted by everything they say; those of bad files stay out."""
+    rows, _ = source.read_audited(spark, _upload_folders(spark, sf_dir))
+    numbers = [F.col(f).cast("double").alias(f) for f in [*FEATURES, TARGET]]
+    return rows.select(numbers).groupBy(*FEATURES, TARGET).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = clean.import_clean(raw_survey(spark, sf_dir)).tagged
     return summary.counts_where(
@@ -261,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_summary, clean_training, clean_strict, clean_import, import_rule_counts, single_profiles,
-        csv_import, row_counts, unknown_labels, missing_in_profile, number_respondents, recorded_labels,
+        csv_import, upload_audit, audited_import, row_counts, unknown_labels, missing_in_profile, number_respondents, recorded_labels,
         neighbour_windows, lookup_by_number, out_of_range_requests, decode_profiles, attribute_overview,
         value_usage, bmi_categories, field_limits, definition_check, whole_codes, slugs, number_texts,
         stratified_split, split_counts, class_weights, first_high_test_row, sampled_labels,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitalgrid.codebook import FEATURES, TARGET
+from vitalgrid.session import written
 
 
 class MissingColumns(ValueError):
@@ -82,6 +83,73 @@ def read_uploads(spark: SparkSession, path: str, row_ids: bool = False) -> DataF
     return with_row_ids(out) if row_ids else out.drop("_block", "_line")
 
 
+def audit_files(spark: SparkSession, path: str | list[str], exact: bool = False, single: bool = False) -> DataFrame:
+    """One row per file: ``file, source_name, header, columns, missing, extra, n_rows, verdict``.
+
+    ``missing`` and ``extra`` are sorted names; a target column is not extra
+    unless ``exact``. The verdict is the first that holds of ``empty`` (no row
+    after the header), ``repeated`` (a column name that occurs twice),
+    ``missing``, ``extra`` (only when ``exact``), ``several`` (only when
+    ``single``: more than one row), and else ``ok``. Files are told apart by
+    path; nothing of one file is held together but its counts and its first line.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", _CSV_FILES).load(path).select(F.col("path").alias("_path"))
+    lines = spark.read.option("pathGlobFilter", _CSV_FILES).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    # blocks of a file are read in any order: its first line is the first one of the block at 0
+    first = F.min_by("value", F.when(F.col("start") == 0, F.col("line")))
+    counted = lines.groupBy("file").agg(first.alias("header"), F.count_if(F.trim("value") != "").alias("n_lines"))
+
+    def plain(name: Column) -> Column:
+        return F.regexp_replace(F.trim(name), r'^\ufeff?"?|"$', "")
+
+    def same_file(p: Column) -> Column:
+        return F.regexp_replace(p, "^file:/+", "file:/")
+
+    names = F.transform(F.split(F.coalesce("header", F.lit("")), ","), plain)
+    features = F.array(*[F.lit(f) for f in FEATURES])
+    allowed = features if exact else F.array_append(features, F.lit(TARGET))
+    judged = (
+        listed.join(counted, same_file(F.col("_path")) == same_file(F.col("file")), "left")
+        .select(F.col("_path").alias("file"), F.element_at(F.split("_path", "/"), -1).alias(SOURCE), "header", names.alias("columns"),
+                F.greatest(F.coalesce(F.col("n_lines"), F.lit(0)) - 1, F.lit(0)).alias("n_rows"))
+        .withColumns(
+            {"missing": F.array_sort(F.array_except(features, "columns")), "extra": F.array_sort(F.array_except("columns", allowed))}
+        )
+    )
+    verdict = F.when(F.col("n_rows") == 0, "empty").when(F.size(F.array_distinct("columns")) < F.size("columns"), "repeated")
+    verdict = verdict.when(F.size("missing") > 0, "missing")
+    if exact:
+        verdict = verdict.when(F.size("extra") > 0, "extra")
+    if single:
+        verdict = verdict.when(F.col("n_rows") > 1, "several")
+    return judged.withColumn("verdict", verdict.otherwise("ok"))
+
+
+def read_audited(spark: SparkSession, path: str | list[str], exact: bool = False, single: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that pass the audit, as text with ``source_name``, and the audit of all files.
+
+    A bad file is named in the audit and its rows stay out; the others load,
+    whatever the order of their columns. Without a good file there are no rows.
+    """
+    audit = written(audit_files(spark, path, exact, single))
+    # one row per file, as many as the scan itself keeps on the driver
+    files: dict[str, list[str]] = {}
+    for row in audit.filter("verdict = 'ok'").orderBy("file").collect():
+        files.setdefault(row["header"], []).append(row["file"])
+    wanted = [*FEATURES, SOURCE]
+    out = None
+    for same in files.values():
+        part = _placed(_csv(spark).option("ignoreLeadingWhiteSpace", True).csv(same), True, row_ids=False)
+        part = part.select(*wanted, *([TARGET] if TARGET in part.columns else []))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in wanted))
+    return out, audit
+
+
 def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", _CSV_FILES)
 
