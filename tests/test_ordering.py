@@ -58,6 +58,26 @@ def test_neighbours_are_clamped(spark):
     assert numbering.lookup(rows, asked).count() == 3
 
 
+@pytest.mark.parametrize(("span", "size"), [(9, 9), (10, 3), (4096, 9), (16, 1)])
+def test_neighbours_over_borders_of_ranges(spark, monkeypatch, span, size):
+    monkeypatch.setattr(numbering, "SPAN", span)
+    rows = profiles(spark, [profile(20.0 + i % 50) for i in range(100)])
+    asked = spark.createDataFrame([(i,) for i in (*range(1, 101, 3), 4, 4, 100, 101, -3, None)], "patient_number bigint")
+    got = {}
+    for r in numbering.neighbour_windows(rows, asked, size).collect():
+        got.setdefault(r["requested"], []).append(r["patient_number"])
+    first = {i: max(0, min(i - 1 - size // 2, 100 - size)) for i in {*range(1, 101, 3), 4, 100}}
+    assert {k: sorted(v) for k, v in got.items()} == {i: list(range(a + 1, a + size + 1)) for i, a in first.items()}
+
+
+def test_neighbours_move_each_row_about_once(spark):
+    rows = spark.range(50_000).selectExpr("id + 1 AS patient_number", "20D AS BMI", "5D AS Age", "1D AS Sex", "0D AS Diabetes_012")
+    windows = numbering.neighbour_windows(rows, rows)
+    assert "Join" not in windows._jdf.queryExecution().executedPlan().toString()
+    assert windows.count() == 9 * 50_000
+    assert numbering.bordered(rows, 9).count() == 50_000 + 2 * 8 * (50_000 // numbering.SPAN) + 8
+
+
 def test_published_split_quotas(spark):
     counts = {0.0: 213703, 1.0: 4631, 2.0: 35346}
     parts = [spark.range(n).select(F.lit(c).alias(TARGET)) for c, n in counts.items()]
