@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from examples import SHAP, explained, profile
 from vitalgrid.codebook import FEATURES
 from vitalgrid.operators import catalog, graph, graph_rows
+from vitalgrid.plans import derived
 from vitalgrid.plans.derived import contributed
 from vitalgrid.session import run_folder
 
@@ -143,13 +144,8 @@ def test_property_merge_removes_nulls_and_upsert_keeps_old_rows(spark):
 
 
 def test_building_the_graph_shuffles_nothing(spark, tiny):
-    from vitalgrid.plans.derived import demo_score, made_shap, survey_from
-    from vitalgrid.functions.settle import settled
-
     orders = spark.read.parquet(f"{tiny}/orders.parquet")
-    rows = settled(
-        demo_score(survey_from(orders)).withColumn("patient_number", F.col("rid") + 1), {"shap": made_shap()}
-    )
+    rows = derived.explained(derived.demo_score(derived.survey_from(orders)).withColumn("patient_number", F.col("rid") + 1))
     for table in (graph.nodes(rows, "forest"), graph.edges(rows)):
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan

@@ -14,6 +14,7 @@ from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions.settle import settled
 from vitalgrid.operators.forest import Forest, Node, score
 from vitalgrid.operators.numbering import NUMBER
+from vitalgrid.operators.shapley import with_shap
 
 # Multiplier per column and, for binary ones, the share of ones.
 _MODULUS = 1000003
@@ -170,12 +171,16 @@ def wide_nodes(spark: SparkSession) -> DataFrame:
     )
 
 
-def made_shap() -> str:
-    """Contributions with ties and zeros, computed from the row id alone."""
-    values = [f"CAST((rid + 1) * {31 + 17 * i} % 401 - 200 AS DOUBLE) / 1024" for i in range(len(FEATURES))]
-    return f"array({', '.join(values)})"
+#: Contributions are rounded to multiples of 2 ** -30, so that sums of them are exact in any order and engine.
+_GRID = float(1 << 30)
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """Scored rows with ``shap``: contributions of the demonstration forest to the predicted class."""
+    found = with_shap(rows, demo_forest()).withColumnRenamed("shap", "_shap")
+    return settled(found, {"shap": f"transform(_shap, x -> CAST(floor(x * {_GRID}D + 0.5D) AS DOUBLE) / {_GRID}D)"}).drop("_shap")
 
 
 def contributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored respondents with the made contributions as ``shap``."""
-    return settled(scored(spark, sf_dir), {"shap": made_shap()})
+    """Scored and explained respondents."""
+    return explained(scored(spark, sf_dir))

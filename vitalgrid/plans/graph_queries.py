@@ -15,7 +15,7 @@ from vitalgrid.operators import catalog, evidence, graph, graph_rows, metrics, s
 from vitalgrid.operators.numbering import NUMBER
 from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, scored, survey, table
-from vitalgrid.plans.model_queries import MODEL, _made_importance, _simulated
+from vitalgrid.plans.model_queries import MODEL, _simulated, permutation_importance_all
 from vitalgrid.session import run_folder
 from vitalgrid.sources import snapshots
 from vitalgrid.sources.artifacts import ranked_importance
@@ -36,7 +36,7 @@ def _evaluation(rows: DataFrame) -> DataFrame:
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contributed(spark, sf_dir)
-    importance = ranked_importance(_made_importance(spark, sf_dir))
+    importance = ranked_importance(permutation_importance_all(spark, sf_dir))
     return graph.nodes(rows, MODEL, importance, _evaluation(rows))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from vitalgrid.plans.sql_base import COLUMNS, LABEL, scored, with_tables
+from vitalgrid.plans.sql_base import COLUMNS, CONTRIBUTIONS, LABEL, scored, with_tables
 from vitalgrid.plans.survey_oracles import DEFINITIONS, LONG, SPLIT
 
 CLASSES = (0, 1, 2)
@@ -65,46 +65,13 @@ FROM after CROSS JOIN (SELECT {macro.format(x='base_outcome')} AS v) b GROUP BY
 """
 
 
-# Per leaf the one or two path features, their intervals and cover shares.
-_LEAF_PATHS = """
-SELECT * FROM (VALUES
-(60, 1, 3, 'HighBP', -1e308, 0.5e0, 32/64e0, 'GenHlth', -1e308, 3.5e0, 24/32e0),
-(40, 4, 20, 'HighBP', -1e308, 0.5e0, 32/64e0, 'GenHlth', 3.5e0, 1e308, 8/32e0),
-(36, 4, 24, 'HighBP', 0.5e0, 1e308, 32/64e0, 'BMI', -1e308, 29.75e0, 16/32e0),
-(16, 4, 44, 'HighBP', 0.5e0, 1e308, 32/64e0, 'BMI', 29.75e0, 1e308, 16/32e0),
-(58, 2, 4, 'BMI', -1e308, 29.75e0, 40/64e0, 'Age', -1e308, 8.5e0, 24/40e0),
-(38, 4, 22, 'BMI', -1e308, 29.75e0, 40/64e0, 'Age', 8.5e0, 1e308, 16/40e0),
-(44, 4, 16, 'BMI', 29.75e0, 1e308, 24/64e0, 'GenHlth', -1e308, 2.5e0, 8/24e0),
-(14, 6, 44, 'BMI', 29.75e0, 1e308, 24/64e0, 'GenHlth', 2.5e0, 1e308, 16/24e0),
-(56, 2, 6, 'GenHlth', -1e308, 3.5e0, 48/64e0, 'HighChol', -1e308, 0.5e0, 28/48e0),
-(40, 4, 20, 'GenHlth', -1e308, 3.5e0, 48/64e0, 'HighChol', 0.5e0, 1e308, 20/48e0),
-(34, 6, 24, 'GenHlth', 3.5e0, 1e308, 16/64e0, 'HighBP', -1e308, 0.5e0, 6/16e0),
-(10, 6, 48, 'GenHlth', 3.5e0, 1e308, 16/64e0, 'HighBP', 0.5e0, 1e308, 10/16e0),
-(60, 2, 2, 'BMI', -1e308, 24.75e0, 16/64e0, NULL, NULL, NULL, NULL),
-(40, 4, 20, 'BMI', 24.75e0, 34.75e0, 48/64e0 * 32/48e0, NULL, NULL, NULL, NULL),
-(28, 4, 32, 'BMI', 34.75e0, 1e308, 48/64e0 * 16/48e0, 'HighBP', -1e308, 0.5e0, 8/16e0),
-(8, 4, 52, 'BMI', 34.75e0, 1e308, 48/64e0 * 16/48e0, 'HighBP', 0.5e0, 1e308, 8/16e0))
-AS p(w0, w1, w2, fa, la, ha, za, fb, lb, hb, zb)
-"""
-
-
-def _value(f: str) -> str:
-    return f"CASE {f} WHEN 'HighBP' THEN v.HighBP WHEN 'HighChol' THEN v.HighChol WHEN 'BMI' THEN v.BMI WHEN 'GenHlth' THEN v.GenHlth ELSE v.Age END"
-
-
 _SHAP = f"""
-WITH paths AS ({_LEAF_PATHS}),
-met AS (SELECT v.rid, s.cls, CASE s.cls WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END / 256e0 AS val, fa, za, fb, zb,
-    CASE WHEN {_value('fa')} > la AND {_value('fa')} <= ha THEN 1e0 ELSE 0e0 END AS oa,
-    CASE WHEN {_value('fb')} > lb AND {_value('fb')} <= hb THEN 1e0 ELSE 0e0 END AS ob
-    FROM survey v JOIN scored s ON v.rid = s.rid CROSS JOIN paths),
-shares AS (SELECT rid, fa AS feature, val * (oa - za) * CASE WHEN fb IS NULL THEN 1e0 ELSE (ob + zb) / 2e0 END AS phi FROM met
-    UNION ALL SELECT rid, fb, val * (ob - zb) * (oa + za) / 2e0 FROM met WHERE fb IS NOT NULL),
-totals AS (SELECT rid, feature, sum(phi) AS phi FROM shares GROUP BY 1, 2)
+WITH totals AS ({CONTRIBUTIONS})
 SELECT s.rid, s.cls AS predicted_class, f.feature, round(coalesce(t.phi, 0e0), 11) AS shap_value
 FROM scored s CROSS JOIN features f LEFT JOIN totals t ON t.rid = s.rid AND t.feature = f.feature
 """
 
+
 def _rest(*others: int) -> str:
     """Shapley weighted sum over all subsets of three other features that are met (o) or not (z)."""
     a, b, c = others
@@ -209,12 +176,9 @@ _STORED_TWINS = f"""{_TWINS}, stored AS (
         CASE WHEN patient_number % 5 = 1 THEN risk_percent + 0.00005e0 ELSE risk_percent END AS risk_percent
     FROM new_twins WHERE patient_number % 5 < 3
     UNION ALL SELECT patient_number, bmi, gender, risk_percent FROM old_twins WHERE patient_number % 5 = 3)"""
-_IMPORTANCE = (
-    "importance AS (SELECT feature, idx, sum(abs(shap) * 1024) / count(*) / 1024 AS importance_mean, "
-    "max(abs(shap) * 1024) / 1024 AS importance_std, "
-    "row_number() OVER (ORDER BY sum(abs(shap) * 1024) / count(*) / 1024 DESC, idx) AS importance_rank "
-    "FROM shap GROUP BY feature, idx)"
-)
+_IMPORTANCE = f"""importance AS (SELECT m.feature, f.idx, importance_mean, importance_std,
+    row_number() OVER (ORDER BY importance_mean DESC, f.idx) AS importance_rank
+    FROM (WITH {_permutation("SELECT * FROM survey").strip()}) m JOIN features f ON f.feature = m.feature)"""
 
 ORACLES = {
     "predictions": with_tables(
@@ -319,7 +283,9 @@ FROM scored s CROSS JOIN (SELECT round(sum(tp) * 1e0 / any_value(n), 9) AS accur
     "importance_ranking": with_tables(
         f"WITH {_IMPORTANCE} SELECT feature, importance_mean, importance_std, CAST(importance_rank AS INTEGER) AS importance_rank "
         "FROM importance WHERE importance_rank <= 10",
-        "shap",
+        "survey",
+        "leaves",
+        "features",
     ),
     "shap_contributions": with_tables(_SHAP, "scored", "features"),
     "shap_wide_forest": with_tables(

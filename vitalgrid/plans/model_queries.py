@@ -144,19 +144,9 @@ def permutation_importance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(importance.permutation_importance(survey(spark, sf_dir), demo_score, TARGET, sample_size=None))
 
 
-def _made_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean size of the made contributions per feature: a cheap global importance."""
-    long = contributions.to_long(contributed(spark, sf_dir), ["rid"])
-    scaled = F.abs("shap_value") * 1024
-    return long.groupBy("feature").agg(
-        (F.sum(scaled) / F.count(F.lit(1)) / 1024).alias("importance_mean"),
-        (F.max(scaled) / 1024).alias("importance_std"),
-    )
-
-
 def importance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most important features, rank from 1."""
-    ranked = ranked_importance(_made_importance(spark, sf_dir))
+    ranked = ranked_importance(permutation_importance_all(spark, sf_dir))
     return ranked.orderBy("importance_rank").limit(10)
 
 
@@ -252,7 +242,7 @@ def profile_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = contributions.to_long(rows, ["rid"]).drop("shap_value", "idx")
     stored = contributions.to_long(rows, ["rid"]).select("rid", "feature", "shap_value")
     clinical = attribute_definitions(spark).filter("domain = 'clinical'").select("feature")
-    known = ranked_importance(_made_importance(spark, sf_dir)).join(F.broadcast(clinical), "feature", "left_semi")
+    known = ranked_importance(permutation_importance_all(spark, sf_dir)).join(F.broadcast(clinical), "feature", "left_semi")
     joined = lookups.with_definitions(profile.join(by_shuffle(stored), ["rid", "feature"]))
     return lookups.with_importance(joined, known).select(
         "rid", "feature", "value", "shap_value", "label", "domain_label", "importance_rank"

@@ -115,11 +115,51 @@ FROM (SELECT {key}, sum(w0) / 256e0 AS p0, sum(w1) / 256e0 AS p1, sum(w2) / 256e
 """
 
 
-# Made contributions: one row per respondent and feature, in feature order.
+# Per leaf the one or two path features, their intervals and cover shares.
+_LEAF_PATHS = """
+SELECT * FROM (VALUES
+(60, 1, 3, 'HighBP', -1e308, 0.5e0, 32/64e0, 'GenHlth', -1e308, 3.5e0, 24/32e0),
+(40, 4, 20, 'HighBP', -1e308, 0.5e0, 32/64e0, 'GenHlth', 3.5e0, 1e308, 8/32e0),
+(36, 4, 24, 'HighBP', 0.5e0, 1e308, 32/64e0, 'BMI', -1e308, 29.75e0, 16/32e0),
+(16, 4, 44, 'HighBP', 0.5e0, 1e308, 32/64e0, 'BMI', 29.75e0, 1e308, 16/32e0),
+(58, 2, 4, 'BMI', -1e308, 29.75e0, 40/64e0, 'Age', -1e308, 8.5e0, 24/40e0),
+(38, 4, 22, 'BMI', -1e308, 29.75e0, 40/64e0, 'Age', 8.5e0, 1e308, 16/40e0),
+(44, 4, 16, 'BMI', 29.75e0, 1e308, 24/64e0, 'GenHlth', -1e308, 2.5e0, 8/24e0),
+(14, 6, 44, 'BMI', 29.75e0, 1e308, 24/64e0, 'GenHlth', 2.5e0, 1e308, 16/24e0),
+(56, 2, 6, 'GenHlth', -1e308, 3.5e0, 48/64e0, 'HighChol', -1e308, 0.5e0, 28/48e0),
+(40, 4, 20, 'GenHlth', -1e308, 3.5e0, 48/64e0, 'HighChol', 0.5e0, 1e308, 20/48e0),
+(34, 6, 24, 'GenHlth', 3.5e0, 1e308, 16/64e0, 'HighBP', -1e308, 0.5e0, 6/16e0),
+(10, 6, 48, 'GenHlth', 3.5e0, 1e308, 16/64e0, 'HighBP', 0.5e0, 1e308, 10/16e0),
+(60, 2, 2, 'BMI', -1e308, 24.75e0, 16/64e0, NULL, NULL, NULL, NULL),
+(40, 4, 20, 'BMI', 24.75e0, 34.75e0, 48/64e0 * 32/48e0, NULL, NULL, NULL, NULL),
+(28, 4, 32, 'BMI', 34.75e0, 1e308, 48/64e0 * 16/48e0, 'HighBP', -1e308, 0.5e0, 8/16e0),
+(8, 4, 52, 'BMI', 34.75e0, 1e308, 48/64e0 * 16/48e0, 'HighBP', 0.5e0, 1e308, 8/16e0))
+AS p(w0, w1, w2, fa, la, ha, za, fb, lb, hb, zb)
+"""
+
+
+def _value(f: str) -> str:
+    return f"CASE {f} WHEN 'HighBP' THEN v.HighBP WHEN 'HighChol' THEN v.HighChol WHEN 'BMI' THEN v.BMI WHEN 'GenHlth' THEN v.GenHlth ELSE v.Age END"
+
+
+# Contributions of the demonstration forest: at most two features on a path, so the subsets are written out.
+CONTRIBUTIONS = f"""
+SELECT rid, feature, sum(phi) AS phi FROM (
+    WITH paths AS ({_LEAF_PATHS}),
+    met AS (SELECT v.rid, s.cls, CASE s.cls WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END / 256e0 AS val, fa, za, fb, zb,
+        CASE WHEN {_value('fa')} > la AND {_value('fa')} <= ha THEN 1e0 ELSE 0e0 END AS oa,
+        CASE WHEN {_value('fb')} > lb AND {_value('fb')} <= hb THEN 1e0 ELSE 0e0 END AS ob
+        FROM survey v JOIN scored s ON v.rid = s.rid CROSS JOIN paths)
+    SELECT rid, fa AS feature, val * (oa - za) * CASE WHEN fb IS NULL THEN 1e0 ELSE (ob + zb) / 2e0 END AS phi FROM met
+    UNION ALL SELECT rid, fb, val * (ob - zb) * (oa + za) / 2e0 FROM met WHERE fb IS NOT NULL) shares
+GROUP BY rid, feature
+"""
+
+# One row per respondent and feature, in feature order, in multiples of 2 ** -30.
 FEATURE_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(COLUMNS)) + ") AS f(idx, feature)"
-MADE_SHAP = """
-SELECT rid, idx, feature, CAST(((rid + 1) * (31 + 17 * idx)) % 401 - 200 AS DOUBLE) / 1024 AS shap
-FROM (SELECT o_orderkey AS rid FROM orders) o CROSS JOIN features
+SHAP = f"""
+SELECT s.rid, f.idx, f.feature, CAST(floor(coalesce(t.phi, 0e0) * 1073741824e0 + 0.5e0) AS BIGINT)::DOUBLE / 1073741824e0 AS shap
+FROM scored s CROSS JOIN features f LEFT JOIN ({CONTRIBUTIONS}) t ON t.rid = s.rid AND t.feature = f.feature
 """
 
 
@@ -132,9 +172,9 @@ def with_tables(body: str, *names: str) -> str:
         "leaves": LEAVES,
         "scored": scored("survey"),
         "features": FEATURE_ROWS,
-        "shap": MADE_SHAP,
+        "shap": SHAP,
     }
-    needs = {"raw_survey": ["survey"], "numbers": ["raw_survey"], "scored": ["survey", "leaves"], "shap": ["features"]}
+    needs = {"raw_survey": ["survey"], "numbers": ["raw_survey"], "scored": ["survey", "leaves"], "shap": ["features", "scored"]}
     wanted: list[str] = []
 
     def add(name: str) -> None:
