@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,15 @@ def test_slugs(spark):
     assert got["HeartDiseaseorAttack"] == "heartdiseaseorattack"
     assert got["Heart Disease/Attack!"] == "heart-disease-attack"
     assert got["A  b"] == "a--b" and got["--a--b--"] == "a--b"
+
+
+def test_fixed_texts_equal_python(spark):
+    """Random values, values next to and on a tie, half units, and numbers with more digits than their shortest form."""
+    rng = random.Random(1)
+    values = [rng.uniform(-1, 1) for _ in range(60_000)] + [rng.uniform(0, 1e6) for _ in range(40_000)]
+    values += [(2 * rng.randrange(1000) + 1) / 2000 for _ in range(500)] + [k / 1024 for k in range(-500, 500)]
+    values += [s * 5 * 10.0**-k for k in range(1, 8) for s in (1, -1)] + [0.0, -0.0, 2.5e-7, 1e15 + 0.25, 4503599627370497.5, -(2.0**60), 1e15 + 0.875]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (0, 1, 2, 3, 4):
+        got = [r[0] for r in df.select(fixed_text(F.col("v"), d)).collect()]
+        assert [(v, g) for v, g in zip(values, got) if g != f"{v:.{d}f}"] == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,14 +51,33 @@ def whole_code(value: Column) -> Column:
     return F.when(is_whole(value), value.cast("int"))
 
 
+def _wide_text(size: Column, decimals: int) -> Column:
+    """Text of 1e15 and more, up to 9e18: such numbers have eighths at most, so both parts are exact."""
+    whole, scale = F.floor(size).cast("bigint"), 10**decimals
+    units = F.rint((size - F.floor(size)) * float(scale)).cast("bigint")  # half-even
+    digits = F.lpad((units % scale).cast("string"), max(decimals, 1), "0")
+    text = (whole + F.floor(units / scale).cast("bigint")).cast("string")
+    return F.concat(text, F.lit("."), digits) if decimals else text
+
+
 def fixed_text(value: Column, decimals: int) -> Column:
-    """Decimal text with half-even rounding, no separators.
+    """Decimal text of a double's exact value with half-even rounding, no separators.
 
-    Exact ties such as 0.0625 go to the even digit. A value like 0.0005, whose
-    shortest decimal form ends right after the kept digits in a 5 that its binary
-    form only approximates, can differ by one in the last digit.
+    Two cases need help. Half a unit of the last digit, as 0.0005 with three
+    decimals, counts by what its binary form is, a little more or less than the
+    half. Numbers from 1e15 on have more digits than the shortest form that tells
+    them apart.
     """
-    return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
+    usual = F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
+    size, sign = F.abs(value), F.when(value < 0, "-").otherwise("")
+    half = float(f"5e-{decimals + 1}")
+    above = Fraction(half) > Fraction(5, 10 ** (decimals + 1))
+    unit = f"{10.0**-decimals if above else 0.0:.{decimals}f}"
+    return (
+        F.when(size == half, F.concat(sign, F.lit(unit)))
+        .when((size >= 1e15) & (size < 9e18), F.concat(sign, _wide_text(size, decimals)))
+        .otherwise(usual)
+    )
 
 
 def grouped_text(value: Column, decimals: int = 0) -> Column:
