@@ -258,6 +258,9 @@ SELECT o_orderkey + 1 AS patient_number, 135::BIGINT AS n_edges FROM orders WHER
     "unexplained_summaries": """
 SELECT o_orderkey + 1 AS patient_number, 'Age' AS undecodable FROM orders WHERE o_orderkey % 11 = 3
 """,
+    "trained_to_graph": with_tables(
+        "SELECT rid + 1 AS patient_number, true AS adds_up, 98 AS n_nodes, 135 AS n_edges FROM survey", "survey"
+    ),
     "catalog_versions": with_tables(
         f"""
 WITH meanings AS ({VALUE_MEANINGS}), definitions AS ({DEFINITIONS}),

@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES, TARGET
 from vitalgrid.functions.decode import bmi_range
-from vitalgrid.operators import catalog, evidence, graph, graph_rows, metrics, scenario, summary
+from vitalgrid.operators import (
+    catalog,
+    evidence,
+    forest,
+    forest_trainer,
+    graph,
+    graph_rows,
+    metrics,
+    scenario,
+    shapley_blocks,
+    split,
+    summary,
+)
 from vitalgrid.operators.numbering import NUMBER
 from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _simulated, permutation_importance_all
-from vitalgrid.session import run_folder
+from vitalgrid.session import run_folder, written
 from vitalgrid.sources import snapshots
 from vitalgrid.sources.artifacts import ranked_importance
 
@@ -224,6 +236,20 @@ def catalog_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trained_to_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From training to explanation graphs: forest on the training part, scores, contributions and graphs of all respondents."""
+    rows = written(split.stratified_split(survey(spark, sf_dir)).withColumn(NUMBER, F.col("rid") + 1))
+    nodes = forest_trainer.train(rows.filter("NOT is_test"), trees=20, min_leaf=50)
+    judged = forest.score(rows, forest.forest_from_nodes(nodes))
+    explained = shapley_blocks.with_shap(judged, nodes)
+    base = shapley_blocks.base_values(nodes).agg(F.array_sort(F.collect_list(F.struct("class_index", "base"))).alias("b")).scalar()
+    total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
+    start = F.get(base, F.col("predicted_class"))["base"]
+    gap = F.abs(start + total - F.get("probabilities", F.col("predicted_class")))
+    graphs = graph_rows.packed(explained.withColumn("adds_up", gap < 1e-9), "trained-forest", keep=("adds_up",))
+    return graphs.select(NUMBER, "adds_up", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
+
+
 def _older_schema(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A catalog of an older schema: some definitions, and concepts per range that respondents fall into."""
     rows = scored(spark, sf_dir)
@@ -386,7 +412,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_nodes, graph_node_details, graph_edges, graph_quarantine, gated_edges, unexplained_summaries, graph_counts, graph_relationships, graph_views,
-        explanation_view, graph_connections, stored_connections, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
+        explanation_view, graph_connections, stored_connections, trained_to_graph, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
         catalog_usage, catalog_versions, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
         evidence_summaries, draft_checks, guidance,
     )
