@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 from math import factorial
 
 import numpy as np
@@ -274,6 +275,28 @@ def test_permutation_keeps_values_and_finds_used_features(spark, tiny):
     assert scores["Smoker"]["importance_mean"] == 0.0 and scores["Smoker"]["importance_std"] == 0.0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
+def test_donors_are_a_bijection(spark, n):
+    keys = F.array(*[F.lit(k).cast("bigint") for k in importance.round_keys(42, 1)])
+    got = spark.range(n).select(importance.shuffled(F.col("id"), F.lit(n).cast("bigint"), keys).alias("p")).collect()
+    assert sorted(r["p"] for r in got) == list(range(n))
+
+
+def test_donors_are_uniform(spark):
+    """Over many keys all orders of four positions come up about as often, and every pair of places of more."""
+    rows = [(seed, importance.round_keys(seed, 0)) for seed in range(4800)]
+    df = spark.createDataFrame(rows, "seed bigint, keys array<bigint>")
+
+    def images(n):
+        each = [importance.shuffled(F.lit(i), F.lit(n).cast("bigint"), F.col("keys")) for i in range(n)]
+        return [tuple(r[0]) for r in df.select(F.array(*each)).collect()]
+
+    counts = Counter(images(4))
+    assert len(counts) == 24 and sum((c - 200) ** 2 / 200 for c in counts.values()) < 60
+    pairs = Counter((i, p) for order in images(11) for i, p in enumerate(order))
+    assert len(pairs) == 121 and sum((c - 4800 / 11) ** 2 / (4800 / 11) for c in pairs.values()) < 190
+
+
 def test_ranking_ties_follow_feature_order(spark):
     rows = profiles(spark, [profile()])
     shap = [0.2, -0.1, 0.0] + [0.01] * 18

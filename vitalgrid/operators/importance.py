@@ -1,16 +1,19 @@
 """Permutation importance as one scoring job.
 
 Every repeat uses one permutation of the rows for all features: each row gets a
-donor row, and per feature the donor's value replaces the row's own. Positions
-come from digest ranges, so neither ranking needs a single-task window.
+donor row, and per feature the donor's value replaces the row's own. Rows are
+numbered once, in the order of a digest (by digest ranges, so no ranking needs a
+single-task window); a keyed bijection on the numbers, in column arithmetic,
+names the donor of every row and repeat, so there is no second ranking.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 from math import ceil, log
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.codebook import FEATURES
@@ -28,9 +31,29 @@ def range_digits(spark: SparkSession) -> int:
     return max(2, ceil(log(4 * partitions, 16)))
 
 
-def _positions(df: DataFrame, digest, within: list[str], digits: int) -> DataFrame:
-    ranged = df.withColumn("_digest", digest).withColumn(BUCKET, hash_bucket(F.col("_digest"), digits))
-    return numbered(ranged, [F.col("_digest"), F.col("rid")], "_position", within).drop(BUCKET, "_digest")
+#: Rounds of the bijection.
+ROUNDS = 24
+
+
+def round_keys(seed: int, repeat: int, rounds: int = ROUNDS) -> list[int]:
+    """Keys below 2 ** 31 that name one permutation."""
+    return [int(md5(f"{seed}:{repeat}:{k}".encode()).hexdigest()[:8], 16) >> 1 for k in range(rounds)]
+
+
+def shuffled(position: Column, n: Column, keys: Column) -> Column:
+    """Image of a position 0..n-1 under the permutation of some keys (swap or not).
+
+    A round pairs p with (key - p) mod n and swaps the two if a hash of the larger
+    one says so; both members of a pair see the same hash, so each round, and all
+    of them together, is a bijection for every n.
+    """
+
+    def turn(p: Column, key: Column) -> Column:
+        other = F.pmod(key - p, n)
+        mixed = F.pmod(F.greatest(p, other) + key, F.lit(1 << 31)) * 1103515245
+        return F.when(F.getbit(mixed, F.lit(15)) == 1, other).otherwise(p)
+
+    return F.aggregate(keys, position.cast("bigint"), turn)
 
 
 def permuted_rows(
@@ -40,15 +63,14 @@ def permuted_rows(
 
     ``digits`` hex digits of the digest set the number of ranges (16 ** digits).
     """
-    each = F.array(*[F.lit(r) for r in range(repeats)])
     rows = df.select("rid", label, *FEATURES)
-    base = _positions(rows, row_digest(f"{seed}:base", "rid"), [], digits).withColumn("repeat", F.explode(each))
-    repeated = rows.drop(label).withColumn("repeat", F.explode(each))
-    digest = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.col("repeat").cast("string"), F.col("rid").cast("string")))
-    donors = _positions(repeated, digest, ["repeat"], digits).select(
-        "repeat", "_position", *[F.col(f).alias(f"_{f}") for f in FEATURES]
-    )
-    paired = base.join(by_shuffle(donors), ["repeat", "_position"])
+    ranged = rows.withColumn("_digest", row_digest(f"{seed}:base", "rid")).withColumn(BUCKET, hash_bucket(F.col("_digest"), digits))
+    base = numbered(ranged, [F.col("_digest"), F.col("rid")], "_position").drop(BUCKET, "_digest")
+    each = ", ".join(f"named_struct('repeat', {r}, '_keys', array({', '.join(f'{k}L' for k in round_keys(seed, r))}))" for r in range(repeats))
+    asking = base.select("*", F.expr(f"inline(array({each}))")).withColumn("_n", rows.agg(F.count("*")).scalar())
+    asking = asking.withColumn("_position", shuffled(F.col("_position") - 1, F.col("_n"), F.col("_keys")) + 1).drop("_keys", "_n")
+    donors = base.select("_position", *[F.col(f).alias(f"_{f}") for f in FEATURES])
+    paired = asking.join(by_shuffle(donors), "_position")
     names = ", ".join(f"'{f}'" for f in FEATURES)
     return paired.withColumn("feature", F.expr(f"explode(array({names}))")).selectExpr(
         "rid", label, "repeat", "feature", *[f"IF(feature = '{f}', _{f}, {f}) AS {f}" for f in FEATURES]

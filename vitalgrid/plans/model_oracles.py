@@ -46,11 +46,14 @@ def _permutation(rows: str) -> str:
               count(*) FILTER (WHERE x.cls = k.c) AS p FROM {x} x CROSS JOIN (VALUES (0), (1), (2)) AS k(c) GROUP BY k.c) y)"""
     return f"""
 chosen AS (SELECT rid, Diabetes_012, HighBP, HighChol, BMI, GenHlth, Age FROM ({rows}) rows_in),
-base AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:base:', rid)), rid) AS place FROM chosen),
-donors AS (SELECT c.*, r.rep, row_number() OVER (PARTITION BY r.rep ORDER BY md5(concat('42:', r.rep, ':', rid)), rid) AS place
-    FROM chosen c CROSS JOIN (VALUES (0), (1), (2)) AS r(rep)),
-swapped AS (SELECT concat(b.rid, '/', d.rep, '/', f.feature) AS id, b.Diabetes_012 AS actual, d.rep, f.feature, {swapped}
-    FROM base b JOIN donors d ON b.place = d.place CROSS JOIN features f),
+base AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:base:', rid)), rid) - 1 AS place, count(*) OVER () AS n FROM chosen),
+turns AS (SELECT rep, list(CAST('0x' || substr(md5(concat('42:', rep, ':', k)), 1, 8) AS BIGINT) >> 1 ORDER BY k) AS keys
+    FROM (VALUES (0), (1), (2)) AS r(rep) CROSS JOIN range(24) AS t(k) GROUP BY rep),
+asking AS (SELECT b.*, rep, list_reduce(list_prepend(place, keys), lambda p, k: CASE WHEN
+    ((greatest(p, ((k - p) % n + n) % n) + k) % 2147483648) * 1103515245 // 32768 % 2 = 1 THEN ((k - p) % n + n) % n ELSE p END) AS donor
+    FROM base b CROSS JOIN turns),
+swapped AS (SELECT concat(b.rid, '/', b.rep, '/', f.feature) AS id, b.Diabetes_012 AS actual, b.rep, f.feature, {swapped}
+    FROM asking b JOIN base d ON d.place = b.donor CROSS JOIN features f),
 swapped_scored AS ({scored('swapped', 'id')}),
 outcome AS (SELECT s.rep, s.feature, s.actual, c.cls FROM swapped s JOIN swapped_scored c ON s.id = c.id),
 cells AS (SELECT rep, feature, k.c, count(*) FILTER (WHERE actual = k.c AND cls = k.c) AS t,
