@@ -8,9 +8,9 @@ from tests.llm import plain
 from vitalgrid.llm import packing, quality_rules
 
 
-def test_all_eleven_are_registered():
+def test_all_operators_are_registered():
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "packing"]
 
 
