@@ -215,15 +215,17 @@ def packed(made: DataFrame, capacity: int = LENGTH) -> DataFrame:
     )
     lengths = block_rows.select("block", F.transform("items", lambda i: i["length"].cast("int")).alias("lengths"))
     islands = lengths.select("*", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    now = common.stored(
-        _epoch(islands.withColumn("packings", F.lit(None).cast("array<array<int>>")).repartition("block", "island"), capacity, 0)
-    )
+    # rows are few and their work is large, so the number of tasks is given: left to Spark, small rows end up in one
+    tasks = min(blocks * ISLANDS, 4 * int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def bred(rows: DataFrame, epoch: int) -> DataFrame:
+        return common.stored(_epoch(rows.select("block", "island", "lengths", "packings").repartition(tasks, "block", "island"), capacity, epoch))
+
+    now = bred(islands.withColumn("packings", F.lit(None).cast("array<array<int>>")), 0)
     for epoch in range(1, EPOCHS):
         sent = now.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("packing").alias("guest"))
         met = islands.join(by_shuffle(now), ["block", "island"]).join(by_shuffle(sent), ["block", "island"])
-        now = common.stored(
-            _epoch(met.select("block", "island", "lengths", F.array("packing", "guest").alias("packings")), capacity, epoch)
-        )
+        now = bred(met.withColumn("packings", F.array("packing", "guest")), epoch)
     best = now.groupBy("block").agg(F.min(F.struct(F.array_max("packing").alias("groups"), "island", "packing"))["packing"].alias("packing"))
     return _placed(block_rows.join(by_shuffle(best), "block"))
 
