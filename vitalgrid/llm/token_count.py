@@ -24,7 +24,7 @@ from vitalgrid.llm.encoding import Encoder, decoded, encoder, tokenizer_path
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Characters of a chunk, and of the first overlap tried.
-CHUNK, OVERLAP = 65_536, 256
+CHUNK, OVERLAP = 16_384, 256
 
 
 def _encoded(enc: Encoder, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
