@@ -12,7 +12,7 @@ COMPARED = [
     "decode_profiles", "stratified_split", "classification_report", "auc_by_class", "permutation_importance",
     "shap_contributions", "supports_and_opposes", "scenario_scores", "case_records", "graph_edges", "graph_views",
     "catalog_usage", "catalog_versions", "refreshed_twins", "upload_audit", "audited_import", "shap_wide_forest", "shap_additivity", "forest_supports",
-    "trained_to_graph", "importance_ranking", "property_merge", "graph_quarantine", "stale_twins", "current_twins", "evidence_summaries", "draft_checks", "guidance", "stream_scores",
+    "trained_to_graph", "reloaded_model", "import_guards", "evidence_documents", "importance_ranking", "property_merge", "graph_quarantine", "stale_twins", "current_twins", "evidence_summaries", "draft_checks", "guidance", "stream_scores",
 ]
 
 

@@ -352,3 +352,4 @@ FROM judged_drafts j LEFT JOIN summaries s ON s.patient_number = j.doc_id + 1 AN
     ),
 }
 ORACLES["stored_connections"] = ORACLES["graph_connections"]
+ORACLES["evidence_documents"] = ORACLES["evidence_packages"]

@@ -30,7 +30,7 @@ from vitalgrid.plans.derived import contributed, scored, survey, table
 from vitalgrid.plans.model_queries import MODEL, _simulated, permutation_importance_all
 from vitalgrid.session import run_folder, written
 from vitalgrid.sources import snapshots
-from vitalgrid.sources.artifacts import ranked_importance
+from vitalgrid.sources.artifacts import ranked_importance, write_json_documents
 
 
 def _evaluation(rows: DataFrame) -> DataFrame:
@@ -334,8 +334,7 @@ def property_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evidence and drafts ------------------------------------------------------------
 
 
-def evidence_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = evidence.evidence_package(evidence.with_evidence(contributed(spark, sf_dir)))
+def _package_columns(packages: DataFrame) -> DataFrame:
     e = F.col("evidence")
     attributes = e["observations_and_shap_evidence"]
     return packages.select(
@@ -353,6 +352,19 @@ def evidence_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _package_columns(evidence.evidence_package(evidence.with_evidence(contributed(spark, sf_dir))))
+
+
+def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages as compact JSON documents, stored as text and read back."""
+    packages = evidence.evidence_package(evidence.with_evidence(contributed(spark, sf_dir)))
+    kind, path = packages.schema["evidence"].dataType, run_folder(spark)
+    write_json_documents(evidence.evidence_json(packages), path)
+    lines = spark.read.text(path).select(F.from_json("value", f"{NUMBER} bigint, evidence_json string").alias("d"))
+    return _package_columns(lines.select(f"d.{NUMBER}", F.from_json("d.evidence_json", kind).alias("evidence")))
+
+
 def incomplete_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Respondents whose package lacks attributes when zero contributions are left out."""
     rows = evidence.with_evidence(contributed(spark, sf_dir))
@@ -413,7 +425,7 @@ QUERIES = {
     for f in (
         graph_nodes, graph_node_details, graph_edges, graph_quarantine, gated_edges, unexplained_summaries, graph_counts, graph_relationships, graph_views,
         explanation_view, graph_connections, stored_connections, trained_to_graph, graph_neighbourhoods, faded_nodes, dangling_edges, detach_delete,
-        catalog_usage, catalog_versions, duplicate_keys, twin_upsert, property_merge, evidence_packages, incomplete_evidence,
+        catalog_usage, catalog_versions, duplicate_keys, twin_upsert, property_merge, evidence_packages, evidence_documents, incomplete_evidence,
         evidence_summaries, draft_checks, guidance,
     )
 }

