@@ -154,8 +154,8 @@ class Cache(dict):
         return found
 
 
-#: Per Python worker: hashes of words, kept from batch to batch.
-_HASHES = Cache(xxhash.xxh3_64_intdigest)
+#: Per Python worker: hashes of words, kept from batch to batch; few, because a hash costs little and memory counts.
+_HASHES = Cache(xxhash.xxh3_64_intdigest, 50_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
