@@ -98,3 +98,10 @@ def test_parquet_scan_reads_only_what_is_asked(spark, tiny):
     plan = survey(spark, tiny).select("BMI")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
     assert raw_survey(spark, tiny).count() == 1500
+
+
+def test_documents_are_stored_compressed_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    artifacts.write_json_documents(spark.range(3).selectExpr("id", "repeat('x', 100) AS t"), path, compression="gzip")
+    assert len(list((tmp_path / "documents").glob("*.gz"))) > 0 and not list((tmp_path / "documents").glob("*.txt"))
+    assert spark.read.text(path).count() == 3

@@ -77,10 +77,10 @@ def read_importance(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_json_documents(df: DataFrame, path: str, document: Column | None = None) -> None:
-    """One JSON document per row; NULL fields are kept as null."""
+def write_json_documents(df: DataFrame, path: str, document: Column | None = None, compression: str = "none") -> None:
+    """One JSON document per row; NULL fields are kept as null. Many alike documents are worth a ``compression``."""
     body = F.struct("*") if document is None else document
-    df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
