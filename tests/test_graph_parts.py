@@ -81,3 +81,12 @@ def test_outline_has_the_shape_of_built_graphs(spark, tiny):
 
     assert rows_of(fixed(full)) == rows_of(fixed(shape))
     assert rows_of(graph_rows.view_sizes(full)) == rows_of(graph_rows.view_sizes(shape))
+
+
+def test_explanation_view_has_every_relationship_of_every_feature(spark, tiny):
+    rows = graph_queries.explanation_view(spark, tiny).filter("target = 'prediction-current' AND source LIKE 'contribution-%'").collect()
+    kinds = {"SUPPORTS_PREDICTION", "OPPOSES_PREDICTION", "NEUTRAL_FOR_PREDICTION"}
+    seen = {r["source"]: set() for r in rows}
+    for r in rows:
+        seen[r["source"]].add(r["relationship"])
+    assert len(seen) == 21 and all({"SUPPORTS_PREDICTION", "OPPOSES_PREDICTION"} <= s <= kinds for s in seen.values())

@@ -78,8 +78,9 @@ shown AS (SELECT a.view, e.patient_number, e.edge_number, e.source, e.target, e.
 """
 
 
-def _graph(body: str, *parts: str) -> str:
-    return with_tables("WITH " + ",".join([_BASE.strip(), *[p.strip() for p in parts]]) + body, "survey", "scored", "shap")
+def _graph(body: str, *parts: str, shap: str = "shap") -> str:
+    base = _BASE.strip().replace("JOIN shap s ", f"JOIN {shap} s ")
+    return with_tables("WITH " + ",".join([base, *[p.strip() for p in parts]]) + body, "survey", "scored", shap)
 
 
 _SAFE = " This research note is non-causal. Medium recall is 0.0. It is not medical advice."
@@ -201,6 +202,7 @@ LEFT JOIN edge_counts e ON e.view = n.view AND e.patient_number = n.patient_numb
         _NODES,
         _EDGES,
         _VIEWS,
+        shap="made_shap",
     ),
     "graph_connections": _graph(
         """

@@ -162,6 +162,12 @@ SELECT s.rid, f.idx, f.feature, CAST(floor(coalesce(t.phi, 0e0) * 1073741824e0 +
 FROM scored s CROSS JOIN features f LEFT JOIN ({CONTRIBUTIONS}) t ON t.rid = s.rid AND t.feature = f.feature
 """
 
+# Made contributions with zeros, ties and both signs for every feature, from the respondent's id alone.
+MADE_SHAP = """
+SELECT rid, idx, feature, CAST(((rid + 1) * (31 + 17 * idx)) % 401 - 200 AS DOUBLE) / 1024 AS shap
+FROM (SELECT o_orderkey AS rid FROM orders) o CROSS JOIN features
+"""
+
 
 def with_tables(body: str, *names: str) -> str:
     """``body`` with the named base tables in front, in the order they depend on."""
@@ -173,8 +179,9 @@ def with_tables(body: str, *names: str) -> str:
         "scored": scored("survey"),
         "features": FEATURE_ROWS,
         "shap": SHAP,
+        "made_shap": MADE_SHAP,
     }
-    needs = {"raw_survey": ["survey"], "numbers": ["raw_survey"], "scored": ["survey", "leaves"], "shap": ["features", "scored"]}
+    needs = {"raw_survey": ["survey"], "numbers": ["raw_survey"], "scored": ["survey", "leaves"], "shap": ["features", "scored"], "made_shap": ["features"]}
     wanted: list[str] = []
 
     def add(name: str) -> None:
