@@ -60,6 +60,19 @@ def test_delete_moves_no_long_table(spark, tiny):
     assert df.agg(F.sum("n_rows")).first()[0] > 100_000
 
 
+def test_stored_snapshot_holds_those_who_stand_for_a_part(spark, tiny, monkeypatch):
+    """No long table of all respondents is packed, and the counts equal those over all of them."""
+    packed = []
+    monkeypatch.setattr(graph_rows, "write_packed", lambda graphs, path: (packed.append(graphs.count()), graphs.write.parquet(path)))
+    got = graph_queries.stored_connections(spark, tiny)
+    rows = contributed(spark, tiny)
+    whole = graph_rows.connections(graph_rows.packed(rows, graph_queries.MODEL))
+    by = ["node", "direction", "edge_label", "other", "other_label"]
+    want = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(KEY).alias("number_sum"))
+    assert rows_of(got) == rows_of(want)
+    assert packed[0] < rows.count()
+
+
 def test_neighbourhoods_with_repeated_and_missing_ends(spark):
     nodes = [("a", "A", "t", 1), None, ("a", "again", "t", 1), ("b", "B", "t", 1)]
     edges = [(1, "a", "b", "r", "l", 0, 3), (2, "b", "a", "r", "l", 3, 0), (3, "a", "gone", "r", "l", 0, None), (4, "b", "b", "r", "l", 3, 3)]
