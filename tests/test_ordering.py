@@ -19,6 +19,19 @@ def test_numbering_closes_gaps_over_ranges(spark, buckets):
     assert got == {rid: n for n, rid in enumerate(sorted(ids), 1)}
 
 
+def test_numbering_works_its_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ids = spark.range(1000).withColumnRenamed("id", "rid")
+    rows = numbering.number_respondents(ids.mapInArrow(count, "rid bigint"), bounds_from=ids)
+    assert rows.filter("patient_number = rid + 1").count() == 1000 and seen.value == 1000
+
+
 def test_running_totals_with_one_hot_group(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.randrange(10)) for i in range(3000)]
