@@ -98,30 +98,48 @@ def _described(entries: Column) -> Column:
     return F.when(F.size(entries) == 0, cb.NO_FACTORS).otherwise(joined)
 
 
-def evidence_summary(hosted: bool = False) -> Column:
-    """Summary text of a scored row with its features, ``shap`` and ``warning``.
-
-    NULL where a feature value has no meaning in the code tables: such a row
-    cannot be described (``unexplained`` lists them).
-    """
-    shares = F.array_join(
+def _shares() -> Column:
+    """Every class with its probability."""
+    return F.array_join(
         F.transform(
             probability_list(F.col("probabilities")),
             lambda p: F.concat(p["label"], F.lit(" "), percent_text(p["value"])),
         ),
         ", ",
     )
+
+
+def _summary(hosted: bool, shares: Column, supports: Column, opposes: Column, gaps: Column) -> Column:
     text = filled(
         cb.SUMMARY,
         intro=F.lit(cb.INTRO_HOSTED if hosted else cb.INTRO_REPLACED),
         number=F.col(KEY).cast("string"),
         label=class_label(F.col("predicted_class")),
         shares=shares,
-        supports=_described(supporting(F.col("shap"))),
-        opposes=_described(opposing(F.col("shap"))),
+        supports=supports,
+        opposes=opposes,
         warning=F.coalesce(F.nullif(F.col("warning"), F.lit("")), F.lit(cb.NO_WARNING)),
     )
-    return F.when(F.size(undecodable()) == 0, text)
+    return F.when(gaps == 0, text)
+
+
+def evidence_summary(hosted: bool = False) -> Column:
+    """Summary text of a scored row with its features, ``shap`` and ``warning``.
+
+    NULL where a feature value has no meaning in the code tables: such a row
+    cannot be described (``unexplained`` lists them).
+    """
+    supports, opposes = _described(supporting(F.col("shap"))), _described(opposing(F.col("shap")))
+    return _summary(hosted, _shares(), supports, opposes, F.size(undecodable()))
+
+
+def with_summaries(df: DataFrame) -> DataFrame:
+    """Add ``summary`` and ``hosted_summary``, the texts of ``evidence_summary``; what they share is worked out once per row."""
+    chosen = settled(df, {"_supports": supporting(F.col("shap")), "_opposes": opposing(F.col("shap")), "_gaps": F.size(undecodable())})
+    told = settled(chosen, {"_supports": _described(F.col("_supports")), "_opposes": _described(F.col("_opposes")), "_shares": _shares()})
+    parts = [F.col(c) for c in ("_shares", "_supports", "_opposes", "_gaps")]
+    texts = {name: _summary(hosted, *parts) for name, hosted in (("summary", False), ("hosted_summary", True))}
+    return told.withColumns(texts).drop("_shares", "_supports", "_opposes", "_gaps")
 
 
 def unexplained(df: DataFrame) -> DataFrame:
