@@ -337,3 +337,8 @@ def test_forest_report_trains_the_whole_forest(spark, tiny, monkeypatch):
     monkeypatch.setattr(forest.RandomForestClassifier, "fit", spy)
     assert model_queries.forest_report(spark, tiny).count() > 0
     assert asked == [(400, 10)]
+
+
+def test_attributes_move_no_long_table(spark, tiny):
+    plan = model_queries.profile_attributes(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "feature#" in plan and "(rid#" not in "".join(line for line in plan.splitlines() if "Join Inner" in line)
