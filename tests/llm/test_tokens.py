@@ -64,6 +64,17 @@ def test_shards_hold_the_stream_in_keyed_order(spark, odd, tmp_path):
     assert (again["ids_crc32"].to_numpy() == manifest["ids_crc32"].to_numpy()).all()
 
 
+def test_texts_are_encoded_once(spark, odd, tmp_path):
+    """Second pass: the stored ids, cut at the same places whatever the blocks; the texts are not read again."""
+    path = str(tmp_path / "docs")
+    odd.select("doc_id", "text").write.parquet(path)
+    blocks = training_order.encoded(spark, path)
+    starts, total = training_order.run_starts(blocks)
+    assert total == blocks.agg({"n": "sum"}).first()[0] and set(starts.values()) >= {0}
+    plan = training_order.materialise(spark, path, str(tmp_path / "out"), length=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan
+
+
 def test_training_order_without_rows(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "none"))
     assert training_order.materialise(spark, str(tmp_path / "none"), str(tmp_path / "out")).count() == 0

@@ -8,9 +8,9 @@ every sequence its global slot without a table or a sort of the whole. Shards
 are ranges of slots; slot s lies at byte (s mod per shard) * stride of its shard,
 so a reader goes on from any slot by one seek and reads forward from there.
 
-Two passes over the texts: the first counts the ids of every run of rows that a
-task reads, so that the second knows where its stream starts. What moves is the
-ids, once, each sequence to its shard. Shards are written under a name of their
+Texts are encoded once: their ids are written in blocks, with the run of rows
+that a task read them in. The sizes of all runs then say where each block lies in
+the stream. What moves is the ids, once, each sequence to its shard. Shards are written under a name of their
 own and moved into place whole, so a task that runs again replaces nothing by
 half.
 
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import common
-from vitalgrid.llm.packing import END_ID, document_ids
+from vitalgrid.llm.encoding import decoded, encoder, tokenizer_path
+from vitalgrid.llm.packing import END_ID
 from vitalgrid.session import run_folder
 
 FILE = "word_bpe_49k.json"
@@ -43,6 +44,8 @@ KEY = 20_240_607
 ROUNDS = 6
 #: Ids fit two bytes: both word vocabularies have fewer than 65,536.
 ID = np.dtype("<u2")
+#: Bytes of text whose ids are written as one row, unless a single text is longer: a batch holds up to a thousand of them.
+ENCODED_BYTES = 64_000
 
 
 def permuted(index: np.ndarray, count: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -94,24 +97,41 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def run_starts(spark: SparkSession, path: str, file: str = FILE) -> tuple[dict[tuple[str, int], int], int]:
-    """Stream position of every run of rows that a task reads, and the length of the stream.
+def encoded(spark: SparkSession, path: str, file: str = FILE) -> DataFrame:
+    """The ids of all rows, written once in blocks of whole texts.
 
-    One entry per file split: the driver holds as many for the scan itself.
+    ``file, row`` name the run of rows a block belongs to, ``at`` its place in the
+    run; ``n`` ids, compressed, of ``docs`` with ``sizes`` ids each.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = []
-        for name, row, goes_on, _, texts in _runs(batches):
-            n = sum(len(document_ids(t, file)) // 4 for t in texts)
-            if goes_on:
-                out[-1][2] += n
-            else:
-                out.append([name, row, n])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["file", "row", "n"])
-
-    found = _rows(spark, path).mapInArrow(count, "file string, row bigint, n bigint").collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = encoder(tokenizer_path(file), lead=False), np.uint32(END_ID).tobytes()
+        begun, at = 0, 0
+        for name, row, goes_on, docs, texts in _runs(batches):
+            if not goes_on:
+                begun, at = row, 0
+            out: list[tuple] = []
+            for cut in common.blocks(np.array([len(t) for t in texts], np.int64), ENCODED_BYTES):
+                parts = [coder.ids(decoded(t)) + end for t in texts[cut]]
+                ids = np.frombuffer(b"".join(parts), np.uint32).astype(ID)
+                sizes = [len(p) // 4 for p in parts]
+                out.append((name, begun, at, len(ids), pa.compress(ids.tobytes(), "zstd", asbytes=True), docs[cut], sizes))
+                at += len(ids)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["file", "row", "at", "n", "ids", "docs", "sizes"]
+            )
+
+    schema = "file string, row bigint, at bigint, n bigint, ids binary, docs array<bigint>, sizes array<bigint>"
+    return common.stored(_rows(spark, path).mapInArrow(run, schema))
+
+
+def run_starts(blocks: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
+    """Stream position of every run of rows that a task read, and the length of the stream.
+
+    One entry per file split: the driver holds as many for the scan itself.
+    """
+    found = blocks.groupBy("file", "row").agg(F.sum("n").alias("n")).collect()
     starts, total = {}, 0
     for r in sorted(found, key=lambda r: (r["file"], r["row"])):
         starts[r["file"], r["row"]] = total
@@ -125,56 +145,41 @@ def materialise(spark: SparkSession, path: str, out: str, file: str = FILE, leng
     Returns the manifest: ``slot, sequence, shard, byte_offset, n_tokens,
     ids_crc32, doc_ids`` per sequence; crc32 of the stored bytes.
     """
-    starts, total = run_starts(spark, path, file)
+    blocks = encoded(spark, path, file)
+    starts, total = run_starts(blocks)
     count = -(-total // length)
     shared = spark.sparkContext.broadcast(starts)
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, at = np.zeros(0, ID), [], 0  # ids not yet sent, (first id, document) of them, their position
-
-        def sent(whole: bool) -> pa.RecordBatch | None:
-            """What is held, cut where sequences end; the open rest stays unless ``whole``."""
-            nonlocal held, owners, at
-            end = at + len(held) if whole else (at + len(held)) // length * length
-            if end <= at:
-                return None
-            cuts = [at, *range((at // length + 1) * length, end, length), end]
-            slots = permuted(np.array([c // length for c in cuts[:-1]], np.int64), count, key)
-            rows, k = [], 0
-            for a, b, slot in zip(cuts, cuts[1:], slots.tolist()):
-                while k + 1 < len(owners) and owners[k + 1][0] <= a:
-                    k += 1
-                docs, j = [], k
-                while j < len(owners) and owners[j][0] < b:
-                    docs.append(owners[j][1])
-                    j += 1
-                rows.append((slot // per_shard, slot, a % length, a // length, pa.compress(held[a - at : b - at].tobytes(), "zstd", asbytes=True), 2 * (b - a), docs))
-            owners = [o for n, o in enumerate(owners) if n + 1 == len(owners) or owners[n + 1][0] > end]
-            held, at = held[end - at :], end
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(),) * 4 + (pa.binary(), pa.int64(), pa.list_(pa.int64())))],
-                ["shard", "slot", "first", "sequence", "ids", "size", "docs"],
-            )
-
-        for name, row, goes_on, ids, texts in _runs(batches):
-            if not goes_on:
-                if (out_ := sent(True)) is not None:
-                    yield out_
-                held, owners, at = np.zeros(0, ID), [], shared.value[name, row]
-            parts, end = [held], at + len(held)
-            for doc, text in zip(ids, texts):
-                part = np.frombuffer(document_ids(text, file), np.uint32).astype(ID)
-                owners.append((end, doc))
-                parts.append(part)
-                end += len(part)
-            held = np.concatenate(parts)
-            if (out_ := sent(False)) is not None:
-                yield out_
-        if (out_ := sent(True)) is not None:
-            yield out_
-
-    pieces = _rows(spark, path).mapInArrow(
-        stream, "shard bigint, slot bigint, first bigint, sequence bigint, ids binary, size bigint, docs array<bigint>"
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every block where sequences begin."""
+        kinds = (pa.int64(),) * 4 + (pa.binary(), pa.int64(), pa.list_(pa.int64()))
+        for batch in batches:
+            for r in zip(*(batch.column(i) for i in range(batch.num_columns))):
+                name, row, at, n, body, docs, sizes = (v.as_py() for v in r)
+                begin = shared.value[name, row] + at
+                ids = pa.decompress(body, n * ID.itemsize, "zstd", asbytes=True)
+                first = begin // length
+                numbers = np.arange(first, (begin + n - 1) // length + 1)
+                edges = np.maximum(np.append(numbers, numbers[-1] + 1) * length, begin)
+                edges[-1] = min(edges[-1], begin + n)
+                edges -= begin
+                slots = permuted(numbers, count, key)
+                # a document belongs to every sequence that holds one of its ids
+                ends = np.cumsum(sizes)
+                low = np.searchsorted(ends, edges[:-1], side="right").tolist()
+                high = (np.searchsorted(ends, edges[1:] - 1, side="right") + 1).tolist()
+                places = edges.tolist()
+                columns = (
+                    slots // per_shard, slots, (edges[:-1] + begin) % length, numbers,
+                    [pa.compress(ids[2 * a : 2 * b], "zstd", asbytes=True) for a, b in zip(places, places[1:])],
+                    2 * np.diff(edges), [docs[i:j] for i, j in zip(low, high)],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "slot", "first", "sequence", "ids", "size", "docs"]
+                )
+
+    pieces = blocks.mapInArrow(
+        cut, "shard bigint, slot bigint, first bigint, sequence bigint, ids binary, size bigint, docs array<bigint>"
     )
     shards = max(1, -(-count // per_shard))
     # a shard is one file of bounded size, so one task may write it
