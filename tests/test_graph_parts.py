@@ -96,6 +96,12 @@ def test_outline_has_the_shape_of_built_graphs(spark, tiny):
     assert rows_of(graph_rows.view_sizes(full)) == rows_of(graph_rows.view_sizes(shape))
 
 
+def test_trained_graphs_are_sized_without_building_them(spark, tiny, monkeypatch):
+    monkeypatch.setattr(graph_rows, "packed", None)
+    rows = graph_queries.trained_to_graph(spark, tiny)
+    assert {(r["adds_up"], r["n_nodes"], r["n_edges"]) for r in rows.collect()} == {(True, 98, 135)}
+
+
 def test_explanation_view_has_every_relationship_of_every_feature(spark, tiny):
     rows = graph_queries.explanation_view(spark, tiny).filter("target = 'prediction-current' AND source LIKE 'contribution-%'").collect()
     kinds = {"SUPPORTS_PREDICTION", "OPPOSES_PREDICTION", "NEUTRAL_FOR_PREDICTION"}
