@@ -105,3 +105,20 @@ def test_documents_are_stored_compressed_and_read_back(spark, tmp_path):
     artifacts.write_json_documents(spark.range(3).selectExpr("id", "repeat('x', 100) AS t"), path, compression="gzip")
     assert len(list((tmp_path / "documents").glob("*.gz"))) > 0 and not list((tmp_path / "documents").glob("*.txt"))
     assert spark.read.text(path).count() == 3
+
+
+def test_row_ids_move_no_row(spark, tmp_path):
+    """Files of several blocks: places follow the text, and only the one row per block is ordered and exchanged."""
+    for name, n in (("b.csv", 700), ("a.csv", 300)):
+        (tmp_path / name).write_text("x\n" + "".join(f"{name}-{k}\n" for k in range(n)))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        df = source.read_csv(spark, str(tmp_path), row_ids=True)
+        got = sorted((r["rid"], r["source_row"], r["x"]) for r in df.collect())
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    want = [("a.csv", k) for k in range(300)] + [("b.csv", k) for k in range(700)]
+    assert got == [(i + 1, k + 1, f"{name}-{k}") for i, (name, k) in enumerate(want)]
+    assert "row_number" not in plan

@@ -80,7 +80,7 @@ def read_uploads(spark: SparkSession, path: str, row_ids: bool = False) -> DataF
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return with_row_ids(out) if row_ids else out.drop("_block", "_line")
+    return with_row_ids(out) if row_ids else out.drop("_file", "_block", "_line")
 
 
 def audit_files(spark: SparkSession, path: str | list[str], exact: bool = False, single: bool = False) -> DataFrame:
@@ -155,7 +155,7 @@ def _csv(spark: SparkSession):
 
 
 def _placed(df: DataFrame, source_names: bool, row_ids: bool, keep: bool = False) -> DataFrame:
-    place = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
     named = [F.col("_metadata.file_name").alias(SOURCE)]
     df = df.select("*", *(named if source_names or row_ids or keep else []), *(place if row_ids or keep else []))
     return with_row_ids(df) if row_ids else df
@@ -165,19 +165,21 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     """Add ``rid`` and ``source_row``: 1-based positions over all files by name, and within the row's own file.
 
     Rows keep file order: blocks of a file by their start, rows of a block as
-    they were read. Each block is numbered alone; one small row per block (as
-    many as the scan has splits) carries the counts of the blocks before it.
+    they were read. One task reads a block from its start to its end, so a row's
+    place there is the distance of its line number from the block's smallest, and
+    no row is moved; one small row per block (as many as the scan has splits, in
+    the driver too) carries that and the counts of the blocks before it.
     """
-    counts = df.groupBy(SOURCE, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    over_all = Window.orderBy(SOURCE, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy(SOURCE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(SOURCE, "_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    over_all = Window.orderBy(SOURCE, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(
-        SOURCE, "_block",
+        "_file", "_block", "_first",
         F.coalesce(F.sum("_n").over(over_all), F.lit(0)).alias("_all"),
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_own"),
     )
-    local = F.row_number().over(Window.partitionBy(SOURCE, "_block").orderBy("_line"))
-    placed = df.withColumn("_at", local).join(before, [SOURCE, "_block"])
-    return placed.withColumns(
-        {ROW_ID: F.col("_at") + F.col("_all"), PLACE: F.col("_at") + F.col("_own")}
-    ).drop("_block", "_line", "_at", "_all", "_own")
+    placed = df.join(F.broadcast(before), ["_file", "_block"])
+    at = F.col("_line") - F.col("_first") + 1
+    return placed.withColumns({ROW_ID: at + F.col("_all"), PLACE: at + F.col("_own")}).drop(
+        "_file", "_block", "_line", "_first", "_all", "_own"
+    )
