@@ -1,6 +1,7 @@
 """Quality rules, near duplicates, decontamination and personal data against plain Python."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import plain
@@ -228,3 +229,37 @@ def test_empty_tables(spark, empty):
         near_dedup.deduplicated(empty), quality_rules.passed(empty), pii.masked(empty),
     ):
         assert df.count() == 0
+
+
+def test_counting_takes_little_memory(spark, monkeypatch):
+    """Counts of 4 MB of text in one task cost the totals and little else; handed on early, they add up the same."""
+    import tracemalloc
+
+    from vitalgrid.llm import common
+
+    text = (" ".join(f"w{k * k % 9973}" for k in range(700_000)))[:4_000_000].encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text[k : k + 1000] for k in range(0, len(text), 1000)], pa.binary())], ["_text"])
+    held = []
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            held.append(run)
+            return spark.createDataFrame([], schema)
+
+    class Docs:
+        sparkSession = spark
+
+    monkeypatch.setattr(common, "texts", lambda docs: Table())
+    quality_rules.counted(Docs())
+    tracemalloc.start()
+    whole = list(held[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * quality_rules.SYMBOLS**3 + 60_000_000
+    monkeypatch.setattr(quality_rules, "MOST_COUNTED", 1_500_000)
+    parts = list(held[0](iter([batch])))
+    total = lambda made: sum((np.bincount(b["code"].to_numpy(), b["n"].to_numpy(), quality_rules.SYMBOLS**3) for b in made), 0.0)
+    assert len(whole) == 1 and len(parts) > 1 and (total(whole) == total(parts)).all() and total(whole).sum() == len(text)
