@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm import plain
 from tests.llm.conftest import COPY
-from vitalgrid.llm import decontaminate, near_dedup, pii, quality_rules
+from vitalgrid.llm import common, decontaminate, encoding, near_dedup, packing, pii, quality_rules
 
 
 def by_id(df):
@@ -263,3 +263,23 @@ def test_counting_takes_little_memory(spark, monkeypatch):
     parts = list(held[0](iter([batch])))
     total = lambda made: sum((np.bincount(b["code"].to_numpy(), b["n"].to_numpy(), quality_rules.SYMBOLS**3) for b in made), 0.0)
     assert len(whole) == 1 and len(parts) > 1 and (total(whole) == total(parts)).all() and total(whole).sum() == len(text)
+
+
+def test_tasks_hand_memory_back(spark, tiny_docs, monkeypatch):
+    tasks, released = [], []
+    rows = tiny_docs.limit(20)
+
+    def spy(self, run, schema):
+        tasks.append((self.toArrow(), run))
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", spy)
+    packing.pieces(rows)
+    quality_rules.counted(rows)
+    common.over_texts(common.texts(rows), lambda texts, batch: {"n": [len(t) for t in texts]}, "n bigint")
+    encoding.encoder(encoding.tokenizer_path(packing.FILE), lead=False)
+    monkeypatch.setattr(common, "let_go", lambda: released.append(1))
+    for table, run in tasks[-3:]:
+        assert sum(b.num_rows for b in run(iter(table.to_batches()))) > 0
+    # after the last batch of every task; the trigram counts begin a new operator, which needs no encoder
+    assert len(released) == 3 and not encoding._ENCODERS

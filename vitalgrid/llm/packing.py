@@ -72,6 +72,8 @@ def pieces(docs: DataFrame, file: str = FILE, length: int = LENGTH, with_ids: bo
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
                 )
+        batch = texts = rows = columns = None
+        common.let_go()
 
     return common.texts(docs).mapInArrow(run, schema)
 
