@@ -158,3 +158,59 @@ def test_models_on_odd_and_empty_tables(spark, odd, empty):
     scored = language_model.model_scores(odd).collect()
     assert len(scored) == 12 and all(r["n_tokens"] >= 1 and np.isfinite(r["score"]) for r in scored)
     assert language_model.model_scores(empty).count() == 0
+
+
+def test_words_not_at_hand_are_hashed_once_a_call(monkeypatch):
+    words = [f"w{k}".encode() for k in range(300)]
+    hashes = [language_model._signed(language_model.xxhash.xxh3_64_intdigest(w)) for w in words]
+    known = language_model.Vocabulary([(h, 900 - k) for k, h in enumerate(hashes[:200])], 1000, 300, {})
+    whole = known.look_up(words * 3)
+    hashed, digest = [], language_model.xxhash.xxh3_64_intdigest
+
+    def spy(word):
+        hashed.append(word)
+        return digest(word)
+
+    cache = language_model.common.Cache
+    monkeypatch.setattr(language_model.common, "Cache", lambda value, limit: cache(value, 100))
+    monkeypatch.setattr(language_model, "KNOWN_CODES", 100, raising=False)
+    monkeypatch.setattr(language_model.xxhash, "xxh3_64_intdigest", spy)
+    del known.codes
+    for got, want in zip(known.look_up(words * 3), whole):
+        assert got.tolist() == want.tolist()
+    assert sorted(hashed) == sorted(words)
+    assert whole[1][:200].tolist() == [900 - k for k in range(200)] and set(whole[1][200:300].tolist()) == {-1}
+
+
+def test_outputs_are_log_shares_of_class_and_word():
+    net, rng = language_model.Network(), np.random.default_rng(3)
+    for scores in (1.0, 30.0):  # with large weights scores are shifted before the exponential
+        net.ww[...], net.cw[...] = net.ww * scores, net.cw * scores
+        states = rng.uniform(-1, 1, (5000, language_model.UNITS)).astype(np.float32)
+        symbols = rng.integers(0, language_model.HEAD + language_model.TAIL, 5000)
+        got = net.outputs(states, symbols)
+        for i in range(0, 5000, 500):
+            of = states[i].astype(np.float64)
+            rows, k = net.cw @ of + net.cb, symbols[i] // language_model.CLASS_WORDS
+            want = -np.logaddexp.reduce(rows)
+            if symbols[i] < language_model.HEAD:
+                inner = net.ww[k] @ of + net.wb[k]
+                want += rows[k] + inner[symbols[i] % language_model.CLASS_WORDS] - np.logaddexp.reduce(inner)
+            else:
+                want += rows[symbols[i] - language_model.HEAD + language_model.HEAD_CLASSES]
+            assert abs(got[i] - want) < 1e-4
+
+
+def test_texts_are_looked_up_once(tiny_docs, monkeypatch):
+    stored, found = language_model.common.stored, []
+
+    def spy(rows):
+        found.append(rows.columns)
+        return stored(rows)
+
+    monkeypatch.setattr(language_model.common, "stored", spy)
+    monkeypatch.setattr(language_model, "LOOK_BYTES", 3000, raising=False)
+    rows = language_model.model_scores(tiny_docs).collect()
+    assert len(rows) == tiny_docs.count()
+    # counts, encoded texts, scores: scoring and training read codes
+    assert len(found) == 3 and "codes" in found[1] and "model" in found[2]

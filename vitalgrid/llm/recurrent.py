@@ -23,6 +23,9 @@ class Layer:
         gates = np.empty((steps, lanes, 2 * units), np.float32)
         move = np.empty((lanes, units), np.float32)
         room = np.empty((lanes, 2 * units), np.float32)
+        # gates take the first half: (1 + a) / 2, whole rows at a time
+        scale, shift = np.ones((lanes, 2 * units), np.float32), np.zeros((lanes, 2 * units), np.float32)
+        scale[:, :units], shift[:, :units] = 0.5, 0.5
         h = h.copy()
         for t in range(steps):
             if keep is not None:
@@ -34,8 +37,8 @@ class Layer:
             np.abs(a, out=room)
             room += 1.0
             a /= room
-            a[:, :units] += 1.0
-            a[:, :units] *= 0.5
+            a *= scale
+            a += shift
             np.subtract(a[:, units:], h, out=move)
             move *= a[:, :units]
             h += move
@@ -45,19 +48,23 @@ class Layer:
     def backward(before: np.ndarray, gates: np.ndarray, u: np.ndarray, dbefore: np.ndarray, dlast: np.ndarray | None = None, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the inputs and of ``u``, given those of the states before each step and of the last."""
         units = u.shape[0]
+        z, c = gates[..., :units], gates[..., units:]
+        # what does not depend on later steps is worked out for all of them at once
+        to_gate = (c - before) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        to_candidate = z * (1 - np.abs(c)) ** 2
+        stays, turned = 1 - z, np.ascontiguousarray(u.T)
         dx = np.empty_like(gates)
-        du = np.zeros_like(u)
         dh = np.zeros_like(before[0]) if dlast is None else dlast.copy()
         for t in range(len(before) - 1, -1, -1):
-            s, z, c = before[t], gates[t][:, :units], gates[t][:, units:]
             da = dx[t]
-            da[:, :units] = dh * (c - s) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            da[:, units:] = dh * z * (1 - np.abs(c)) ** 2
-            du += s.T @ da
-            dh = dh * (1 - z) + da @ u.T + dbefore[t]
+            np.multiply(dh, to_gate[t], out=da[:, :units])
+            np.multiply(dh, to_candidate[t], out=da[:, units:])
+            dh *= stays[t]
+            dh += da @ turned
+            dh += dbefore[t]
             if keep is not None:
                 dh *= keep[t][:, None]
-        return dx, du
+        return dx, before.reshape(-1, units).T @ dx.reshape(-1, 2 * units)
 
 
 class Adam:
@@ -70,11 +77,20 @@ class Adam:
 
     def step(self, gradients: list[np.ndarray], scale: float = 1.0) -> None:
         self.steps += 1
-        rate = self.rate * scale * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        rate = float(self.rate * scale * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for a, g, m, v in zip(self.arrays, gradients, self.first, self.second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            a -= (rate * m / (np.sqrt(v) + 1e-8)).astype(a.dtype)
+            room = g - m
+            room *= 0.1
+            m += room
+            np.multiply(g, g, out=room)
+            room -= v
+            room *= 0.01
+            v += room
+            np.sqrt(v, out=room)
+            room += 1e-8
+            np.divide(m, room, out=room)
+            room *= rate
+            a -= room
 
 
 def added_rows(index: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
