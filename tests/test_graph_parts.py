@@ -109,3 +109,14 @@ def test_explanation_view_has_every_relationship_of_every_feature(spark, tiny):
     for r in rows:
         seen[r["source"]].add(r["relationship"])
     assert len(seen) == 21 and all({"SUPPORTS_PREDICTION", "OPPOSES_PREDICTION"} <= s <= kinds for s in seen.values())
+
+
+def test_explanation_view_explains_every_respondent_by_the_forest_too(spark, tiny):
+    """The forest's own contributions, counted over the graphs of all respondents, stand beside the made ones."""
+    got = graph_queries.explanation_view(spark, tiny)
+    edges = graph_rows.visible_edges(graph_rows.packed(contributed(spark, tiny), graph_queries.MODEL), "explanation")
+    by = ["source", "target", "relationship"]
+    want = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("n_edges"))
+    assert rows_of(got.filter("explained_by = 'forest'").select(*by, "n_edges")) == rows_of(want)
+    made = got.filter("explained_by = 'made'")
+    assert made.count() > want.count() and made.agg(F.sum("n_edges")).first() == want.agg(F.sum("n_edges")).first()

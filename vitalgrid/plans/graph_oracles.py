@@ -83,6 +83,11 @@ def _graph(body: str, *parts: str, shap: str = "shap") -> str:
     return with_tables("WITH " + ",".join([base, *[p.strip() for p in parts]]) + body, "survey", "scored", shap)
 
 
+def _explanation_edges(shap: str) -> str:
+    counts = " SELECT source, target, relationship, count(*) AS n_edges FROM shown WHERE view = 'explanation' GROUP BY ALL"
+    return _graph(counts, _NODES, _EDGES, _VIEWS, shap=shap)
+
+
 _SAFE = " This research note is non-causal. Medium recall is 0.0. It is not medical advice."
 _FLAT = "regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g')"
 _DRAFTS = f"""
@@ -197,13 +202,7 @@ LEFT JOIN edge_counts e ON e.view = n.view AND e.patient_number = n.patient_numb
         _EDGES,
         _VIEWS,
     ),
-    "explanation_view": _graph(
-        " SELECT source, target, relationship, count(*) AS n_edges FROM shown WHERE view = 'explanation' GROUP BY ALL",
-        _NODES,
-        _EDGES,
-        _VIEWS,
-        shap="made_shap",
-    ),
+    "explanation_view": " UNION ALL ".join(f"SELECT '{name}' AS explained_by, * FROM ({_explanation_edges(shap)}) e" for name, shap in (("forest", "shap"), ("made", "made_shap"))),
     "graph_connections": _graph(
         """
 , ends AS (SELECT patient_number, source AS node, 'out' AS direction, label, target AS other FROM edges
